@@ -98,7 +98,8 @@ def nearest_points(
     """Attach `prev` (last non-null point up to this row) and `next` (first one from this row on).
 
     `point` must be a struct that sorts like `order`, NULL on rows that carry none.
-    `strict` leaves the row itself out of `prev`.  `points` is the number of points in the group.
+    `strict` leaves the row itself out of `prev`.  `points` is the number of points in the
+    group, `first` and `last` are its outermost points.
     """
     by = list(by)
     df = df.withColumn("_pt", point)
@@ -114,6 +115,8 @@ def nearest_points(
         F.last("_hi", ignorenulls=True).over(seq.rowsBetween(*upto)).alias("_cp"),
         F.last("_lo", ignorenulls=True).over(rev.rowsBetween(*upto)).alias("_cn"),
         F.sum("_n").over(Window.partitionBy(*by)).alias("points"),
+        F.min("_lo").over(Window.partitionBy(*by)).alias("first"),
+        F.max("_hi").over(Window.partitionBy(*by)).alias("last"),
     )
     home = Window.partitionBy(*by, chunk)
     fwd = home.orderBy(*[F.col(o) for o in order])
