@@ -86,17 +86,21 @@ def _around(tel: DataFrame, grid: DataFrame, channels: Sequence[str], chunk_us:
 
 
 def resample_linear(
-    tel: DataFrame, grid: DataFrame, channels: Sequence[str], chunk_us: int, single: str = "null"
+    tel: DataFrame, grid: DataFrame, channels: Sequence[str], chunk_us: int, single: str = "null", zero_empty: bool = False
 ) -> DataFrame:
     """Linear resampling with clamped edges.
 
     A series with one point is NULL, or constant with `single="const"`; an empty one is NULL.
+    Edges are clamped, so a series is NULL as a whole or not at all; `zero_empty` turns such
+    series into zeros and spares a separate fill.
     """
     near = _around(tel, grid, channels, chunk_us, {})
     value = lerp("ts_us", "prev.ts_us", "prev.value", "next.ts_us", "next.value")
     value = F.when(F.col("prev").isNull(), F.col("next.value")).when(F.col("next").isNull(), F.col("prev.value")).otherwise(value)
     if single == "null":
         value = F.when(F.col("points") >= 2, value)
+    if zero_empty:
+        value = F.coalesce(value, F.lit(0.0))
     return near.select("run", "channel", "k", "ts_us", "rows", value.alias("value"))
 
 

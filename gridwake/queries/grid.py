@@ -24,7 +24,7 @@ def aligned_of(t: Tables):
 
 
 def filled_of(t: Tables):
-    return G.fill_series(aligned_of(t))
+    return G.resample_linear(t.telemetry(), grid_of(t), CHANNELS, CHUNK_US, zero_empty=True)
 
 
 def windows_of(t: Tables):
