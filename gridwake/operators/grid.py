@@ -77,12 +77,12 @@ def span_bounds(tel: DataFrame, mode: str = "union") -> DataFrame:
 def _around(tel: DataFrame, grid: DataFrame, channels: Sequence[str], chunk_us: int, extra: Mapping[str, Column]) -> DataFrame:
     """Grid rows of every channel with the samples before and after them."""
     targets = grid.withColumn("channel", F.explode(F.array(*[F.lit(c) for c in channels])))
-    fields = ["ts_us", "value", *extra]
-    samples = tel.select("run", "channel", "ts_us", F.struct(*fields).alias("sample"))
+    samples = tel.select("run", "channel", "ts_us", "value", *[e.alias(n) for n, e in extra.items()])
     points = targets.select("run", "channel", "ts_us", "k", "rows").unionByName(samples, allowMissingColumns=True)
     points = points.withColumn("_grid", F.col("k").isNotNull()).withColumn("_chunk", floor_div("ts_us", chunk_us))
-    near = nearest_points(points, ["run", "channel"], "_chunk", ["ts_us", "_grid"], F.col("sample"))
-    return near.filter("_grid").drop("sample", "_grid", "_chunk")
+    point = {n: F.col(n) for n in ("ts_us", "value", *extra)}
+    near = nearest_points(points, ["run", "channel"], "_chunk", ["ts_us", "_grid"], point, ~F.col("_grid"))
+    return near.filter("_grid").drop("value", "_grid", "_chunk", *extra)
 
 
 def resample_linear(
@@ -107,7 +107,7 @@ def resample_linear(
 def sample_gaps(tel: DataFrame, chunk_us: int, by: Sequence[str] = ("run", "channel")) -> DataFrame:
     """Every sample with the distance to the one before it in its series."""
     chunked = tel.withColumn("_chunk", floor_div("ts_us", chunk_us))
-    near = nearest_points(chunked, by, "_chunk", ["ts_us"], F.struct("ts_us"), strict=True, need="prev")
+    near = nearest_points(chunked, by, "_chunk", ["ts_us"], {"ts_us": F.col("ts_us")}, strict=True, need="prev")
     return near.withColumn("gap_us", F.col("ts_us") - F.col("prev.ts_us")).drop("prev", "_chunk", "points", "first", "last")
 
 
@@ -136,8 +136,8 @@ def resample_supported(
 def fill_series(aligned: DataFrame, block: int = GRID_BLOCK) -> DataFrame:
     """Fill NULLs by row position: edges take the nearest value, gaps are linear, empty series are 0."""
     chunked = aligned.withColumn("_chunk", floor_div("k", block))
-    point = F.when(F.col("value").isNotNull(), F.struct("k", "value"))
-    near = nearest_points(chunked, ["run", "channel"], "_chunk", ["k"], point)
+    point = {"k": F.col("k"), "value": F.col("value")}
+    near = nearest_points(chunked, ["run", "channel"], "_chunk", ["k"], point, F.col("value").isNotNull())
     gap = lerp("k", "prev.k", "prev.value", "next.k", "next.value")
     filled = F.when(F.col("value").isNotNull(), F.col("value")).when(
         F.col("prev").isNotNull() & F.col("next").isNotNull(), gap

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridwake.functions.numeric import finite_or_zero, floor_div
+from gridwake.functions.numeric import floor_div
 from gridwake.plans.panes import WindowSpec, reduce_to_windows, window_count
 
 # Fixed order of the window descriptors.
@@ -50,11 +52,12 @@ def window_validity(windows: DataFrame, supported: DataFrame, spec: WindowSpec,
     ).drop("good")
 
 
-def window_samples(aligned: DataFrame, spec: WindowSpec, windows_per_block: int = 64) -> DataFrame:
-    """One row per (run, channel, w) with the window's samples as an array `x`.
+def _sample_blocks(aligned: DataFrame, spec: WindowSpec, windows_per_block: int) -> DataFrame:
+    """Samples of `windows_per_block` consecutive windows as one array `_v` per (run, channel).
 
-    Samples travel once to the block of windows they belong to (twice near a block edge)
-    instead of once per window, and a block array is bounded by the block size.
+    A sample travels once to the block of windows it belongs to (twice near a block edge), not
+    once per window, and a block array is bounded by the block size.  `_o` is the array offset
+    of window `w_lo`, `n` the number of windows.
     """
     per = max(windows_per_block, -(-spec.window // spec.stride))
     first_w = F.greatest(F.lit(0), F.ceil((F.col("k") - spec.window + 1) / F.lit(spec.stride))).cast("long")
@@ -67,77 +70,87 @@ def window_samples(aligned: DataFrame, spec: WindowSpec, windows_per_block: int
     )
     blocks = routed.groupBy("run", "channel", "_blk").agg(
         F.array_sort(F.collect_list(F.struct("k", "value"))).alias("_s"),
-        F.max(window_count("rows", spec)).alias("n_windows"),
+        F.max(window_count("rows", spec)).alias("_nw"),
     )
-    blocks = blocks.select(
-        "run", "channel", "_blk", "n_windows",
-        F.col("_s")[0]["k"].alias("_k0"),
+    w_lo = F.col("_blk") * per
+    return blocks.select(
+        "run", "channel",
+        w_lo.alias("w_lo"),
+        (F.least(w_lo + per, F.col("_nw")) - w_lo).alias("n"),
+        (w_lo * spec.stride - F.col("_s")[0]["k"]).alias("_o"),
         F.col("_s.value").alias("_v"),
     )
-    w_lo = F.col("_blk") * per
-    w_hi = F.least(w_lo + per, F.col("n_windows")) - 1
-    cut = blocks.withColumn("w", F.explode(F.sequence(w_lo, w_hi)))
-    offset = (F.col("w") * spec.stride - F.col("_k0") + 1).cast("int")
-    return cut.select("run", "channel", "w", F.slice("_v", offset, F.lit(spec.window)).alias("x"))
 
 
-def _sum(x: Column, f=lambda v: v) -> Column:
-    return F.aggregate(x, F.lit(0.0), lambda a, v: a + f(v))
+def window_samples(aligned: DataFrame, spec: WindowSpec, windows_per_block: int = 64) -> DataFrame:
+    """One row per (run, channel, w) with the window's samples as an array `x`."""
+    blocks = _sample_blocks(aligned, spec, windows_per_block)
+    cut = blocks.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    offset = (F.col("_o") + F.col("_i") * spec.stride + 1).cast("int")
+    return cut.select(
+        "run", "channel", (F.col("w_lo") + F.col("_i")).alias("w"), F.slice("_v", offset, F.lit(spec.window)).alias("x")
+    )
+
+
+def _describe(x: np.ndarray) -> np.ndarray:
+    """Descriptors of the rows of a (windows, samples) array."""
+    d = np.diff(x, axis=1)
+    centred = x - x.mean(axis=1, keepdims=True)
+    lead, trail = centred[:, 1:], centred[:, :-1]
+    spread = np.maximum(lead.std(axis=1) * trail.std(axis=1), 1e-6)
+    low, high = x.min(axis=1), x.max(axis=1)
+    quant = np.quantile(x, (0.10, 0.25, 0.50, 0.75, 0.90), axis=1)
+    cols = {
+        "mean": x.mean(axis=1), "std": x.std(axis=1), "min": low, "max": high, "range": high - low,
+        "q10": quant[0], "q25": quant[1], "q50": quant[2], "q75": quant[3], "q90": quant[4],
+        "start": x[:, 0], "end": x[:, -1], "delta": x[:, -1] - x[:, 0],
+        "diff_mean": d.mean(axis=1), "diff_std": d.std(axis=1),
+        "mean_abs_diff": np.abs(d).mean(axis=1), "max_abs_diff": np.abs(d).max(axis=1),
+        "lag1": (lead * trail).mean(axis=1) / spread,
+    }
+    return np.nan_to_num(np.stack([cols[n] for n in DESCRIPTORS], axis=1), nan=0.0, posinf=0.0, neginf=0.0)
 
 
-def _std(x: Column, mean: Column, n: Column) -> Column:
-    return F.sqrt(_sum(x, lambda v: (v - mean) * (v - mean)) / n)
+def describe_arrays(window: int, stride: int, batch: int = 32768):
+    """Arrow UDF: block array, offset and window count -> array of descriptor arrays.
 
+    All windows of an Arrow batch are described together; `batch` bounds the memory of a step.
+    """
 
-def descriptors(samples: DataFrame, spec: WindowSpec) -> DataFrame:
-    """The window descriptors as an array `d`, in `DESCRIPTORS` order; non-finite values become 0."""
-    n = spec.window
-    base = samples.withColumns(
-        {
-            "_o": F.array_sort("x"),
-            "_mu": _sum(F.col("x")) / F.lit(n),
-            "_a": F.slice("x", 2, n - 1),
-            "_b": F.slice("x", 1, n - 1),
-        }
-    )
-    base = base.withColumns(
-        {
-            "_d": F.zip_with("_a", "_b", lambda a, b: a - b),
-            "_ma": _sum(F.col("_a")) / F.lit(n - 1),
-            "_mb": _sum(F.col("_b")) / F.lit(n - 1),
-        }
+    @F.arrow_udf("array<array<double>>")
+    def run(values: pa.Array, offset: pa.Array, count: pa.Array) -> pa.Array:
+        flat = values.flatten().to_numpy(zero_copy_only=False)
+        counts = count.to_numpy(zero_copy_only=False).astype(np.int64)
+        begin = values.offsets.to_numpy()[:-1].astype(np.int64) - values.offsets[0].as_py()
+        begin = begin + offset.to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        within = np.arange(total) - np.repeat(ends - counts, counts)
+        at = np.repeat(begin, counts) + within * stride
+        axis = np.arange(window)
+        out = [_describe(flat[at[i:i + batch, None] + axis]) for i in range(0, total, batch)]
+        data = np.concatenate(out).ravel() if out else np.empty(0)
+        width = len(DESCRIPTORS)
+        inner = pa.ListArray.from_arrays(pa.array(np.arange(total + 1, dtype=np.int32) * width), pa.array(data))
+        outer = np.concatenate([[0], ends]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(outer), inner)
+
+    return run
+
+
+def descriptors(aligned: DataFrame, spec: WindowSpec, windows_per_block: int = 64) -> DataFrame:
+    """`(run, channel, w, d)` with the window descriptors in `DESCRIPTORS` order.
+
+    Five quantiles, moments and lagged products of overlapping windows have no single built-in
+    aggregate; higher-order array functions run them interpreted, so the arithmetic on a block
+    is one vectorised Arrow call.
+    """
+    blocks = _sample_blocks(aligned, spec, windows_per_block)
+    fn = describe_arrays(spec.window, spec.stride)
+    made = blocks.select("run", "channel", "w_lo", fn("_v", "_o", "n").alias("_d"))
+    return made.select("run", "channel", "w_lo", F.posexplode("_d").alias("_i", "d")).select(
+        "run", "channel", (F.col("w_lo") + F.col("_i")).alias("w"), "d"
     )
-    mu, m = F.col("_mu"), F.lit(float(n - 1))
-    base = base.withColumn("_dm", _sum(F.col("_d")) / m)
-    o, x, d = F.col("_o"), F.col("x"), F.col("_d")
-
-    def q(p: float) -> Column:
-        spot = p * (n - 1)
-        lo = int(spot)
-        frac = spot - lo
-        low = o[lo]
-        return low + (o[min(lo + 1, n - 1)] - low) * F.lit(frac)
-
-    cross = _sum(F.zip_with("_a", "_b", lambda a, b: (a - mu) * (b - mu))) / m
-    spread = F.greatest(_std(F.col("_a"), F.col("_ma"), m) * _std(F.col("_b"), F.col("_mb"), m), F.lit(1e-6))
-    values = {
-        "mean": mu,
-        "std": _std(x, mu, F.lit(float(n))),
-        "min": o[0],
-        "max": o[n - 1],
-        "range": o[n - 1] - o[0],
-        "q10": q(0.10), "q25": q(0.25), "q50": q(0.50), "q75": q(0.75), "q90": q(0.90),
-        "start": x[0],
-        "end": x[n - 1],
-        "delta": x[n - 1] - x[0],
-        "diff_mean": F.col("_dm"),
-        "diff_std": _std(d, F.col("_dm"), m),
-        "mean_abs_diff": _sum(d, F.abs) / m,
-        "max_abs_diff": F.array_max(F.transform(d, F.abs)),
-        "lag1": cross / spread,
-    }
-    arr = F.transform(F.array(*[values[name] for name in DESCRIPTORS]), finite_or_zero)
-    return base.select("run", "channel", "w", arr.alias("d"))
 
 
 def long_features(described: DataFrame) -> DataFrame:

@@ -91,48 +91,63 @@ def nearest_points(
     by: Sequence[str],
     chunk: str,
     order: Sequence[str],
-    point: Column,
+    point: Mapping[str, Column],
+    has: Column | None = None,
     strict: bool = False,
     need: str = "both",
 ) -> DataFrame:
-    """Attach `prev` (last non-null point up to this row) and `next` (first one from this row on).
+    """Attach `prev` (last point up to this row) and `next` (first one from this row on).
 
-    `point` must be a struct that sorts like `order`, NULL on rows that carry none.
-    `strict` leaves the row itself out of `prev`.  `points` is the number of points in the
-    group, `first` and `last` are its outermost points.
+    `point` names the fields of a point; the first one is its position and must grow with
+    `order`.  Rows where `has` is false carry none.  `strict` leaves the row itself out of
+    `prev`.  `points` is the number of points in the group, `first` and `last` its outermost.
     """
-    by = list(by)
-    df = df.withColumn("_pt", point)
-    summary = df.groupBy(*by, chunk).agg(
-        F.min("_pt").alias("_lo"), F.max("_pt").alias("_hi"), F.count("_pt").alias("_n")
-    )
+    by, names = list(by), list(point)
+    at = names[0]
+    has = F.lit(True) if has is None else has
+    fields = {n: F.when(has, e) for n, e in point.items()}
+    df = df.withColumns({f"_p_{n}": e for n, e in fields.items()})
+    pos = F.col(f"_p_{at}")
+    # plain min/max/max_by buffers keep this a hash aggregate with map-side combine
+    ends = {}
+    for n in names:
+        ends[f"_lo_{n}"] = F.min(pos) if n == at else F.min_by(f"_p_{n}", pos)
+        ends[f"_hi_{n}"] = F.max(pos) if n == at else F.max_by(f"_p_{n}", pos)
+    summary = df.groupBy(*by, chunk).agg(F.count(pos).alias("_n"), *[e.alias(n) for n, e in ends.items()])
+
+    def as_point(prefix: str) -> Column:
+        return F.when(F.col(f"{prefix}_{at}").isNotNull(), F.struct(*[F.col(f"{prefix}_{n}").alias(n) for n in names]))
+
+    summary = summary.select(*by, chunk, "_n", as_point("_lo").alias("_lo"), as_point("_hi").alias("_hi"))
     seq = Window.partitionBy(*by).orderBy(F.col(chunk))
     rev = Window.partitionBy(*by).orderBy(F.col(chunk).desc())
+    whole = Window.partitionBy(*by)
     upto = (Window.unboundedPreceding, -1)
     carried = summary.select(
         *by,
         chunk,
         F.last("_hi", ignorenulls=True).over(seq.rowsBetween(*upto)).alias("_cp"),
         F.last("_lo", ignorenulls=True).over(rev.rowsBetween(*upto)).alias("_cn"),
-        F.sum("_n").over(Window.partitionBy(*by)).alias("points"),
-        F.min("_lo").over(Window.partitionBy(*by)).alias("first"),
-        F.max("_hi").over(Window.partitionBy(*by)).alias("last"),
+        F.sum("_n").over(whole).alias("points"),
+        F.min("_lo").over(whole).alias("first"),
+        F.max("_hi").over(whole).alias("last"),
     )
     home = Window.partitionBy(*by, chunk)
     fwd = home.orderBy(*[F.col(o) for o in order])
     bwd = home.orderBy(*[F.col(o).desc() for o in order])
+    own = as_point("_p")
     cols: dict[str, Column] = {}
     if need in ("both", "prev"):
         end = -1 if strict else 0
-        cols["_lp"] = F.last("_pt", ignorenulls=True).over(fwd.rowsBetween(Window.unboundedPreceding, end))
+        cols["_l1"] = F.last(own, ignorenulls=True).over(fwd.rowsBetween(Window.unboundedPreceding, end))
     if need in ("both", "next"):
-        cols["_ln"] = F.last("_pt", ignorenulls=True).over(bwd.rowsBetween(Window.unboundedPreceding, 0))
-    out = df.withColumns(cols).join(carried, [*by, chunk])
-    if "_lp" in cols:
-        out = out.withColumn("prev", F.coalesce("_lp", "_cp"))
-    if "_ln" in cols:
-        out = out.withColumn("next", F.coalesce("_ln", "_cn"))
-    return out.drop("_pt", "_lp", "_ln", "_cp", "_cn")
+        cols["_l2"] = F.last(own, ignorenulls=True).over(bwd.rowsBetween(Window.unboundedPreceding, 0))
+    out = df.withColumns(cols).drop(*[f"_p_{n}" for n in names]).join(carried, [*by, chunk])
+    if "_l1" in cols:
+        out = out.withColumn("prev", F.coalesce("_l1", "_cp"))
+    if "_l2" in cols:
+        out = out.withColumn("next", F.coalesce("_l2", "_cn"))
+    return out.drop("_l1", "_l2", "_cp", "_cn")
 
 
 def with_halo(df: DataFrame, index: str, size: int, before: int = 0, after: int = 0) -> DataFrame:

@@ -18,7 +18,7 @@ W = SPEC.window
 
 
 def described_of(t: Tables):
-    return Wn.descriptors(Wn.window_samples(filled_of(t), SPEC), SPEC)
+    return Wn.descriptors(filled_of(t), SPEC)
 
 
 @query("e1_window_descriptors", sql(f"SELECT run, channel, w, descriptor, {r('value', 'value')} FROM featlong", "featlong"))
@@ -262,7 +262,7 @@ def _(t: Tables):
     mean = F.col("d")[0].alias("value")
     a = described_of(t).select("run", "channel", "w", mean)
     rough = filled_of(t).withColumn("value", F.round("value", 2))
-    b = Wn.descriptors(Wn.window_samples(rough, SPEC), SPEC).select("run", "channel", "w", mean)
+    b = Wn.descriptors(rough, SPEC).select("run", "channel", "w", mean)
     return I.parity(a, b, ["run", "channel", "w"], by=["channel"]).withColumn("max_error", rounded("max_error"))
 
 
