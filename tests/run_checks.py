@@ -1,5 +1,6 @@
 """python tests/run_checks.py [dir] [prefix ...]: compare queries with their checks."""
 
+import logging
 import sys
 from pathlib import Path
 
@@ -14,7 +15,8 @@ if __name__ == "__main__":
     picks = sys.argv[2:]
     spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g",
                                                 "spark.ui.showConsoleProgress": "false"})
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
+    logging.disable(logging.CRITICAL)
     con = connect(path)
     bad = 0
     for name in QUERIES:
@@ -23,7 +25,7 @@ if __name__ == "__main__":
         try:
             res = compare(spark, con, name, QUERIES, ORACLES, path)
         except Exception as exc:  # noqa: BLE001
-            res = {"name": name, "ok": False, "why": f"{type(exc).__name__}: {str(exc)[:1500]}"}
+            res = {"name": name, "ok": False, "why": f"{type(exc).__name__}: {str(exc)[:400]}"}
         bad += not res["ok"]
         print(("ok  " if res["ok"] else "FAIL"), name, {k: v for k, v in res.items() if k not in ("name", "ok")}, flush=True)
     print("failures:", bad)
