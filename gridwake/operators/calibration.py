@@ -156,9 +156,10 @@ def channel_values(scaled: DataFrame) -> DataFrame:
 
 def fit_channels(normal: DataFrame, q: float = 0.99, floor: float = 1.0, min_windows: int = 3) -> DataFrame:
     """Centre: median of run medians.  Scale: largest run tail above the centre, floored."""
-    per = quantiles(normal, ["run", "channel"], "value", {"med": (0.5, "linear"), "tail": (q, "higher")})
+    cuts = value_cuts(normal, "value")
+    per = quantiles(normal, ["run", "channel"], "value", {"med": (0.5, "linear"), "tail": (q, "higher")}, cuts)
     per = per.withColumn("med", require(F.col("n") >= min_windows, "med", "complete healthy runs required"))
-    center = quantiles(per, ["channel"], "med", {"center": (0.5, "linear")}, cuts=[])
+    center = quantiles(per, ["channel"], "med", {"center": (0.5, "linear")}, cuts)
     upper = per.groupBy("channel").agg(F.max("tail").alias("upper"))
     return center.join(upper, "channel").select(
         "channel", "center", F.greatest(F.col("upper") - F.col("center"), F.lit(floor)).alias("scale")
@@ -223,10 +224,11 @@ def self_calibrate(
 ) -> DataFrame:
     """Median and absolute deviation of an early stretch of the same run scale its later scores."""
     cal = scores.filter((F.col("t") >= start) & (F.col("t") < stop))
-    med = quantiles(cal, ["run"], "score", {"median": (0.5, "linear")})
+    cuts = value_cuts(cal, "score")
+    med = quantiles(cal, ["run"], "score", {"median": (0.5, "linear")}, cuts)
     med = med.withColumn("median", require(F.col("n") >= min_windows, "median", "too few calibration windows"))
     dev = cal.join(med.select("run", "median"), "run").withColumn("_dev", F.abs(F.col("score") - F.col("median")))
-    mad = quantiles(dev, ["run"], "_dev", {"mad": (0.5, "linear")})
+    mad = quantiles(dev, ["run"], "_dev", {"mad": (0.5, "linear")}, cuts)
     scale = F.greatest(1.4826 * F.col("mad"), 0.05 * F.abs("median"), F.lit(0.05))
     cals = med.join(mad.drop("n"), "run").select("run", "median", scale.alias("scale"))
     late = scores.filter(F.col("t") >= detect).join(cals, "run")

@@ -1 +1,583 @@
-"""placeholder"""
+"""Pairs of target and reference runs: residuals, calibration, gates and protocols.
+
+User 2k is the target and user 2k+1 the reference of pair k.  Every event carries two numeric
+fields (`value` and the number in `props`), so each event type is a channel with two features.
+Even pairs are healthy controls, odd ones carry a fault.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gridwake.functions.numeric import rounded
+from gridwake.operators import calibration as C
+from gridwake.operators import grid as G
+from gridwake.operators import metrics as M
+from gridwake.operators import pairing as P
+from gridwake.operators import propagation as Pr
+from gridwake.plans.quantiles import quantile_higher
+from gridwake.queries.registry import CHANNELS, CHUNK_US, HOUR_US, STEP_US, TOPICS, Tables, query, topic_expr
+from gridwake.queries.sqlkit import CTE, r, sql
+
+FEATURES = tuple(f"{c}.{f}" for c in CHANNELS for f in ("k", "value"))
+PAIR_KEYS = ["run", "feature"]
+
+
+def wide_telemetry(t: Tables):
+    """Both numeric fields of the events, as one series per (run, event type, field)."""
+    fields = F.array(
+        F.struct(F.concat("event_type", F.lit(".value")).alias("channel"), F.col("value")),
+        F.struct(F.concat("event_type", F.lit(".k")).alias("channel"), F.get_json_object("props", "$.k").cast("double").alias("value")),
+    )
+    e = t.events.select(
+        F.col("user_id").alias("run"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), F.explode(fields).alias("f")
+    )
+    return e.select("run", "ts_us", "f.channel", "f.value")
+
+
+def pair_series(t: Tables):
+    aligned = G.resample_linear(wide_telemetry(t), G.make_grid(t.bounds(), STEP_US), FEATURES, CHUNK_US, zero_empty=True)
+    named = aligned.select(
+        F.floor(F.col("run") / 2).cast("long").alias("pair"), (F.col("run") % 2).alias("side"), F.col("k").alias("w"), "ts_us",
+        F.col("channel").alias("feature"), "value",
+    )
+    target = named.filter("side = 0").select(F.col("pair").alias("run"), "w", "ts_us", "feature", "value")
+    reference = named.filter("side = 1").select(F.col("pair").alias("run"), "ts_us", "feature", "value")
+    return target, reference
+
+
+def support_of(t: Tables):
+    b = t.bounds().withColumn("pair", F.floor(F.col("run") / 2).cast("long"))
+    odd = F.col("run") % 2 == 1
+    return b.groupBy(F.col("pair").alias("run")).agg(
+        F.max(F.when(~odd, F.col("stop_us"))).alias("target_end"),
+        F.max(F.when(odd, F.col("stop_us") - 12 * HOUR_US)).alias("reference_end"),
+    )
+
+
+def residuals_of(t: Tables):
+    """`(run, w, t, feature, channel, topic, residual)` of all pairs; `t` in hours of the target."""
+    target, reference = pair_series(t)
+    res = P.matched_residual(target, reference, PAIR_KEYS, CHUNK_US, support_of(t), ["run"], digits=6)
+    channel = F.split("feature", r"\.")[0]
+    res = res.select("run", "w", (F.col("w") * 6.0).alias("t"), "feature", channel.alias("channel"), "residual")
+    return res.withColumn("topic", topic_expr("channel"))
+
+
+def normal(df):
+    return df.filter("run % 2 = 0")
+
+
+CTE.update(
+    {
+        "tel2": (
+            (),
+            "SELECT user_id AS run, event_type || '.value' AS feature, epoch_us(ts) AS ts_us, value FROM events UNION ALL"
+            " SELECT user_id, event_type || '.k', epoch_us(ts), (props->>'$.k')::DOUBLE FROM events",
+        ),
+        "feats": (("chan",), "SELECT channel || f AS feature, channel, topic FROM chan, (VALUES ('.value'), ('.k')) AS x(f)"),
+        "cells2": (("grid", "feats"), "SELECT run, k, ts_us, feature FROM grid, feats"),
+        "n2": (("tel2",), "SELECT run, feature, count(DISTINCT ts_us) AS n FROM tel2 GROUP BY ALL"),
+        "bf2": (
+            ("cells2", "tel2"),
+            "SELECT c.*, t.ts_us AS t0, t.value AS v0 FROM cells2 c ASOF LEFT JOIN tel2 t ON c.run = t.run AND c.feature = t.feature AND c.ts_us >= t.ts_us",
+        ),
+        "ar2": (
+            ("bf2", "tel2", "n2"),
+            "SELECT c.*, t.ts_us AS t1, t.value AS v1, coalesce(s.n, 0) AS n FROM bf2 c ASOF LEFT JOIN tel2 t ON c.run = t.run AND c.feature = t.feature"
+            " AND c.ts_us < t.ts_us LEFT JOIN n2 s ON s.run = c.run AND s.feature = c.feature",
+        ),
+        "al2": (
+            ("ar2",),
+            "SELECT run, k, ts_us, feature, CASE WHEN n < 2 THEN 0.0 WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL THEN v0"
+            " ELSE v0 + (v1 - v0) * ((ts_us - t0)::DOUBLE / (t1 - t0)) END AS value FROM ar2",
+        ),
+        "tg": (("al2",), "SELECT run // 2 AS run, k AS w, ts_us, feature, value FROM al2 WHERE run % 2 = 0"),
+        "rf": (("al2",), "SELECT run // 2 AS run, ts_us, feature, value FROM al2 WHERE run % 2 = 1"),
+        "sup2": (
+            ("bounds", "rf"),
+            "SELECT b.run // 2 AS run, max(stop_us) FILTER (b.run % 2 = 0) AS te, max(stop_us) FILTER (b.run % 2 = 1) - 43200000000 AS re,"
+            " (SELECT min(ts_us) FROM rf WHERE rf.run = b.run // 2) AS r0, (SELECT max(ts_us) FROM rf WHERE rf.run = b.run // 2) AS r1 FROM bounds b GROUP BY b.run // 2",
+        ),
+        "m0": (
+            ("tg", "rf"),
+            "SELECT g.*, f.ts_us AS t0, f.value AS v0 FROM tg g ASOF LEFT JOIN rf f ON g.run = f.run AND g.feature = f.feature AND g.ts_us >= f.ts_us",
+        ),
+        "m1": (
+            ("m0", "rf"),
+            "SELECT g.*, f.ts_us AS t1, f.value AS v1 FROM m0 g ASOF LEFT JOIN rf f ON g.run = f.run AND g.feature = f.feature AND g.ts_us < f.ts_us",
+        ),
+        "res": (
+            ("m1", "sup2", "feats"),
+            "SELECT m.run, m.w, m.w * 6.0::DOUBLE AS t, m.feature, f.channel, f.topic, round(abs(m.value - CASE WHEN t1 IS NULL THEN v0"
+            " ELSE v0 + (v1 - v0) * ((m.ts_us - t0)::DOUBLE / (t1 - t0)) END), 6) AS residual FROM m1 m JOIN sup2 s USING (run) JOIN feats f USING (feature)"
+            " WHERE m.ts_us >= r0 AND m.ts_us <= least(r1, te, re)",
+        ),
+        "noise": (
+            ("res",),
+            "SELECT feature, greatest(list_sort(list(residual))[ceil(0.99::DOUBLE * (count(*) - 1))::BIGINT + 1], 0.05::DOUBLE) AS noise FROM res WHERE run % 2 = 0 GROUP BY feature",
+        ),
+        "sc": (("res", "noise"), "SELECT r.*, residual / noise AS scaled FROM res r JOIN noise USING (feature)"),
+        "top": (("sc",), "SELECT run, w, t, topic, greatest(max(scaled), 0.0) AS value FROM sc GROUP BY ALL"),
+        "ws": (("top",), "SELECT run, w, t, max(value) AS score FROM top GROUP BY ALL"),
+        "sus": (
+            ("ws",),
+            "SELECT * FROM (SELECT *, min(score) OVER r AS sustained, count(*) OVER r AS fullness FROM ws WINDOW r AS (PARTITION BY run ORDER BY w ROWS 2 PRECEDING)) WHERE fullness = 3",
+        ),
+        "mx": (("sus",), "SELECT run, max(sustained) AS maximum FROM sus GROUP BY run"),
+        "thr": (("mx",), "SELECT greatest(0.5::DOUBLE, max(maximum)) AS threshold FROM mx WHERE run % 2 = 0"),
+        "gt": (
+            ("ws",),
+            "SELECT ws.*, count(*) FILTER (score > 0.6) OVER (PARTITION BY run ORDER BY w ROWS 2 PRECEDING) = 3 AS gate FROM ws",
+        ),
+        "chv": (("sc",), "SELECT run, w, t, channel, topic, max(scaled) AS value FROM sc GROUP BY ALL"),
+        "chcal": (
+            ("chv",),
+            "SELECT channel, quantile_cont(med, 0.5) AS center, greatest(max(tail) - quantile_cont(med, 0.5), 0.25::DOUBLE) AS scale FROM"
+            " (SELECT run, channel, quantile_cont(value, 0.5) AS med, list_sort(list(value))[ceil(0.99::DOUBLE * (count(*) - 1))::BIGINT + 1] AS tail FROM chv WHERE run % 2 = 0 GROUP BY ALL) GROUP BY channel",
+        ),
+        "chz": (("chv", "chcal"), "SELECT v.*, greatest(0.0, round((value - center) / scale, 9)) AS z FROM chv v JOIN chcal USING (channel)"),
+        "chp": (
+            ("chz",),
+            "SELECT *, CASE WHEN count(*) OVER r = 3 THEN min(z) OVER r ELSE 0.0 END AS persistent FROM chz WINDOW r AS (PARTITION BY run, channel ORDER BY w ROWS 2 PRECEDING)",
+        ),
+        "edges": (
+            (),
+            "SELECT DISTINCT CASE n_nationkey % 3 WHEN 0 THEN 'account' WHEN 1 THEN 'browse' ELSE 'health' END AS topic,"
+            " CASE WHEN n_regionkey % 2 = 0 THEN 'publisher' ELSE 'subscriber' END AS role, 'src/modules/' || r_name AS module"
+            " FROM nation JOIN region ON n_regionkey = r_regionkey",
+        ),
+        "alloc": (
+            ("edges",),
+            "SELECT DISTINCT topic, module, 1.0::DOUBLE / count(*) OVER (PARTITION BY topic) AS weight FROM (SELECT DISTINCT topic, module FROM edges)",
+        ),
+    }
+)
+_RANK3 = "CASE WHEN score > 1e-12 THEN (SELECT count(*) FROM {src} o WHERE o.run = m.run AND o.score >= m.score - 1e-12) END"
+
+
+def edges_of(t: Tables):
+    n = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    m = F.col("n_nationkey") % 3
+    topic = F.when(m == 0, "account").when(m == 1, "browse").otherwise("health")
+    role = F.when(F.col("n_regionkey") % 2 == 0, "publisher").otherwise("subscriber")
+    return n.select(topic.alias("topic"), role.alias("role"), F.concat(F.lit("src/modules/"), "r_name").alias("module")).distinct()
+
+
+def scaled_of(t: Tables):
+    res = residuals_of(t)
+    return C.scaled_residual(res, C.fit_noise(normal(res)))
+
+
+def topics_of(t: Tables):
+    return C.topic_residual(scaled_of(t), carry=["t"])
+
+
+def scores_of(t: Tables):
+    return C.window_score(topics_of(t), carry=["t"])
+
+
+@query(
+    "c9_interp_join",
+    sql(
+        f"""SELECT m.run, m.w, m.feature, {r('''CASE WHEN t1 IS NULL THEN v0 ELSE v0 + (v1 - v0) * ((m.ts_us - t0)::DOUBLE / (t1 - t0)) END''', "matched")}
+        FROM m1 m JOIN sup2 s USING (run) WHERE m.ts_us >= r0 AND m.ts_us <= least(r1, te, re)""",
+        "m1", "sup2",
+    ),
+)
+def _(t: Tables):
+    target, reference = pair_series(t)
+    out = P.interp_join(target, reference, PAIR_KEYS, CHUNK_US, support_of(t), ["run"])
+    return out.select("run", "w", "feature", rounded("matched").alias("matched"))
+
+
+def _hourly(t: Tables, side: int):
+    e = wide_telemetry(t).filter(f"run % 2 = {side} AND channel LIKE '%.value'")
+    return e.groupBy(
+        F.floor(F.col("run") / 2).cast("long").alias("run"), "channel", F.floor(F.col("ts_us") / (24 * HOUR_US)).cast("long").alias("ts_us")
+    ).agg(F.max("value").alias("value"))
+
+
+_DAILY = {
+    "da": "SELECT user_id // 2 AS run, event_type || '.value' AS channel, epoch_us(ts) // 86400000000 AS ts_us, max(value) AS value FROM events WHERE user_id % 2 = 0 GROUP BY ALL",
+    "db": "SELECT user_id // 2 AS run, event_type || '.value' AS channel, epoch_us(ts) // 86400000000 AS ts_us, max(value) AS value FROM events WHERE user_id % 2 = 1 GROUP BY ALL",
+}
+
+
+@query(
+    "c10_shared_packets",
+    sql(
+        f"""SELECT s.run, s.channel, s.side, s.ts_us, {r("s.value", "value")}, {r("f.fr", "shared_fraction")}, f.fr >= 0.5 AND f.nc >= 2 AS shared FROM
+        (SELECT *, 'a' AS side FROM da UNION ALL SELECT *, 'b' FROM db) s JOIN
+        (SELECT run, channel, count(*) FILTER (n = 2) AS nc, count(*) FILTER (n = 2) / greatest(1, least(sum(a), sum(b))) AS fr FROM
+          (SELECT run, channel, ts_us, count(*) AS n, sum(a) AS a, sum(1 - a) AS b FROM (SELECT *, 1 AS a FROM da UNION ALL SELECT *, 0 FROM db) GROUP BY ALL) GROUP BY ALL) f USING (run, channel)
+        LEFT JOIN (SELECT run, channel, ts_us, true AS c FROM da JOIN db USING (run, channel, ts_us)) c USING (run, channel, ts_us)
+        WHERE NOT (f.fr >= 0.5 AND f.nc >= 2) OR c.c""",
+        **_DAILY,
+    ),
+)
+def _(t: Tables):
+    out = P.shared_packets(_hourly(t, 0), _hourly(t, 1), ["run", "channel"])
+    return out.withColumns({"value": rounded("value"), "shared_fraction": rounded("shared_fraction")})
+
+
+@query(
+    "c11_parity_audit",
+    sql(
+        f"""SELECT *, coalesce(c.common0, 0) AS common FROM (SELECT run, channel, a_samples, {r("a_gap", "a_max_gap_ms")}, b_samples, {r("b_gap", "b_max_gap_ms")} FROM
+        (SELECT run, channel, count(*) AS a_samples, max(g) / 1000.0 AS a_gap FROM (SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY run, channel ORDER BY ts_us) AS g FROM da) GROUP BY ALL)
+        FULL JOIN (SELECT run, channel, count(*) AS b_samples, max(g) / 1000.0 AS b_gap FROM (SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY run, channel ORDER BY ts_us) AS g FROM db) GROUP BY ALL) USING (run, channel))
+        LEFT JOIN (SELECT run, channel, count(*) AS common0, {r("avg((da.value = db.value)::INT)", "exact_fraction")}, {r("max(abs(da.value - db.value))", "max_delta")} FROM da JOIN db USING (run, channel, ts_us) GROUP BY ALL) c USING (run, channel)""".replace(
+            "SELECT *, coalesce(c.common0, 0) AS common FROM", "SELECT * EXCLUDE (common0), coalesce(common0, 0) AS common FROM"
+        ),
+        **_DAILY,
+    ),
+)
+def _(t: Tables):
+    out = P.parity_audit(_hourly(t, 0), _hourly(t, 1), ["run", "channel"], 7)
+    return out.withColumns({c: rounded(c) for c in ("a_max_gap_ms", "b_max_gap_ms", "exact_fraction", "max_delta")})
+
+
+@query(
+    "c12_clock_offset",
+    """WITH s AS (SELECT user_id AS run, epoch_us(ts) AS ts_us, value::FLOAT AS a, (props->>'$.k')::FLOAT AS b, event_id AS seq FROM events),
+    u AS (SELECT run, a, b, min(ts_us) AS src FROM s GROUP BY ALL HAVING count(*) = 1),
+    rp AS (SELECT run, ts_us + 5000000 + run * 1000 + seq % 3 AS ts_us, a, b, row_number() OVER (PARTITION BY run ORDER BY ts_us, seq) AS rn FROM s),
+    o AS (SELECT run, rp.ts_us - src AS off FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY ts_us, rn) AS pos FROM rp WHERE rn > 3) rp JOIN u USING (run, a, b) WHERE pos <= 40),
+    q AS (SELECT run, count(*) AS matches, trunc(quantile_cont(off, 0.5))::BIGINT AS offset_us, min(off) AS lo, max(off) AS hi FROM o GROUP BY run)
+    SELECT run, matches, offset_us, greatest(abs(lo - offset_us), abs(hi - offset_us)) AS max_deviation_us, run * 10 + offset_us AS origin_us FROM q""",
+)
+def _(t: Tables):
+    e = t.events.select(
+        F.col("user_id").alias("run"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), F.col("value").alias("a"),
+        F.get_json_object("props", "$.k").cast("double").alias("b"), F.col("event_id").alias("seq"),
+    )
+    numbered = C.number_rows(e, ["run"], "ts_us", CHUNK_US, ["seq"], "pos").filter("pos >= 3")
+    replay = numbered.withColumn("ts_us", F.col("ts_us") + 5000000 + F.col("run") * 1000 + F.col("seq") % 3)
+    origins = e.groupBy("run").agg((F.max("run") * 10).alias("origin_us"))
+    return P.clock_offset(e, replay, origins, ["a", "b"], anchors=40)
+
+
+_MANIFEST = """mf AS (SELECT 'm' || o_orderstatus || '__' || strftime(o_orderdate, '%Y-%m-%d') || '__' || lpad((o_custkey % 20)::VARCHAR, 2, '0') || '__' || c AS run_id,
+   'm' || o_orderstatus AS mutation_id, strftime(o_orderdate, '%Y-%m-%d') || '__' || lpad((o_custkey % 20)::VARCHAR, 2, '0') AS source_log,
+   CASE c WHEN 'normal' THEN 'normal' ELSE c END AS condition, sha256(o_orderkey::VARCHAR) AS content_hash, o_orderkey FROM
+   (SELECT *, CASE o_orderkey % 3 WHEN 0 THEN 'baseline' WHEN 1 THEN 'fault' ELSE 'normal' END AS c FROM orders))"""
+
+
+def manifest_of(t: Tables):
+    c = F.when(F.col("o_orderkey") % 3 == 0, "baseline").when(F.col("o_orderkey") % 3 == 1, "fault").otherwise("normal")
+    date = F.date_format("o_orderdate", "yyyy-MM-dd")
+    time = F.lpad((F.col("o_custkey") % 20).cast("string"), 2, "0")
+    mut = F.concat(F.lit("m"), F.col("o_orderstatus"))
+    return t.orders.select(
+        F.concat_ws("__", mut, date, time, c).alias("run_id"), mut.alias("mutation_id"), F.concat_ws("__", date, time).alias("source_log"),
+        c.alias("condition"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("content_hash"), "o_orderkey",
+    )
+
+
+@query(
+    "c13_pair_runs",
+    f"""WITH {_MANIFEST}, ky AS (SELECT *, regexp_replace(run_id, '__[a-z]+$', '') AS pair_key FROM mf),
+    b AS (SELECT pair_key, arg_min(run_id, (run_id, content_hash)) AS reference_id, arg_min(content_hash, (run_id, content_hash)) AS reference_hash FROM ky WHERE condition = 'baseline' GROUP BY 1)
+    SELECT o_orderkey, run_id, pair_key, condition, reference_id, reference_hash FROM ky JOIN b USING (pair_key) WHERE condition <> 'baseline'""",
+)
+def _(t: Tables):
+    return P.pair_runs(manifest_of(t)).select("o_orderkey", "run_id", "pair_key", "condition", "reference_id", "reference_hash")
+
+
+_BANK = {
+    "bank": "SELECT run, w, channel, max(residual) FILTER (feature LIKE '%.value') AS a, max(residual) FILTER (feature LIKE '%.k') AS b, w % 3 <> 0 AS va, w % 4 <> 0 AS vb FROM res GROUP BY ALL",
+    "bs": "SELECT c.channel, CASE WHEN s.n >= 3 THEN greatest(1.0::DOUBLE, s.tail) END AS scale, coalesce(s.n, 0) AS valid_count FROM (SELECT DISTINCT channel FROM bank) c LEFT JOIN"
+    " (SELECT channel, count(*) AS n, list_sort(list(a))[ceil(0.99::DOUBLE * (count(*) - 1))::BIGINT + 1] AS tail FROM bank WHERE va AND run % 2 = 0 AND (channel <> 'view' OR (run = 0 AND w < 3)) GROUP BY 1) s USING (channel)",
+}
+
+
+def bank_of(t: Tables):
+    res = residuals_of(t)
+    base = res.groupBy("run", "w", "channel").agg(
+        F.max(F.when(F.col("feature").endswith(".value"), F.col("residual"))).alias("a"),
+        F.max(F.when(F.col("feature").endswith(".k"), F.col("residual"))).alias("b"),
+    )
+    first = base.select("run", "w", "channel", F.col("a").alias("distance"), (F.col("w") % 3 != 0).alias("valid"))
+    second = base.select("run", "w", "channel", F.col("b").alias("distance"), (F.col("w") % 4 != 0).alias("valid"))
+    healthy = normal(first)
+    thin = F.when(F.col("channel") == "view", F.col("valid") & (F.col("run") == 0) & (F.col("w") < 3)).otherwise(F.col("valid"))
+    return first, second, C.bank_scale(healthy.withColumn("valid", thin))
+
+
+@query("h18_bank_scale", sql(f"SELECT channel, {r('scale', 'scale')}, valid_count FROM bs", "res", **_BANK))
+def _(t: Tables):
+    return bank_of(t)[2].withColumn("scale", rounded("scale"))
+
+
+@query(
+    "c16_nearest_reference",
+    sql(
+        f"""SELECT run, w, channel, {r("CASE WHEN ok THEN least(x, y) / scale ELSE 0.0 END", "distance")}, ok AS valid FROM
+        (SELECT *, CASE WHEN va THEN a END AS x, CASE WHEN vb THEN b END AS y, (va OR vb) AND scale IS NOT NULL AS ok FROM bank JOIN bs USING (channel))""",
+        "res", **_BANK,
+    ),
+)
+def _(t: Tables):
+    first, second, scale = bank_of(t)
+    out = P.nearest_reference(first, second, scale, ["run", "w", "channel"], ["channel"])
+    return out.withColumn("distance", rounded("distance"))
+
+
+@query(
+    "h1_quantile_higher",
+    f"""SELECT event_type AS channel, count(*) AS n, {r("list_sort(list(value))[ceil(0.95::DOUBLE * (count(*) - 1))::BIGINT + 1]", "threshold")} FROM events GROUP BY 1""",
+)
+def _(t: Tables):
+    e = t.events.select(F.col("event_type").alias("channel"), "value")
+    return quantile_higher(e, "value", 0.95, ["channel"]).withColumn("threshold", rounded("threshold"))
+
+
+@query("h2_matched_residual", sql(f"SELECT run, w, {r('t', 't')}, feature, channel, topic, residual FROM res", "res"))
+def _(t: Tables):
+    return residuals_of(t).withColumn("t", rounded("t"))
+
+
+@query("h3_fit_noise", sql(f"SELECT feature, {r('noise', 'noise')} FROM noise", "noise"))
+def _(t: Tables):
+    return C.fit_noise(normal(residuals_of(t))).withColumn("noise", rounded("noise"))
+
+
+@query("h4_topic_residual_max", sql(f"SELECT run, w, topic, {r('value', 'value')} FROM top", "top"))
+def _(t: Tables):
+    return topics_of(t).select("run", "w", "topic", rounded("value").alias("value"))
+
+
+_AGG = """SELECT run, w, topic, s[ceil(0.6::DOUBLE * (len(s) - 1))::BIGINT + 1] AS q, list_avg(s[len(s) - m + 1 : len(s)]) AS mt FROM
+  (SELECT *, greatest(1, ceil(len(s) * (1 - 0.6::DOUBLE)))::BIGINT AS m FROM (SELECT run, w, topic, list_sort(list(scaled)) AS s FROM sc GROUP BY ALL))"""
+
+
+@query(
+    "h5_topic_residual_modes",
+    sql(f"SELECT run, w, topic, {r('q', 'quantile_value')}, {r('mt', 'mean_top_value')} FROM ag", "sc", ag=_AGG),
+)
+def _(t: Tables):
+    sc = scaled_of(t)
+    a = C.topic_residual(sc, "quantile", 0.6).select("run", "w", "topic", rounded("value").alias("quantile_value"))
+    b = C.topic_residual(sc, "mean_top", 0.6).select("run", "w", "topic", rounded("value").alias("mean_top_value"))
+    return a.join(b, ["run", "w", "topic"])
+
+
+@query("h6_sustained_score", sql(f"SELECT run, w, {r('sustained', 'sustained')} FROM sus", "sus"))
+def _(t: Tables):
+    return C.sustained_score(scores_of(t), 3).select("run", "w", rounded("sustained").alias("sustained"))
+
+
+@query("h7_event_threshold", sql(f"SELECT {r('threshold', 'threshold')} FROM thr", "thr"))
+def _(t: Tables):
+    return C.fit_event_threshold(normal(scores_of(t)), 3, 0.5).withColumn("threshold", rounded("threshold"))
+
+
+@query(
+    "h8_event_threshold_quantile",
+    sql(
+        f"""SELECT {r("greatest(0.25::DOUBLE, list_sort(list(m))[ceil(0.8::DOUBLE * (count(*) - 1))::BIGINT + 1])", "threshold")} FROM (SELECT run, max(s) AS m FROM
+        (SELECT run, min(score) OVER q AS s, count(*) OVER q AS n FROM ws WHERE t >= 120 AND run % 2 = 0 WINDOW q AS (PARTITION BY run ORDER BY w ROWS 2 PRECEDING)) WHERE n = 3 GROUP BY run)""",
+        "ws",
+    ),
+)
+def _(t: Tables):
+    out = C.fit_event_threshold_quantile(normal(scores_of(t)), 0.8, 120.0, 3, 0.25)
+    return out.withColumn("threshold", rounded("threshold"))
+
+
+@query("h9_second_largest", sql(f"SELECT {r('greatest(0.1::DOUBLE, min(maximum))', 'threshold')} FROM (SELECT maximum FROM mx WHERE run % 2 = 0 ORDER BY maximum DESC LIMIT 2)", "mx"))
+def _(t: Tables):
+    return C.fit_second_largest(C.run_maxima(normal(scores_of(t)), 3), 0.1).withColumn("threshold", rounded("threshold"))
+
+
+@query("h10_sustained_gate", sql("SELECT run, w, gate FROM gt", "gt"))
+def _(t: Tables):
+    return C.sustained_gate(scores_of(t), F.lit(0.6), 3).select("run", "w", "gate")
+
+
+@query(
+    "h10_sustained_gate_events",
+    """SELECT run, seq, count(*) FILTER (value > 30) OVER (PARTITION BY run ORDER BY ts_us, seq ROWS 2 PRECEDING) = 3 AS gate FROM
+    (SELECT user_id AS run, epoch_us(ts) AS ts_us, event_id AS seq, value FROM events)""",
+)
+def _(t: Tables):
+    rows = C.number_rows(t.telemetry(), ["run"], "ts_us", CHUNK_US, ["seq"])
+    return C.sustained_gate(rows, F.lit(30.0), 3, value="value").select("run", "seq", "gate")
+
+
+@query("h11_gate_after_warmup", sql("SELECT run, w, gate AND t >= 240 AS gate FROM gt", "gt"))
+def _(t: Tables):
+    return C.predict_gate(scores_of(t), F.lit(0.6), 3, 240.0).select("run", "w", "gate")
+
+
+_PAIRED = {
+    "ev": "SELECT t.run, t.topic, coalesce(avg(greatest(t.value - 0.6, 0)) FILTER (g.gate), 0) AS evidence FROM top t JOIN gt g USING (run, w) GROUP BY ALL",
+    "ms": "SELECT e.run, a.module, round(sum(e.evidence * a.weight), 9) AS score FROM ev e JOIN alloc a USING (topic) GROUP BY ALL",
+}
+
+
+@query(
+    "h12_predict_paired",
+    sql(f"SELECT m.run, m.module, {r('m.score', 'score')}, {_RANK3.format(src='ms')} AS rank FROM ms m", "top", "gt", "alloc", **_PAIRED),
+)
+def _(t: Tables):
+    _, evidence = C.predict_paired(topics_of(t), F.lit(0.6), 3)
+    return _ranked(evidence, t)
+
+
+def _ranked(evidence, t: Tables):
+    scores = Pr.allocate(evidence, Pr.allocation(edges_of(t)), ["run"]).withColumn("score", F.round("score", 9))
+    return Pr.conservative_rank(scores, ["run"]).select("run", "module", rounded("score").alias("score"), "rank")
+
+
+_TT = {
+    "tthr": "SELECT topic, greatest(0.3::DOUBLE, max(s) FILTER (n = 3 AND run % 2 = 0)) AS threshold FROM (SELECT *, min(value) OVER q AS s, count(*) OVER q AS n FROM top"
+    " WHERE run % 2 = 0 WINDOW q AS (PARTITION BY run, topic ORDER BY w ROWS 2 PRECEDING)) GROUP BY topic",
+    "tfix": "SELECT topic, threshold * 0.5 AS threshold FROM tthr",
+    "own": "SELECT t.run, t.w, t.topic, value / threshold AS rr, count(*) FILTER (value > threshold) OVER (PARTITION BY t.run, t.topic ORDER BY t.w ROWS 2 PRECEDING) = 3 AS own FROM top t JOIN tfix USING (topic)",
+    "anyg": "SELECT run, w, bool_or(own) AS gate FROM own GROUP BY ALL",
+    "ev": "SELECT o.run, o.topic, coalesce(avg(CASE WHEN own THEN greatest(rr - 1, 0) ELSE 0 END) FILTER (gate), 0) AS evidence FROM own o JOIN anyg USING (run, w) GROUP BY ALL",
+    "ms": _PAIRED["ms"],
+}
+
+
+@query("h13_topic_thresholds", sql(f"SELECT topic, {r('threshold', 'threshold')} FROM tthr", "top", tthr=_TT["tthr"]))
+def _(t: Tables):
+    return C.fit_topic_thresholds(normal(topics_of(t)), 3, 0.3).withColumn("threshold", rounded("threshold"))
+
+
+@query(
+    "h13_predict_paired_topics",
+    sql(f"SELECT m.run, m.module, {r('m.score', 'score')}, {_RANK3.format(src='ms')} AS rank FROM ms m", "top", "alloc", **_TT),
+)
+def _(t: Tables):
+    topics = topics_of(t)
+    thr = C.fit_topic_thresholds(normal(topics), 3, 0.3).withColumn("threshold", F.col("threshold") * 0.5)
+    return _ranked(C.predict_paired_topics(topics, thr, 3)[1], t)
+
+
+@query("h14_channel_values", sql(f"SELECT run, w, channel, {r('value', 'value')} FROM chv", "chv"))
+def _(t: Tables):
+    return C.channel_values(scaled_of(t)).withColumn("value", rounded("value"))
+
+
+def channels_of(t: Tables):
+    v = C.channel_values(scaled_of(t))
+    return v, C.fit_channels(normal(v), floor=0.25)
+
+
+@query("h15_fit_channels", sql(f"SELECT channel, {r('center', 'center')}, {r('scale', 'scale')} FROM chcal", "chcal"))
+def _(t: Tables):
+    return channels_of(t)[1].withColumns({"center": rounded("center"), "scale": rounded("scale")})
+
+
+def z_of(t: Tables):
+    v, cal = channels_of(t)
+    return v.join(cal, "channel").withColumn("z", F.greatest(F.lit(0.0), F.round((F.col("value") - F.col("center")) / F.col("scale"), 9)))
+
+
+@query("h16_persistent_channels", sql(f"SELECT run, w, channel, {r('persistent', 'persistent')} FROM chp", "chp"))
+def _(t: Tables):
+    return C.persistent_channels(z_of(t)).select("run", "w", "channel", rounded("persistent").alias("persistent"))
+
+
+_CHP = {
+    "cw": "SELECT run, w, bool_or(persistent > 0.4) AS gate FROM chp GROUP BY ALL",
+    "ct": "SELECT run, w, topic, max(greatest(persistent - 0.4, 0)) AS e FROM chp GROUP BY ALL",
+    "ev": "SELECT c.run, c.topic, coalesce(avg(e) FILTER (gate), 0) AS evidence FROM ct c JOIN cw USING (run, w) GROUP BY ALL",
+    "ms": _PAIRED["ms"],
+}
+
+
+@query(
+    "h17_predict_channels",
+    sql(f"SELECT m.run, m.module, {r('m.score', 'score')}, {_RANK3.format(src='ms')} AS rank FROM ms m", "chp", "alloc", **_CHP),
+)
+def _(t: Tables):
+    v, cal = channels_of(t)
+    _, ev = C.predict_channels(v.withColumn("topic", topic_expr("channel")), cal, F.lit(0.4))
+    return _ranked(ev, t)
+
+
+@query(
+    "h19_gated_evidence",
+    sql(
+        f"""SELECT v.run, v.feature, {r("coalesce(avg(greatest(v.residual - n.noise * 0.3, 0)) FILTER (g.gate), 0)", "evidence")}
+        FROM res v JOIN noise n USING (feature) JOIN gt g USING (run, w) GROUP BY ALL""",
+        "res", "noise", "gt",
+    ),
+)
+def _(t: Tables):
+    res = residuals_of(t)
+    noise = C.fit_noise(normal(res))
+    sc = C.scaled_residual(res, noise)
+    gate = C.sustained_gate(C.window_score(C.topic_residual(sc)), F.lit(0.6), 3).select("run", "w", "gate")
+    values = res.select("run", "w", "feature", F.col("residual").alias("value"))
+    ref = sc.select("run", "w", "feature", (F.col("noise") * 0.3).alias("value"))
+    return C.gated_evidence(values, ref, gate, ["run"], "feature").withColumn("evidence", rounded("evidence"))
+
+
+_REASSESS = {
+    "rs": "SELECT user_id AS run, user_id % 3 AS source, user_id % 4 = 0 AS is_baseline, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS w,"
+    " epoch_us(ts) AS t, max(epoch_us(ts)) OVER (PARTITION BY user_id) - 172800000000 AS last_sensor, value AS score FROM events",
+    "th": "SELECT f.fold AS source, list_sort(list(score))[ceil(0.6::DOUBLE * (count(*) - 1))::BIGINT + 1] AS threshold FROM rs JOIN (SELECT DISTINCT source AS fold FROM rs) f ON f.fold <> rs.source"
+    " WHERE is_baseline AND t <= last_sensor GROUP BY 1",
+    "md": "SELECT 'fixed_all' AS mode, *, 80.0::DOUBLE AS threshold, 1 AS c, true AS valid FROM rs UNION ALL SELECT 'fixed_fresh', *, 80.0, 1, t <= last_sensor FROM rs UNION ALL"
+    " SELECT 'calibrated_fresh', rs.*, th.threshold, 2, t <= last_sensor FROM rs JOIN th USING (source)",
+}
+
+
+@query(
+    "h20_reassess",
+    sql(
+        f"""SELECT mode, run, seq, {r("threshold", "threshold")}, valid, valid AND CASE WHEN c = 1 THEN score > threshold ELSE
+        count(*) FILTER (score > threshold) OVER (PARTITION BY mode, run ORDER BY w ROWS 1 PRECEDING) = 2 END AS gate FROM md""",
+        **_REASSESS,
+    ),
+)
+def _(t: Tables):
+    tel = t.telemetry()
+    last = tel.groupBy("run").agg((F.max("ts_us") - 48 * HOUR_US).alias("last_sensor"))
+    rows = C.number_rows(tel, ["run"], "ts_us", CHUNK_US, ["seq"]).join(last, "run")
+    s = rows.select(
+        "run", (F.col("run") % 3).alias("source"), (F.col("run") % 4 == 0).alias("is_baseline"), "seq", "w", F.col("ts_us").alias("t"), "last_sensor",
+        F.col("value").alias("score"),
+    )
+    out = C.reassess(s, 80.0, 0.6, 2)
+    return out.select("mode", "run", "seq", rounded("threshold").alias("threshold"), "valid", "gate")
+
+
+_SELF = {
+    "sc0": "SELECT user_id AS run, event_id AS seq, ts, value AS score, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 86400000000.0::DOUBLE AS t FROM events",
+    "md": "SELECT run, quantile_cont(score, 0.5) AS m FROM sc0 WHERE t >= 2 AND t < 12 GROUP BY run",
+    "ad": "SELECT run, m, greatest(1.4826 * quantile_cont(abs(score - m), 0.5), 0.05 * abs(m), 0.05) AS s FROM sc0 JOIN md USING (run) WHERE t >= 2 AND t < 12 GROUP BY run, m",
+    "zz": "SELECT run, seq, ts, greatest(0, (score - m) / s) AS z FROM sc0 JOIN ad USING (run) WHERE t >= 13",
+}
+
+
+@query(
+    "h21_self_calibrate",
+    sql(
+        f"""SELECT run, seq, {r("z", "z")}, count(*) FILTER (z > 0.5) OVER (PARTITION BY run ORDER BY ts, seq ROWS 1 PRECEDING) = 2 AS gate FROM zz""",
+        **_SELF,
+    ),
+)
+def _(t: Tables):
+    tel = t.telemetry()
+    start = tel.groupBy("run").agg(F.min("ts_us").alias("t0"))
+    rows = C.number_rows(tel, ["run"], "ts_us", CHUNK_US, ["seq"]).join(start, "run")
+    s = rows.select("run", "seq", "w", F.col("value").alias("score"), ((F.col("ts_us") - F.col("t0")) / 86400000000.0).alias("t"))
+    out = C.self_calibrate(s, 2.0, 12.0, 13.0, 0.5, 2)
+    return out.select("run", "seq", rounded("z").alias("z"), "gate")
+
+
+def alarm_rows(gates):
+    """Odd pairs are faults, even ones their normal twins."""
+    run = F.col("run")
+    return gates.select(
+        "run", "t", "gate", F.when(run % 2 == 1, "fault").otherwise("normal").alias("condition"), F.floor(run / 2).cast("long").alias("pair"), (run % 3).alias("source")
+    )
+
+
+__all__ = ["residuals_of", "scores_of", "topics_of", "edges_of", "M"]
