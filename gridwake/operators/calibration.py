@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from gridwake.functions.numeric import as_col, floor_div, require
 from gridwake.plans.ordered import dense_index, rolling, value_cuts
 from gridwake.plans.quantiles import quantile_higher, quantiles
+from gridwake.session import stage
 
 
 def number_rows(df: DataFrame, by: Sequence[str], time: str, chunk_width: int, tie: Sequence[str] = (), name: str = "w") -> DataFrame:
@@ -158,7 +159,7 @@ def fit_channels(normal: DataFrame, q: float = 0.99, floor: float = 1.0, min_win
     """Centre: median of run medians.  Scale: largest run tail above the centre, floored."""
     cuts = value_cuts(normal, "value")
     per = quantiles(normal, ["run", "channel"], "value", {"med": (0.5, "linear"), "tail": (q, "higher")}, cuts)
-    per = per.withColumn("med", require(F.col("n") >= min_windows, "med", "complete healthy runs required"))
+    per = stage(per).withColumn("med", require(F.col("n") >= min_windows, "med", "complete healthy runs required"))
     center = quantiles(per, ["channel"], "med", {"center": (0.5, "linear")}, cuts)
     upper = per.groupBy("channel").agg(F.max("tail").alias("upper"))
     return center.join(upper, "channel").select(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridwake.functions.numeric import floor_div, is_finite, lerp, require
 from gridwake.functions.text import pair_key
 from gridwake.plans.ordered import nearest_points
+from gridwake.session import stage
 
 
 def interp_join(
@@ -52,6 +53,7 @@ def matched_residual(
     joined = joined.withColumn("residual", res if digits is None else F.round(res, digits)).drop("matched")
     if not support_keys:
         return joined
+    joined = stage(joined)
     counts = joined.groupBy(*support_keys).agg(F.count_distinct("w").alias("_nw"))
     checked = counts.withColumn("_nw", require(F.col("_nw") >= min_windows, "_nw", "too few common windows"))
     return joined.join(checked.filter("_nw > 0"), list(support_keys)).drop("_nw")

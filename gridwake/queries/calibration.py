@@ -18,6 +18,7 @@ from gridwake.operators import propagation as Pr
 from gridwake.plans.quantiles import quantile_higher
 from gridwake.queries.registry import CHANNELS, CHUNK_US, HOUR_US, STEP_US, TOPICS, Tables, query, topic_expr
 from gridwake.queries.sqlkit import CTE, r, sql
+from gridwake.session import stage
 
 FEATURES = tuple(f"{c}.{f}" for c in CHANNELS for f in ("k", "value"))
 PAIR_KEYS = ["run", "feature"]
@@ -37,7 +38,7 @@ def wide_telemetry(t: Tables):
 
 def pair_series(t: Tables):
     aligned = G.resample_linear(wide_telemetry(t), G.make_grid(t.bounds(), STEP_US), FEATURES, CHUNK_US, zero_empty=True)
-    named = aligned.select(
+    named = stage(aligned).select(
         F.floor(F.col("run") / 2).cast("long").alias("pair"), (F.col("run") % 2).alias("side"), F.col("k").alias("w"), "ts_us",
         F.col("channel").alias("feature"), "value",
     )
@@ -61,7 +62,7 @@ def residuals_of(t: Tables):
     res = P.matched_residual(target, reference, PAIR_KEYS, CHUNK_US, support_of(t), ["run"], digits=6)
     channel = F.split("feature", r"\.")[0]
     res = res.select("run", "w", (F.col("w") * 6.0).alias("t"), "feature", channel.alias("channel"), "residual")
-    return res.withColumn("topic", topic_expr("channel"))
+    return stage(res.withColumn("topic", topic_expr("channel")))
 
 
 def normal(df):
@@ -96,8 +97,8 @@ CTE.update(
         "rf": (("al2",), "SELECT run // 2 AS run, ts_us, feature, value FROM al2 WHERE run % 2 = 1"),
         "sup2": (
             ("bounds", "rf"),
-            "SELECT b.run // 2 AS run, max(stop_us) FILTER (b.run % 2 = 0) AS te, max(stop_us) FILTER (b.run % 2 = 1) - 43200000000 AS re,"
-            " (SELECT min(ts_us) FROM rf WHERE rf.run = b.run // 2) AS r0, (SELECT max(ts_us) FROM rf WHERE rf.run = b.run // 2) AS r1 FROM bounds b GROUP BY b.run // 2",
+            "SELECT * FROM (SELECT run // 2 AS run, max(stop_us) FILTER (run % 2 = 0) AS te, max(stop_us) FILTER (run % 2 = 1) - 43200000000 AS re FROM bounds GROUP BY ALL)"
+            " JOIN (SELECT run, min(ts_us) AS r0, max(ts_us) AS r1 FROM rf GROUP BY run) USING (run)",
         ),
         "m0": (
             ("tg", "rf"),
@@ -170,7 +171,7 @@ def scaled_of(t: Tables):
 
 
 def topics_of(t: Tables):
-    return C.topic_residual(scaled_of(t), carry=["t"])
+    return stage(C.topic_residual(scaled_of(t), carry=["t"]))
 
 
 def scores_of(t: Tables):
@@ -463,7 +464,7 @@ def _(t: Tables):
 
 
 def channels_of(t: Tables):
-    v = C.channel_values(scaled_of(t))
+    v = stage(C.channel_values(scaled_of(t)))
     return v, C.fit_channels(normal(v), floor=0.25)
 
 
@@ -503,7 +504,7 @@ def _(t: Tables):
 @query(
     "h19_gated_evidence",
     sql(
-        f"""SELECT v.run, v.feature, {r("coalesce(avg(greatest(v.residual - n.noise * 0.3, 0)) FILTER (g.gate), 0)", "evidence")}
+        f"""SELECT v.run, v.feature, {r("coalesce(avg(greatest(v.residual - n.noise / 3, 0)) FILTER (g.gate), 0)", "evidence")}
         FROM res v JOIN noise n USING (feature) JOIN gt g USING (run, w) GROUP BY ALL""",
         "res", "noise", "gt",
     ),
@@ -514,7 +515,7 @@ def _(t: Tables):
     sc = C.scaled_residual(res, noise)
     gate = C.sustained_gate(C.window_score(C.topic_residual(sc)), F.lit(0.6), 3).select("run", "w", "gate")
     values = res.select("run", "w", "feature", F.col("residual").alias("value"))
-    ref = sc.select("run", "w", "feature", (F.col("noise") * 0.3).alias("value"))
+    ref = sc.select("run", "w", "feature", (F.col("noise") / 3).alias("value"))
     return C.gated_evidence(values, ref, gate, ["run"], "feature").withColumn("evidence", rounded("evidence"))
 
 

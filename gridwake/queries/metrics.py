@@ -59,7 +59,7 @@ def curve(source: str, by: str = "") -> dict[str, str]:
 @query(
     "g1_average_precision",
     sql(f"""SELECT 'all' AS scope, {r("sum(pos * tp / seen) / max(p)", "auprc")} FROM cv UNION ALL SELECT "group"::VARCHAR, {r("sum(pos * tp / seen) / nullif(max(p), 0)")} FROM cvg GROUP BY "group" """,
-        ev=SC["ev"], **curve("ev"), **{k + "g": v.replace("FROM pts", "FROM atg") for k, v in curve("ev", '"group"').items()}),
+        ev=SC["ev"], **curve("ev"), **{k + "g": v.replace("FROM pts", "FROM ptsg") for k, v in curve("ev", '"group"').items()}),
 )
 def _(t: Tables):
     s = event_scores_of(t)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "gridwake", master: str | None = None, **conf: str) -> SparkSession:
@@ -39,3 +39,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    Used where a wide result feeds several branches: it is computed once, later scans prune
+    columns, and a lost executor re-reads files instead of replaying the whole lineage.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
