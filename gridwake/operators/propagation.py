@@ -161,3 +161,10 @@ def time_to_topk(window_scores: DataFrame, onset: float, k: int, truth: str = "t
     ranked = window_scores.withColumn("rank", F.row_number().over(w))
     hit = (F.col("module") == F.col(truth)) & (F.col("rank") <= k) & (F.col("t") >= onset)
     return ranked.groupBy("run").agg((F.min(F.when(hit, F.col("t"))) - F.lit(onset)).alias("delay"))
+
+
+def argmax_row(df: DataFrame, by: Sequence[str], value: str, tie: str) -> DataFrame:
+    """The whole row with the largest value per group; ties take the smallest `tie`."""
+    rest = [c for c in df.columns if c not in by]
+    best = F.max_by(F.struct(*rest), F.struct(F.col(value), -F.col(tie)))
+    return df.groupBy(*by).agg(best.alias("b")).select(*by, "b.*")
