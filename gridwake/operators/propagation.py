@@ -44,11 +44,16 @@ def random_allocation(topics: DataFrame, edges: DataFrame, seed: int) -> DataFra
 
 
 def propagate(importance: DataFrame, edges: DataFrame, mode: str, by: Sequence[str] = ("scope",), value: str = "value") -> DataFrame:
-    """Module scores, share and dense rank for one propagation mode."""
+    """Module scores, share and dense rank for one propagation mode.
+
+    Scores are kept to nine decimals: modules with the same topics must tie whatever the order
+    in which their shares were summed.
+    """
     if mode == "topic_only":
         scored = importance.select(*by, F.col("topic").alias("module"), F.col(value).alias("score"))
     else:
         scored = allocate(importance, allocation(edges, ROLE_OF_MODE[mode]), by, value)
+    scored = scored.withColumn("score", F.round("score", 9))
     return with_share_and_rank(scored.withColumn("mode", F.lit(mode)), [*by, "mode"])
 
 

@@ -18,9 +18,9 @@ GR = {
     "al_b": "SELECT DISTINCT topic, module, 1.0::DOUBLE / count(*) OVER (PARTITION BY topic) AS weight FROM (SELECT DISTINCT topic, module FROM ed)",
     "al_p": "SELECT DISTINCT topic, module, 1.0::DOUBLE / count(*) OVER (PARTITION BY topic) AS weight FROM (SELECT DISTINCT topic, module FROM ed WHERE role = 'publisher')",
     "al_c": "SELECT DISTINCT topic, module, 1.0::DOUBLE / count(*) OVER (PARTITION BY topic) AS weight FROM (SELECT DISTINCT topic, module FROM ed WHERE role = 'subscriber')",
-    "ms": "SELECT scope, 'bidirectional' AS mode, module, sum(value * weight) AS score FROM im JOIN al_b USING (topic) GROUP BY ALL UNION ALL"
+    "ms": "SELECT * REPLACE (round(score, 9) AS score) FROM (SELECT scope, 'bidirectional' AS mode, module, sum(value * weight) AS score FROM im JOIN al_b USING (topic) GROUP BY ALL UNION ALL"
     " SELECT scope, 'producer_only', module, sum(value * weight) FROM im JOIN al_p USING (topic) GROUP BY ALL UNION ALL"
-    " SELECT scope, 'consumer_only', module, sum(value * weight) FROM im JOIN al_c USING (topic) GROUP BY ALL UNION ALL SELECT scope, 'topic_only', topic, value FROM im",
+    " SELECT scope, 'consumer_only', module, sum(value * weight) FROM im JOIN al_c USING (topic) GROUP BY ALL UNION ALL SELECT scope, 'topic_only', topic, value FROM im)",
     "rk": "SELECT *, score / sum(score) OVER (PARTITION BY scope, mode) AS share, dense_rank() OVER (PARTITION BY scope, mode ORDER BY score DESC) AS rank FROM ms",
 }
 MODES = ("bidirectional", "producer_only", "consumer_only", "topic_only")
