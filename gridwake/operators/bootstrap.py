@@ -119,7 +119,7 @@ def sign_flip_p(clusters: DataFrame, value: str = "difference", max_clusters: in
 
     `clusters` holds one row per cluster; at most `max_clusters` are allowed.
     """
-    packed = clusters.agg(F.array_sort(F.collect_list(value)).alias("_d"), F.count(F.lit(1)).alias("clusters"))
+    packed = clusters.limit(max_clusters + 1).agg(F.array_sort(F.collect_list(value)).alias("_d"), F.count(F.lit(1)).alias("clusters"))
     ok = F.when(F.col("clusters") <= max_clusters, F.col("clusters")).otherwise(F.raise_error(F.lit("too many clusters")).cast("long"))
     packed = packed.withColumn("clusters", ok)
     flips = packed.withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, cast(clusters as int)) - 1"))))

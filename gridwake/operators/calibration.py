@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gridwake.functions.numeric import as_col, floor_div, require
 from gridwake.plans.ordered import dense_index, rolling, value_cuts
 from gridwake.plans.quantiles import quantile_higher, quantiles
-from gridwake.session import stage
+from gridwake.session import small_side, stage
 
 
 def number_rows(df: DataFrame, by: Sequence[str], time: str, chunk_width: int, tie: Sequence[str] = (), name: str = "w") -> DataFrame:
@@ -31,7 +31,7 @@ def fit_noise(normal: DataFrame, q: float = 0.99, floor: float = 0.05, by: Seque
 
 
 def scaled_residual(residuals: DataFrame, noise: DataFrame) -> DataFrame:
-    return residuals.join(noise, "feature").withColumn("scaled", F.col("residual") / F.col("noise"))
+    return residuals.join(small_side(noise), "feature").withColumn("scaled", F.col("residual") / F.col("noise"))
 
 
 def topic_residual(scaled: DataFrame, aggregation: str = "max", q: float = 0.9, by: Sequence[str] = ("run", "w", "topic"),
@@ -142,7 +142,7 @@ def fit_topic_thresholds(normal_topics: DataFrame, consecutive: int = 3, minimum
 
 def predict_paired_topics(topics: DataFrame, thresholds: DataFrame, consecutive: int = 3) -> tuple[DataFrame, DataFrame]:
     """Each topic has its own gate; a window is gated when any topic is."""
-    j = topics.join(thresholds, "topic")
+    j = topics.join(small_side(thresholds), "topic")
     own = sustained_gate(j, F.col("threshold"), consecutive, ["run", "topic"], value="value", name="own")
     ratio = F.col("value") / F.col("threshold")
     own = own.withColumns({"_r": ratio, "_e": F.when(F.col("own"), F.greatest(ratio - 1, F.lit(0.0))).otherwise(F.lit(0.0))})
@@ -175,7 +175,7 @@ def persistent_channels(z: DataFrame, consecutive: int = 3, by: Sequence[str] =
 
 def predict_channels(values: DataFrame, calibration: DataFrame, threshold, consecutive: int = 3) -> tuple[DataFrame, DataFrame]:
     """Window gates (any channel above the threshold) and topic evidence over the gated windows."""
-    z = values.join(calibration, "channel").withColumn(
+    z = values.join(small_side(calibration), "channel").withColumn(
         "z", F.greatest(F.lit(0.0), (F.col("value") - F.col("center")) / F.col("scale"))
     )
     p = persistent_channels(z, consecutive)
@@ -210,9 +210,10 @@ def reassess(scores: DataFrame, fixed: float, q: float = 0.99, consecutive: int
     base = scores.filter(F.col("is_baseline") & fresh).select("source", "score")
     sources = scores.select(F.array_sort(F.collect_set("source")).alias("s")).scalar()
     # scores are counted before they are repeated for the folds they do not belong to
-    folds = base.withColumn("fold", F.explode(F.array_remove(sources, F.col("source")))).select("fold", "score")
-    thr = quantiles(folds, ["fold"], "score", {"threshold": (q, "higher")}, value_cuts(base, "score")).drop("n")
-    joined = scores.join(thr.withColumnRenamed("fold", "source"), "source")
+    counted = base.groupBy("source", "score").agg(F.count(F.lit(1)).alias("copies"))
+    folds = counted.withColumn("fold", F.explode(F.array_remove(sources, F.col("source"))))
+    thr = quantiles(folds, ["fold"], "score", {"threshold": (q, "higher")}, value_cuts(base, "score"), "copies").drop("n")
+    joined = scores.join(small_side(thr.withColumnRenamed("fold", "source")), "source")
     cal = sustained_gate(joined, F.col("threshold"), consecutive)
     cal_mode = cal.select(*scores.columns, "gate", F.lit("calibrated_fresh").alias("mode"), fresh.alias("valid"), "threshold")
     out = all_mode.unionByName(fresh_mode).unionByName(cal_mode)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridwake.functions.numeric import floor_div, lerp
 from gridwake.plans.ordered import nearest_points
+from gridwake.plans.panes import explode_range
 from gridwake.plans.quantiles import quantiles
 
 UNKNOWN_CLASS = 5
@@ -54,10 +55,8 @@ def make_grid(bounds: DataFrame, step: int, origin: str | None = None) -> DataFr
     sized = bounds.withColumn("start_us", start).withColumn(
         "rows", grid_rows(F.col("start_us"), F.col("stop_us"), step)
     )
-    blocks = sized.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), floor_div(F.col("rows") - 1, GRID_BLOCK))))
-    lo = F.col("_b") * GRID_BLOCK
-    points = blocks.withColumn("k", F.explode(F.sequence(lo, F.least(lo + GRID_BLOCK, F.col("rows")) - 1)))
-    return points.withColumn("ts_us", F.col("start_us") + F.col("k") * step).drop("_b")
+    points = explode_range(sized, "rows", "k")
+    return points.withColumn("ts_us", F.col("start_us") + F.col("k") * step)
 
 
 def span_bounds(tel: DataFrame, mode: str = "union") -> DataFrame:

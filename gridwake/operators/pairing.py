@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridwake.functions.numeric import floor_div, is_finite, lerp, require
 from gridwake.functions.text import pair_key
 from gridwake.plans.ordered import nearest_points
-from gridwake.session import stage
+from gridwake.session import small_side, stage
 
 
 def interp_join(
@@ -158,7 +158,7 @@ def nearest_reference(first: DataFrame, second: DataFrame, scale: DataFrame, key
     """
     a = first.select(*keys, F.when(F.col("valid"), F.col("distance")).alias("_a"))
     b = second.select(*keys, F.when(F.col("valid"), F.col("distance")).alias("_b"))
-    j = a.join(b, list(keys), "full").join(scale.select(*scale_keys, "scale"), list(scale_keys), "left")
+    j = a.join(b, list(keys), "full").join(small_side(scale.select(*scale_keys, "scale")), list(scale_keys), "left")
     near = F.least("_a", "_b")
     valid = near.isNotNull() & F.col("scale").isNotNull()
     return j.select(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridwake.functions.numeric import is_finite, ratio
+from gridwake.session import small_side
 
 VALUE_LIMIT = 1e12
 MAX_RUN_SECONDS = 7200.0
@@ -17,7 +18,7 @@ MIN_CHANNELS = 8
 
 def select_channels(tel: DataFrame, catalogue: DataFrame, on: Sequence[str] = ("topic", "field")) -> DataFrame:
     """Keep catalogued channels, and of every (run, topic) only the first instance."""
-    kept = tel.join(catalogue, list(on), "left_semi")
+    kept = tel.join(small_side(catalogue), list(on), "left_semi")
     if "instance" not in tel.columns:
         return kept
     first = kept.groupBy("run", "topic").agg(F.min("instance").alias("instance"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gridwake.functions.numeric import floor_div
 from gridwake.plans.panes import WindowSpec, reduce_to_windows, window_count
+from gridwake.session import small_side
 
 # Fixed order of the window descriptors.
 DESCRIPTORS = (
@@ -194,6 +195,6 @@ def fit_scaler(aligned: DataFrame, train_windows: DataFrame, spec: WindowSpec) -
 
 
 def apply_scaler(aligned: DataFrame, scaler: DataFrame) -> DataFrame:
-    return aligned.join(scaler.select("channel", "mean", "std"), "channel").withColumn(
+    return aligned.join(small_side(scaler.select("channel", "mean", "std")), "channel").withColumn(
         "value", (F.col("value") - F.col("mean")) / F.col("std")
     ).drop("mean", "std")

@@ -36,6 +36,21 @@ class WindowSpec:
         return -(-self.span // self.stride)
 
 
+RANGE_BLOCK = 4096
+
+
+def explode_range(df: DataFrame, count: str, name: str, key: str = "run", block: int = RANGE_BLOCK) -> DataFrame:
+    """Rows 0..count-1 of every input row, made block by block.
+
+    Only block rows are shuffled before they are filled, so one very long run is generated by
+    many tasks and never as one array.
+    """
+    last = F.floor((F.col(count) - 1) / F.lit(block)).cast("long")
+    blocks = df.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), last))).repartition(key, "_b")
+    lo = F.col("_b") * block
+    return blocks.withColumn(name, F.explode(F.sequence(lo, F.least(lo + block, F.col(count)) - 1))).drop("_b")
+
+
 def window_count(rows, spec: WindowSpec) -> Column:
     limit = as_col(rows) - spec.window - spec.horizon + 1
     return F.when(limit <= 0, F.lit(0)).otherwise(F.floor((limit - 1) / spec.stride) + 1).cast("long")
@@ -44,9 +59,7 @@ def window_count(rows, spec: WindowSpec) -> Column:
 def window_starts(runs: DataFrame, spec: WindowSpec, rows: str = "rows") -> DataFrame:
     """`w` and `start_k` for every full window of a run, with the run's window count."""
     counted = runs.withColumn("n_windows", window_count(rows, spec)).filter("n_windows > 0")
-    return counted.withColumn("w", F.explode(F.expr("sequence(0L, n_windows - 1)"))).withColumn(
-        "start_k", F.col("w") * spec.stride
-    )
+    return explode_range(counted, "n_windows", "w").withColumn("start_k", F.col("w") * spec.stride)
 
 
 def covering_windows(lo: Column, hi: Column, span: int, stride: int) -> Column:

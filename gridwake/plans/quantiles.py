@@ -17,11 +17,13 @@ from gridwake.plans.ordered import prefix_sums, value_cuts, with_range_chunk
 
 
 def value_ranks(
-    df: DataFrame, by: Sequence[str], value: str, cuts: Sequence[float] | None = None, descending: bool = False
+    df: DataFrame, by: Sequence[str], value: str, cuts: Sequence[float] | None = None, descending: bool = False,
+    copies: str | None = None,
 ) -> DataFrame:
     """One row per distinct value: `n` copies, `cum` rows up to and with it, `cum_total` rows in all."""
     cuts = value_cuts(df, value) if cuts is None else cuts
-    counted = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    count = F.count(F.lit(1)) if copies is None else F.sum(copies)
+    counted = df.groupBy(*by, value).agg(count.alias("n"))
     chunked = with_range_chunk(counted, value, cuts)
     order = [F.col(value).desc() if descending else F.col(value).asc()]
     return prefix_sums(chunked, by, ["_chunk"], order, {"cum": F.col("n")}, descending).drop("_chunk")
@@ -38,9 +40,13 @@ def quantiles(
     value: str,
     outputs: Mapping[str, tuple[float, str]],
     cuts: Sequence[float] | None = None,
+    copies: str | None = None,
 ) -> DataFrame:
-    """Exact quantiles per group; each output is `(q, "higher" | "linear")`, plus the count `n`."""
-    ranked = value_ranks(df.filter(F.col(value).isNotNull()), by, value, cuts)
+    """Exact quantiles per group; each output is `(q, "higher" | "linear")`, plus the count `n`.
+
+    `copies` names a column with the multiplicity of pre-counted rows.
+    """
+    ranked = value_ranks(df.filter(F.col(value).isNotNull()), by, value, cuts, copies=copies)
     total = F.col("cum_total")
     aggs: list[Column] = [F.max(total).alias("n")]
     finals: list[Column] = [F.col("n")]
