@@ -87,7 +87,7 @@ def fit_event_threshold_quantile(
     normal: DataFrame, q: float = 1.0, warmup: float = 15.0, consecutive: int = 3, minimum: float = 3.0, time: str = "t"
 ) -> DataFrame:
     """Upper quantile of the run maxima; windows before the warm-up are dropped before persistence."""
-    maxima = run_maxima(normal.filter(F.col(time) >= warmup), consecutive)
+    maxima = stage(run_maxima(normal.filter(F.col(time) >= warmup), consecutive))
     return quantile_higher(maxima, "maximum", q).select(F.greatest(F.lit(minimum), F.col("threshold")).alias("threshold"))
 
 
@@ -203,6 +203,7 @@ def reassess(scores: DataFrame, fixed: float, q: float = 0.99, consecutive: int
 
     Rows carry `mode`, `threshold`, `gate` and `valid`.
     """
+    scores = stage(scores)
     fresh = F.col("t") <= F.col("last_sensor")
     one = sustained_gate(scores, F.lit(fixed), 1)
     all_mode = one.select("*", F.lit("fixed_all").alias("mode"), F.lit(True).alias("valid"), F.lit(fixed).alias("threshold"))
@@ -225,6 +226,7 @@ def self_calibrate(
     min_windows: int = 8,
 ) -> DataFrame:
     """Median and absolute deviation of an early stretch of the same run scale its later scores."""
+    scores = stage(scores)
     cal = scores.filter((F.col("t") >= start) & (F.col("t") < stop))
     cuts = value_cuts(cal, "score")
     med = quantiles(cal, ["run"], "score", {"median": (0.5, "linear")}, cuts)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from gridwake.functions.numeric import floor_div, ratio
 from gridwake.operators.metrics import f1_of
 from gridwake.plans.ordered import nearest_points, prefix_sums, with_halo
+from gridwake.session import stage
 
 PAIR_BLOCK = 4096
 
@@ -83,7 +84,10 @@ def event_f1(
     """
     by = list(by)
     thr = threshold if isinstance(threshold, Column) else F.lit(threshold)
-    numbered = _starts(_flagged(scores, thr, by, chunk_width), by)
+    flagged = _starts(_flagged(scores, thr, by, chunk_width), by)
+    numbered = stage(
+        flagged.select(*by, "_joint", "pair_no", "true_no", "pred_no", "true_no_total", "pred_no_total")
+    )
     totals = numbered.groupBy(*by).agg(F.max("true_no_total").alias("true_events"), F.max("pred_no_total").alias("pred_events"))
     pairs = numbered.filter("_joint").select(*by, "pair_no", "true_no", "pred_no")
     matched = _taken(pairs, by).groupBy(*by).agg(F.sum(F.col("taken").cast("long")).alias("matched"))

@@ -11,6 +11,7 @@ from gridwake.functions.numeric import floor_div, lerp
 from gridwake.plans.ordered import nearest_points
 from gridwake.plans.panes import explode_range
 from gridwake.plans.quantiles import quantiles
+from gridwake.session import stage
 
 UNKNOWN_CLASS = 5
 GRID_BLOCK = 4096
@@ -115,7 +116,7 @@ def resample_supported(
 ) -> DataFrame:
     """Linear values plus `valid`: inside the span and the bracketing gap at most
     `max(floor, factor * median gap)` of the series.  Series with fewer than two points give 0, invalid."""
-    gaps = sample_gaps(tel, chunk_us)
+    gaps = stage(sample_gaps(tel, chunk_us))
     limits = quantiles(gaps.withColumn("gap_us", F.col("gap_us").cast("double")), ["run", "channel"], "gap_us",
                        {"median": (0.5, "linear")})
     limits = limits.select("run", "channel", F.greatest(F.lit(floor_us), F.lit(factor) * F.col("median")).alias("limit_us"))

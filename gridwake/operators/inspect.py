@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridwake.functions.numeric import is_finite, ratio0
 from gridwake.plans.quantiles import quantiles
+from gridwake.session import stage
 
 NORMAL_CLASSES = ("Normal", "Uncategorized")
 
@@ -137,6 +138,7 @@ def availability(valid: DataFrame, by: Sequence[str] = ("run", "channel")) -> Da
 
 
 def availability_summary(avail: DataFrame, by: Sequence[str]) -> DataFrame:
+    avail = stage(avail)
     q = quantiles(avail, by, "availability", {"median": (0.5, "linear")})
     m = avail.groupBy(*by).agg(F.avg("availability").alias("mean"))
     return m.join(q, list(by))

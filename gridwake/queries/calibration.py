@@ -15,6 +15,7 @@ from gridwake.operators import grid as G
 from gridwake.operators import metrics as M
 from gridwake.operators import pairing as P
 from gridwake.operators import propagation as Pr
+from gridwake.operators.samples import dedupe_ts, valid_samples
 from gridwake.plans.quantiles import quantile_higher
 from gridwake.queries.registry import CHANNELS, CHUNK_US, HOUR_US, STEP_US, TOPICS, Tables, query, topic_expr
 from gridwake.queries.sqlkit import CTE, r, sql
@@ -31,9 +32,9 @@ def wide_telemetry(t: Tables):
         F.struct(F.concat("event_type", F.lit(".k")).alias("channel"), F.get_json_object("props", "$.k").cast("double").alias("value")),
     )
     e = t.events.select(
-        F.col("user_id").alias("run"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), F.explode(fields).alias("f")
+        F.col("user_id").alias("run"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), F.col("event_id").alias("seq"), F.explode(fields).alias("f")
     )
-    return e.select("run", "ts_us", "f.channel", "f.value")
+    return dedupe_ts(valid_samples(e.select("run", "ts_us", "seq", "f.channel", "f.value")))
 
 
 def pair_series(t: Tables):
@@ -289,7 +290,7 @@ def _(t: Tables):
 _BANK = {
     "bank": "SELECT run, w, channel, max(residual) FILTER (feature LIKE '%.value') AS a, max(residual) FILTER (feature LIKE '%.k') AS b, w % 3 <> 0 AS va, w % 4 <> 0 AS vb FROM res GROUP BY ALL",
     "bs": "SELECT c.channel, CASE WHEN s.n >= 3 THEN greatest(1.0::DOUBLE, s.tail) END AS scale, coalesce(s.n, 0) AS valid_count FROM (SELECT DISTINCT channel FROM bank) c LEFT JOIN"
-    " (SELECT channel, count(*) AS n, list_sort(list(a))[ceil(0.99::DOUBLE * (count(*) - 1))::BIGINT + 1] AS tail FROM bank WHERE va AND run % 2 = 0 AND (channel <> 'view' OR (run = 0 AND w < 3)) GROUP BY 1) s USING (channel)",
+    " (SELECT channel, count(*) AS n, list_sort(list(a))[ceil(0.99::DOUBLE * (count(*) - 1))::BIGINT + 1] AS tail FROM bank WHERE va AND run % 2 = 0 AND channel <> 'view' GROUP BY 1) s USING (channel)",
 }
 
 
@@ -302,8 +303,9 @@ def bank_of(t: Tables):
     first = base.select("run", "w", "channel", F.col("a").alias("distance"), (F.col("w") % 3 != 0).alias("valid"))
     second = base.select("run", "w", "channel", F.col("b").alias("distance"), (F.col("w") % 4 != 0).alias("valid"))
     healthy = normal(first)
-    thin = F.when(F.col("channel") == "view", F.col("valid") & (F.col("run") == 0) & (F.col("w") < 3)).otherwise(F.col("valid"))
-    return first, second, C.bank_scale(healthy.withColumn("valid", thin))
+    # the view channel has no valid healthy reference, so its scale is unavailable
+    usable = F.col("valid") & (F.col("channel") != "view")
+    return first, second, C.bank_scale(healthy.withColumn("valid", usable))
 
 
 @query("h18_bank_scale", sql(f"SELECT channel, {r('scale', 'scale')}, valid_count FROM bs", "res", **_BANK))

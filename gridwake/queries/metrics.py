@@ -11,6 +11,7 @@ from gridwake.operators import metrics as M
 from gridwake.plans.quantiles import quantile_higher, top_mean
 from gridwake.queries.registry import Tables, query
 from gridwake.queries.sqlkit import r, sql
+from gridwake.session import stage
 
 CLASSES = (0, 1, 2, 3, 4)
 
@@ -266,7 +267,7 @@ _FLIGHT = """fl AS (SELECT run, kind, split, avg(v) FILTER (rn <= keep) AS score
 )
 def _(t: Tables):
     s = t.events.select(F.col("user_id").alias("run"), "value")
-    flights = top_mean(s, ["run"], "value", 0.05, "score").select("run", "score")
+    flights = stage(top_mean(s, ["run"], "value", 0.05, "score").select("run", "score"))
     flights = flights.withColumns(
         {
             "kind": F.when(F.col("run") % 4 == 0, "unknown").otherwise("normal"),

@@ -132,7 +132,7 @@ def _(t: Tables):
     known = s.filter("group % 4 <> 0")
     model = Tr.fit_forest(split(known, "train"), 0, trees=8, depth=4)
     scores = stage(Tr.score_binary(model, s.filter("split <> 'train'")))
-    per = top_mean(scores, ["split", "group"], "score", 0.2, "run_score").select("split", "group", F.col("run_score").alias("score"))
+    per = stage(top_mean(scores, ["split", "group"], "score", 0.2, "run_score").select("split", "group", F.col("run_score").alias("score")))
     per = per.withColumn("kind", F.when(F.col("group") % 4 == 0, "unknown").otherwise("normal"))
     thr = quantile_higher(per.filter("split = 'validation' AND kind = 'normal'"), "score", 0.9)
     return M.screen_metrics(per.filter("split = 'test'"), thr.select("threshold").scalar())

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridwake.operators.samples import dedupe_ts, valid_samples
 from gridwake.plans.panes import WindowSpec
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +45,10 @@ class Tables:
             F.col("event_id").alias("seq"),
         )
 
+    def clean_telemetry(self) -> DataFrame:
+        """Valid samples, one per (run, channel, timestamp): what resampling expects."""
+        return dedupe_ts(valid_samples(self.telemetry()))
+
     def bounds(self) -> DataFrame:
         return self.telemetry().groupBy("run").agg(F.min("ts_us").alias("start_us"), F.max("ts_us").alias("stop_us"))
 
