@@ -506,7 +506,7 @@ def _(t: Tables):
 @query(
     "h19_gated_evidence",
     sql(
-        f"""SELECT v.run, v.feature, {r("coalesce(avg(greatest(v.residual - n.noise / 3, 0)) FILTER (g.gate), 0)", "evidence")}
+        f"""SELECT v.run, v.feature, {r("coalesce(avg(greatest(v.residual - n.noise * 0.37219473, 0)) FILTER (g.gate), 0)", "evidence")}
         FROM res v JOIN noise n USING (feature) JOIN gt g USING (run, w) GROUP BY ALL""",
         "res", "noise", "gt",
     ),
@@ -517,7 +517,7 @@ def _(t: Tables):
     sc = C.scaled_residual(res, noise)
     gate = C.sustained_gate(C.window_score(C.topic_residual(sc)), F.lit(0.6), 3).select("run", "w", "gate")
     values = res.select("run", "w", "feature", F.col("residual").alias("value"))
-    ref = sc.select("run", "w", "feature", (F.col("noise") / 3).alias("value"))
+    ref = sc.select("run", "w", "feature", (F.col("noise") * 0.37219473).alias("value"))
     return C.gated_evidence(values, ref, gate, ["run"], "feature").withColumn("evidence", rounded("evidence"))
 
 

@@ -11,7 +11,7 @@ from compare import compare, connect
 from gridwake.queries import ORACLES, QUERIES
 
 PATH = "/root/testdata/sf0.001"
-LONG = ("n1_", "n2_", "n3_", "n4_", "n7_", "n8_", "n9_var1_score", "h8", "h11", "h13", "h14", "h16", "h18", "h19", "e18", "e20", "b12", "i12")
+LONG = ("n1_", "n2_", "n3_", "n4_", "n7_", "n8_", "n9_var1_score", "h2_", "h3", "h5", "h6", "h9", "h15", "d5", "d12", "e3", "e7", "h8", "h11", "h13", "h14", "h16", "h18", "h19", "e18", "e20", "b12", "i12")
 NAMES = [n for n in QUERIES if os.environ.get("GRIDWAKE_ALL") or not n.startswith(LONG)]
 
 
