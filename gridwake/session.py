@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,15 +27,24 @@ def build_session(app: str = "gridwake", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh directory below the cluster's shared checkpoint folder.
+    """A fresh directory below the cluster's shared checkpoint folder, deleted when the session's JVM ends.
 
-    A machine-local folder is used only where the session names no shared one (tests).
+    A cluster must name the folder in `spark.checkpoint.dir`; only a single-machine master falls
+    back to that machine's own temporary folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
+    jvm = spark.sparkContext._jvm
     if not root:
-        root = tempfile.mkdtemp(prefix="spark-")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = f"file://{jvm.System.getProperty('java.io.tmpdir')}/gridwake-{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/gridwake-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/gridwake-{uuid.uuid4().hex}"
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(target)
+    files.deleteOnExit(target)
+    return f"{path}/table"
 
 
 def parallelism(spark: SparkSession) -> int:
