@@ -6,7 +6,7 @@ from public_tokenizers import path as vocabulary_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwake.llm import bpe
+from gridwake.llm import bpe, quality
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents"))
+
+
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.round_trip(docs, vocabulary_path(BYTE_BPE))
@@ -27,7 +31,10 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
     "op4_bpe_codec": op4_bpe_codec,
 }
 
-LLM_ORACLES: dict[str, str] = {}
+LLM_ORACLES: dict[str, str] = {
+    "op2_quality_rules": quality.ORACLE,
+}
