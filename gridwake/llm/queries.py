@@ -6,7 +6,7 @@ from public_tokenizers import path as vocabulary_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwake.llm import bpe, quality
+from gridwake.llm import bpe, quality, toxicity
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -30,9 +30,18 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(toxicity.training_rows(docs, _table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 LLM_QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op4_bpe_codec": op4_bpe_codec,
+    "op7_toxicity": op7_toxicity,
 }
 
 LLM_ORACLES: dict[str, str] = {
