@@ -6,7 +6,7 @@ from public_tokenizers import path as vocabulary_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwake.llm import bpe, quality, toxicity
+from gridwake.llm import bpe, fingerprints, quality, toxicity
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -38,10 +38,26 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = fingerprints.with_next(_table(spark, sf_dir, "documents"))
+    own, other = F.col("packed"), F.col("next_packed")
+    docs = docs.withColumn("edited", fingerprints.edited(F.col("text"), F.col("next_text"))).withColumn("edited_packed", fingerprints.fingerprint(F.col("edited")))
+    return docs.select(
+        F.col("id").alias("doc_id"),
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        fingerprints.as_text(own).alias("fingerprint"),
+        fingerprints.as_text(F.col("edited_packed")).alias("edited_fingerprint"),
+        fingerprints.likeness(own, F.col("edited_packed")).alias("near_edited"),
+        fingerprints.likeness(own, other).alias("near_next"),
+    )
+
+
 LLM_QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op4_bpe_codec": op4_bpe_codec,
     "op7_toxicity": op7_toxicity,
+    "op9_fingerprints": op9_fingerprints,
 }
 
 LLM_ORACLES: dict[str, str] = {
