@@ -6,7 +6,7 @@ from public_tokenizers import path as vocabulary_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwake.llm import bpe, fingerprints, quality, toxicity
+from gridwake.llm import bpe, fingerprints, neardup, quality, toxicity
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -30,6 +30,10 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "kept")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(toxicity.training_rows(docs, _table(spark, sf_dir, "labels")))
@@ -56,6 +60,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op4_bpe_codec": op4_bpe_codec,
+    "op5_near_duplicates": op5_near_duplicates,
     "op7_toxicity": op7_toxicity,
     "op9_fingerprints": op9_fingerprints,
 }
