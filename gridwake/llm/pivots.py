@@ -32,14 +32,16 @@ def _measured(pairs: DataFrame, payload: DataFrame, distance: Callable[[Column,
     return pairs.select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", distance(F.col("x"), F.col("y")).alias("d"))
 
 
-def bucket_links(members: DataFrame, payload: DataFrame, distance: Callable[[Column, Column], Column], limit: float) -> DataFrame:
+def bucket_links(members: DataFrame, payload: DataFrame | Callable[[DataFrame], DataFrame], distance: Callable[[Column, Column], Column], limit: float) -> DataFrame:
     """Links `a < b, d` with `d <= limit` between the ids of `members(bucket, id)`.
 
-    `payload(id, data)` has one row per id; `distance` must be a metric on `data`, and may report
+    `payload` has one row `id, data` per id, or is a function that gives one for a table of ids; `distance` must be a metric on `data`, and may report
     any value over `2 * limit` as one fixed value over it.
     """
     first = members.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("_last")).filter("pivot < _last").drop("_last")
     rest = stage(members.join(first, "bucket").filter("id > pivot"))
+    if not isinstance(payload, DataFrame):
+        payload = payload(rest.select("id").union(rest.select("pivot")).distinct())
     found = stage(_measured(rest.select(F.col("pivot").alias("a"), F.col("id").alias("b")), payload, distance))
     links = [found.filter(F.col("d") <= limit)]
     # near the pivot or not: one row per bucket and member, with the distance to the first pivot

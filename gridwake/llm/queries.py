@@ -6,7 +6,7 @@ from public_tokenizers import path as vocabulary_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwake.llm import bpe, fingerprints, neardup, quality, toxicity
+from gridwake.llm import bpe, fingerprints, linededup, neardup, quality, toxicity
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -57,12 +57,17 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.drop_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_dropped")
+
+
 LLM_QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op4_bpe_codec": op4_bpe_codec,
     "op5_near_duplicates": op5_near_duplicates,
     "op7_toxicity": op7_toxicity,
     "op9_fingerprints": op9_fingerprints,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 LLM_ORACLES: dict[str, str] = {

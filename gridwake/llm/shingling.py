@@ -41,12 +41,16 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of `values[start:end]` for every span; equal contents have equal hashes anywhere."""
-    up, down = powers(len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+class Spans:
+    """Hashes of spans of one sequence; equal contents have equal hashes anywhere."""
+
+    def __init__(self, values: np.ndarray):
+        self.up, self.down = powers(len(values) + 1)
+        self.sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * self.up[: len(values)], out=self.sums[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -60,20 +64,24 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), at
 
 
-def shingle_blocks(column: pa.Array) -> Iterator[list[np.ndarray]]:
-    """For blocks of rows, the shingle hashes of each row in text order."""
+def row_blocks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bytes and row offsets of runs of rows; a run is at most a block, or one row."""
     data, at = text_buffers(column)
     first, n = 0, len(at) - 1
     while first < n:
         last = max(first + 1, int(np.searchsorted(at, at[first] + BLOCK, "right")) - 1)
-        yield _shingles(data[at[first] : at[last]], at[first : last + 1] - at[first])
+        yield data[at[first] : at[last]], at[first : last + 1] - at[first]
         first = last
 
 
-def _shingles(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    rows = len(at) - 1
-    if not len(data):
-        return [np.zeros(0, np.uint64)] * rows
+def shingle_blocks(column: pa.Array) -> Iterator[list[np.ndarray]]:
+    """For blocks of rows, the shingle hashes of each row in text order."""
+    for data, at in row_blocks(column):
+        yield _shingles(data, at)
+
+
+def words_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and hash of every word."""
     inside = ~_SPACE[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -84,7 +92,14 @@ def _shingles(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     stop = at[1:][at[1:] > 0] - 1
     closes[stop] = inside[stop]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(closes) + 1
-    words = span_hashes(_BYTE[data], starts, ends)
+    return starts, Spans(_BYTE[data])(starts, ends)
+
+
+def _shingles(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    rows = len(at) - 1
+    if not len(data):
+        return [np.zeros(0, np.uint64)] * rows
+    starts, words = words_of(data, at)
     bounds = np.searchsorted(starts, at)
     total = np.zeros(max(0, len(words) - SHINGLE + 1), np.uint64)
     for k in range(SHINGLE):
