@@ -6,7 +6,7 @@ from public_tokenizers import path as vocabulary_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwake.llm import bpe, fingerprints, linededup, neardup, quality, toxicity
+from gridwake.llm import bpe, fingerprints, linededup, mixing, neardup, quality, toxicity
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -34,6 +34,11 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "kept")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = mixing.token_counts(_table(spark, sf_dir, "documents"), mixing.corpus_levels())
+    return mixing.copies(counts, mixing.corpus_weights()).select(F.col("id").alias("doc_id"), "domain", "lang", "source", "tokens", "copies")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(toxicity.training_rows(docs, _table(spark, sf_dir, "labels")))
@@ -65,6 +70,7 @@ LLM_QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op4_bpe_codec": op4_bpe_codec,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
     "op9_fingerprints": op9_fingerprints,
     "op10_line_dedup": op10_line_dedup,
@@ -72,4 +78,5 @@ LLM_QUERIES = {
 
 LLM_ORACLES: dict[str, str] = {
     "op2_quality_rules": quality.ORACLE,
+    "op6_mixing": mixing.ORACLE,
 }
