@@ -213,6 +213,19 @@ def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", d
     return df.withColumn("__codec", both).withColumns({ids: F.col("__codec.ids"), decoded: F.col("__codec.decoded")}).drop("__codec")
 
 
+def count_tokens(df: DataFrame, path: str, text: str = "text", out: str = "n_tokens") -> DataFrame:
+    """Add the number of ids of each text; the ids themselves stay in the worker."""
+    vocabulary = _broadcast(df, path)
+
+    @F.pandas_udf("long")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        enc, _ = _codec(vocabulary.value)
+        for batch in batches:
+            yield pd.Series([len(enc(t or "")) // 4 for t in batch], dtype="int64")
+
+    return df.withColumn(out, run(F.col(f"`{text}`")))
+
+
 def n_tokens(ids: str = "ids") -> Column:
     return (F.length(F.col(f"`{ids}`")) / 4).cast("long")
 

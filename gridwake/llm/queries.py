@@ -6,7 +6,8 @@ from public_tokenizers import path as vocabulary_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwake.llm import bpe, fingerprints, linededup, mixing, neardup, quality, toxicity
+from gridwake.llm import bpe, fingerprints, lengths, linededup, mixing, neardup, pagediff, quality, toxicity
+from gridwake.session import stage
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -19,6 +20,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"))
 
 
+def op3_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = pagediff.main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared", "n_marked")
+
+
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.round_trip(docs, vocabulary_path(BYTE_BPE))
@@ -47,6 +53,14 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("source", "text")
+    counts = stage(lengths.histogram(bpe.count_tokens(docs, vocabulary_path(BYTE_BPE)), ["source"]))
+    overall = counts.groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
+    both = counts.withColumn("scope", F.lit("source")).unionByName(overall.select(F.lit("all").alias("scope"), F.lit(None).cast("string").alias("source"), "length", "n_docs"))
+    return lengths.suffix_sums(both, ["scope", "source"])
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fingerprints.with_next(_table(spark, sf_dir, "documents"))
     own, other = F.col("packed"), F.col("next_packed")
@@ -68,10 +82,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_page_text": op3_page_text,
     "op4_bpe_codec": op4_bpe_codec,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
+    "op8_token_counts": op8_token_counts,
     "op9_fingerprints": op9_fingerprints,
     "op10_line_dedup": op10_line_dedup,
 }
