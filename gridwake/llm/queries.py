@@ -6,16 +6,22 @@ from public_tokenizers import path as vocabulary_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwake.llm import bpe, fingerprints, lengths, linededup, mixing, neardup, pagediff, quality, toxicity
+from gridwake.llm import bpe, fingerprints, lengths, linededup, mixing, neardup, pagediff, quality, surrogates, toxicity
 from gridwake.session import stage
 
 BYTE_BPE = "byte_bpe_50k.json"
+#: A deployment passes its own secret.
+SURROGATE_KEY = "demonstration key"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace(_table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"))
 
@@ -81,6 +87,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op1_surrogates": op1_surrogates,
     "op2_quality_rules": op2_quality_rules,
     "op3_page_text": op3_page_text,
     "op4_bpe_codec": op4_bpe_codec,
