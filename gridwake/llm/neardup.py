@@ -3,11 +3,12 @@
 A text is its multiset of shingles of five words, weighted by term frequency times inverse
 document frequency. Document frequencies of all texts are counted in `2 ** DF_BITS` hashed cells
 (each shingle's count is its cell's, less the mean cell), so the table has a fixed size; the
-inverse frequency runs from 1 (every text) to 2 (one text) in 16 steps. Improved consistent
-weighted sampling draws 80 samples per text; their variates are looked up in a table of 65,536
-draws by shingle hash and sample number. Sixteen bands of five samples make buckets. A pair that
-shares a bucket is kept if its weighted Jaccard similarity, from the whole multisets, is at least
-0.8; classes are the connected components.
+inverse frequency runs from 1 (every text) to 1.25 (one text) in 16 steps: a wider range would let
+the few edits of a much copied text outweigh what its copies share. Improved consistent weighted
+sampling draws 168 samples per text; their variates are looked up in a table of 65,536 draws by
+shingle hash and sample number. 24 bands of seven samples make buckets: of pairs at 0.8 all but
+0.4 % share one, at 0.5 one in six. A pair that shares a bucket is kept if its weighted Jaccard
+similarity, from the whole multisets, is at least 0.8; classes are the connected components.
 
 Exact copies (equal multisets) are one candidate. Nothing is capped: see `pivots` for large
 buckets.
@@ -34,11 +35,13 @@ from gridwake.llm.shingling import mix, shingle_blocks
 from gridwake.session import stage
 
 SIMILARITY = 0.8
-BANDS, ROWS = 16, 5
+BANDS, ROWS = 24, 7
 DF_BITS = 18
 STEPS = 15
+#: Weight of a shingle of one text, relative to one that every text has, less one.
+SPAN = 0.25
 _DRAWS = 1 << 16
-_SLICE = 4096
+_SLICE = 2048
 
 
 def cell_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -63,7 +66,7 @@ def cell_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def steps_of(cells: np.ndarray, n_docs: int) -> np.ndarray:
-    """Inverse document frequency of each cell as 0 .. `STEPS`; the weight is `1 + step / STEPS`."""
+    """Inverse document frequency of each cell as 0 .. `STEPS`; the weight is `1 + SPAN * step / STEPS`."""
     df = np.clip(cells - cells.mean(), 1.0, max(1, n_docs))
     scaled = np.log1p(n_docs / df) / np.log1p(max(1, n_docs))
     return np.clip(np.rint(scaled * STEPS), 0, STEPS).astype(np.uint8)
@@ -78,7 +81,7 @@ class Sampler:
         self.ln_c = np.log(draw.gamma(2.0, 1.0, _DRAWS))
         self.beta = draw.random(_DRAWS)
         self.odd = mix(np.arange(7_001, 7_001 + samples, dtype=np.uint64)) | np.uint64(1)
-        self.single = np.concatenate([self.ln_a(np.arange(_DRAWS), np.full(_DRAWS, 1 + s / STEPS)) for s in range(STEPS + 1)]).astype(np.float32)
+        self.single = np.concatenate([self.ln_a(np.arange(_DRAWS), np.full(_DRAWS, 1 + SPAN * s / STEPS)) for s in range(STEPS + 1)]).astype(np.float32)
 
     def level(self, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
         return np.floor(np.log(weight) / self.r[at] + self.beta[at])
@@ -97,13 +100,13 @@ class Sampler:
             value = self.single[at + (s.astype(np.int64) * _DRAWS)[None, :]]
             many = np.flatnonzero(f > 1)
             if len(many):
-                value[:, many] = self.ln_a(at[:, many], (f[many] * (1 + s[many] / STEPS))[None, :])
+                value[:, many] = self.ln_a(at[:, many], (f[many] * (1 + SPAN * s[many] / STEPS))[None, :])
             least = value.argmin(axis=1)
             low = value[np.arange(k), least]
             better = low < best
             best[better], who[better] = low[better], b + least[better]
         at = ((self.odd * grams[who]) >> np.uint64(48)).astype(np.int64)
-        level = self.level(at, tf[who] * (1 + steps[who] / STEPS)).astype(np.int64).astype(np.uint64)
+        level = self.level(at, tf[who] * (1 + SPAN * steps[who] / STEPS)).astype(np.int64).astype(np.uint64)
         return mix(grams[who] ^ (level * np.uint64(0x9E3779B97F4A7C15)))
 
 
@@ -123,8 +126,9 @@ def signatures(docs: DataFrame, shared, id_col: str, text: str) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps_by_cell, sampler = shared.value, Sampler()
         for batch in batches:
-            hi, lo, bands, sets = [], [], [], []
+            done = 0
             for block in shingle_blocks(batch.column(3)):
+                hi, lo, bands, sets = [], [], [], []
                 for grams in block:
                     u, tf = np.unique(grams, return_counts=True)
                     digest = np.frombuffer(hashlib.blake2b(u.tobytes() + tf.tobytes(), digest_size=16).digest(), np.int64)
@@ -136,13 +140,14 @@ def signatures(docs: DataFrame, shared, id_col: str, text: str) -> DataFrame:
                     else:
                         bands.append(np.zeros(0, np.int64))
                     sets.append(np.repeat((u >> np.uint64(32)).astype("<u4"), tf).tobytes())
-            flat = np.concatenate(bands) if bands else np.zeros(0, np.int64)
-            at = np.concatenate([[0], np.cumsum([len(b) for b in bands])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(flat))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), lists, pa.array(sets, pa.binary())],
-                ["uid", "id", "text_key", "hi", "lo", "bands", "grams"],
-            )
+                at = np.concatenate([[0], np.cumsum([len(b) for b in bands])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(bands)))
+                rows = batch.slice(done, len(block))
+                done += len(block)
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column(0), rows.column(1), rows.column(2), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), lists, pa.array(sets, pa.binary())],
+                    ["uid", "id", "text_key", "hi", "lo", "bands", "grams"],
+                )
 
     rows = docs.select(
         F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(f"`{text}`").alias("text_key"), F.col(f"`{text}`").alias("t")
@@ -169,15 +174,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar
     reps = signed.groupBy("hi", "lo").agg(F.min("uid").alias("rep"))
     chosen = stage(signed.select("uid", "bands").join(reps.select(F.col("rep").alias("uid")), "uid", "left_semi"))
     members = chosen.select(F.explode("bands").alias("bucket"), F.col("uid").alias("id"))
-    payload = signed.select(F.col("uid").alias("id"), F.col("grams").alias("data"))
+
+    def payload(ids: DataFrame) -> DataFrame:
+        """Multisets of the texts that share a bucket, taken out of the large table once."""
+        return stage(signed.select(F.col("uid").alias("id"), F.col("grams").alias("data")).join(ids, "id", "left_semi"))
 
     @F.pandas_udf("double")
     def distance(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        weights = 1 + shared.value / STEPS
+        weights = 1 + SPAN * shared.value / STEPS
         for xs, ys in batches:
             yield pd.Series([1 - weighted_jaccard(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), weights) for x, y in zip(xs, ys)], dtype=float)
 
-    links = stage(bucket_links(members, payload, distance, 1 - similarity + 1e-12))
+    links = stage(bucket_links(members, payload, distance, 1 - similarity + 1e-12, by_class=True))
     joined = components(links).withColumnRenamed("class", "top")
     # rows -> their representative -> its class; copies of one text count in the reduction before the join
     by_text = reps.join(joined.select(F.col("id").alias("rep"), "top"), "rep", "left").select("hi", "lo", F.coalesce("top", "rep").alias("top"))

@@ -5,7 +5,9 @@ members it does not reach elect a further pivot among themselves, a fixed number
 rest - members that no pivot reached - is compared with all members of the bucket that the
 triangle inequality does not rule out: if `|d(p, x) - d(p, y)| > limit` then `d(x, y) > limit`.
 So no link is lost: two members within the limit are linked or joined through a pivot both reach,
-and a member with a near member of lower id is linked to some member of lower id.
+and a member with a near member of lower id is linked to some member of lower id. Where only
+classes are wanted (`by_class`), members that links already join are not compared again, so a
+large group costs about its size, not its square.
 
 Pivots with very many members are spread by the engine's skew handling: the joins are plain
 equi-joins on ids.
@@ -32,7 +34,7 @@ def _measured(pairs: DataFrame, payload: DataFrame, distance: Callable[[Column,
     return pairs.select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", distance(F.col("x"), F.col("y")).alias("d"))
 
 
-def bucket_links(members: DataFrame, payload: DataFrame | Callable[[DataFrame], DataFrame], distance: Callable[[Column, Column], Column], limit: float) -> DataFrame:
+def bucket_links(members: DataFrame, payload: DataFrame | Callable[[DataFrame], DataFrame], distance: Callable[[Column, Column], Column], limit: float, by_class: bool = False) -> DataFrame:
     """Links `a < b, d` with `d <= limit` between the ids of `members(bucket, id)`.
 
     `payload` has one row `id, data` per id, or is a function that gives one for a table of ids; `distance` must be a metric on `data`, and may report
@@ -59,23 +61,34 @@ def bucket_links(members: DataFrame, payload: DataFrame | Callable[[DataFrame],
         links.append(near)
         reached = again.join(near.select(F.col("a").alias("pivot"), F.col("b").alias("id")), ["pivot", "id"]).select("bucket", "id")
         open_ = stage(open_.join(reached, ["bucket", "id"], "left_anti"))
-    links.append(_measured(_unruled(open_, known, rest, limit), payload, distance).filter(F.col("d") <= limit))
-    out = links[0]
-    for more in links[1:]:
+    so_far = _union(links)
+    if by_class:
+        classes = components(so_far)
+        label = F.coalesce("class", "id").alias("class")
+        open_, known = (t.join(classes, "id", "left").select("bucket", "id", d, label) for t, d in ((open_, "d1"), (known, "d")))
+    left = _measured(_unruled(open_, known, limit, by_class), payload, distance).filter(F.col("d") <= limit)
+    return _union([so_far, left]).distinct()
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for more in frames[1:]:
         out = out.union(more)
-    return out.distinct()
+    return out
 
 
-def _unruled(open_: DataFrame, known: DataFrame, rest: DataFrame, limit: float) -> DataFrame:
+def _unruled(open_: DataFrame, known: DataFrame, limit: float, by_class: bool) -> DataFrame:
     """Pairs of an open member and another member of its bucket whose distances to the pivot differ by at most the limit.
 
     Distances are cut into cells as wide as the limit, so that only equal and adjacent cells meet.
     """
     width = max(limit, 1e-9)
     cell = lambda d: F.floor(F.col(d) / width)
-    x = open_.select("bucket", F.col("id").alias("x"), "d1", F.explode(F.array(cell("d1") - 1, cell("d1"), cell("d1") + 1)).alias("cell"))
-    y = known.select("bucket", F.col("id").alias("y"), "d", cell("d").alias("cell"))
-    near = x.join(y, ["bucket", "cell"]).filter((F.abs(F.col("d1") - F.col("d")) <= limit) & (F.col("x") != F.col("y")))
+    own, other = ([F.col("class").alias(n)] if by_class else [] for n in ("cx", "cy"))
+    x = open_.select("bucket", F.col("id").alias("x"), "d1", *own, F.explode(F.array(cell("d1") - 1, cell("d1"), cell("d1") + 1)).alias("cell"))
+    y = known.select("bucket", F.col("id").alias("y"), "d", *other, cell("d").alias("cell"))
+    apart = F.col("cx") != F.col("cy") if by_class else F.col("x") != F.col("y")
+    near = x.alias("x").join(y.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.cell") == F.col("y.cell")) & (F.abs(F.col("d1") - F.col("d")) <= limit) & apart)
     return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 

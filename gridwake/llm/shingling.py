@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 SHINGLE = 5
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _SPACE = np.zeros(256, bool)

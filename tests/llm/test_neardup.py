@@ -44,7 +44,7 @@ def test_samples_agree_as_often_as_weighted_jaccard():
     st = {int(g): int(s) for g, s in zip(pool, draw.integers(0, 16, 400))}
     of = lambda x: (x, np.array([tf[int(g)] for g in x]), np.array([st[int(g)] for g in x], np.uint8))
     agree = (sampler.samples(*of(a)) == sampler.samples(*of(b))).mean()
-    w = {g: tf[g] * (1 + st[g] / 15) for g in tf}
+    w = {g: tf[g] * (1 + neardup.SPAN * st[g] / 15) for g in tf}
     sa, sb = set(a.tolist()), set(b.tolist())
     truth = sum(w[g] for g in sa & sb) / sum(w[g] for g in sa | sb)
     assert abs(agree - truth) < 0.05
@@ -71,7 +71,7 @@ def test_query_against_all_pairs(spark):
 
     for k, a in enumerate(ids):
         for b in ids[:k]:
-            if (docs[a] == docs[b]) or (docs[a] & docs[b] and neardup.weighted_jaccard(multis[a], multis[b], 1 + steps / 15) >= 0.8):
+            if (docs[a] == docs[b]) or (docs[a] & docs[b] and neardup.weighted_jaccard(multis[a], multis[b], 1 + neardup.SPAN * steps / 15) >= 0.8):
                 x, y = sorted((find(a), find(b)))
                 top[y] = x
     got = {r.doc_id: r for r in LLM_QUERIES["op5_near_duplicates"](spark, PATH).collect()}
