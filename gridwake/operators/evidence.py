@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from gridwake.functions.numeric import ratio0
 from gridwake.functions.text import field_of, topic_of
-from gridwake.session import small_side
 
 LEVELS = ("feature", "channel", "topic", "subsystem")
 
@@ -26,7 +25,7 @@ def predicted_contrib(contrib: DataFrame, preds: DataFrame, key: str = "row", bi
 
 def linear_contributions(features: DataFrame, coefs: DataFrame, means: DataFrame) -> DataFrame:
     """coefficient * (value - mean) of a linear model, per row, class and feature."""
-    return features.join(small_side(coefs), "feature").join(small_side(means), "feature").withColumn(
+    return features.join(coefs, "feature").join(means, "feature").withColumn(
         "contribution", F.col("coef") * (F.col("value") - F.col("mean"))
     )
 
@@ -127,8 +126,8 @@ def evidence_rows(channels: DataFrame, meta: DataFrame, k: int, key: str = "row"
 def mask_features(features: DataFrame, masked: DataFrame, reference: DataFrame, on: Sequence[str] = ("feature",)) -> DataFrame:
     """Replace the listed features with the reference value; all other rows pass unchanged."""
     marks = masked.select(*on).distinct().withColumn("_hit", F.lit(True))
-    ref = small_side(reference.select("feature", F.col("median").alias("_ref")))
-    j = features.join(small_side(marks), list(on), "left").join(ref, "feature", "left")
+    ref = reference.select("feature", F.col("median").alias("_ref"))
+    j = features.join(marks, list(on), "left").join(ref, "feature", "left")
     return j.withColumn("value", F.when(F.col("_hit"), F.col("_ref")).otherwise(F.col("value"))).drop("_hit", "_ref")
 
 

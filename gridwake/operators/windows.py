@@ -11,12 +11,11 @@ from pyspark.sql import functions as F
 
 from gridwake.functions.numeric import floor_div
 from gridwake.plans.panes import WindowSpec, reduce_to_windows, window_count
-from gridwake.session import small_side
 
-# Fixed order of the window descriptors.
+# Names and order of the window descriptors.
 DESCRIPTORS = (
     "mean", "std", "min", "max", "range", "q10", "q25", "q50", "q75", "q90",
-    "start", "end", "delta", "diff_mean", "diff_std", "mean_abs_diff", "max_abs_diff", "lag1",
+    "start", "end", "endpoint_delta", "diff_mean", "diff_std", "diff_abs_mean", "diff_abs_max", "lag1",
 )
 
 
@@ -93,48 +92,85 @@ def window_samples(aligned: DataFrame, spec: WindowSpec, windows_per_block: int
     )
 
 
-def _describe(x: np.ndarray) -> np.ndarray:
-    """Descriptors of the rows of a (windows, samples) array."""
-    d = np.diff(x, axis=1)
-    centred = x - x.mean(axis=1, keepdims=True)
-    lead, trail = centred[:, 1:], centred[:, :-1]
-    spread = np.maximum(lead.std(axis=1) * trail.std(axis=1), 1e-6)
-    low, high = x.min(axis=1), x.max(axis=1)
-    quant = np.quantile(x, (0.10, 0.25, 0.50, 0.75, 0.90), axis=1)
-    cols = {
-        "mean": x.mean(axis=1), "std": x.std(axis=1), "min": low, "max": high, "range": high - low,
-        "q10": quant[0], "q25": quant[1], "q50": quant[2], "q75": quant[3], "q90": quant[4],
-        "start": x[:, 0], "end": x[:, -1], "delta": x[:, -1] - x[:, 0],
-        "diff_mean": d.mean(axis=1), "diff_std": d.std(axis=1),
-        "mean_abs_diff": np.abs(d).mean(axis=1), "max_abs_diff": np.abs(d).max(axis=1),
-        "lag1": (lead * trail).mean(axis=1) / spread,
-    }
-    return np.nan_to_num(np.stack([cols[n] for n in DESCRIPTORS], axis=1), nan=0.0, posinf=0.0, neginf=0.0)
+class _Running:
+    """Moments of stretches of blocks of samples, from running sums that start anew in every block.
+
+    Blocks are rows of a padded matrix, centred on their own means, so that sums stay small.
+    """
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
+        blocks, width = len(sizes), int(sizes.max(initial=0)) + 1
+        owner = np.repeat(np.arange(blocks), sizes)
+        within = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.width, self.raw = width, np.zeros((blocks, width))
+        self.raw[owner, within] = flat
+        self.centre = np.bincount(owner, flat, blocks) / np.maximum(sizes, 1)
+        x = self.raw - self.centre[:, None]
+        self.step = np.diff(self.raw, axis=1, append=0.0)  # the step over a block's end is never read
+        after = np.roll(x, -1, axis=1)
+        self.x, self.xx, self.lag, self.d, self.dd = (self._sums(v) for v in (x, x * x, x * after, np.abs(self.step), self.step**2))
+
+    @staticmethod
+    def _sums(values: np.ndarray) -> np.ndarray:
+        return np.cumsum(np.pad(values, ((0, 0), (1, 0))), axis=1)
+
+    def describe(self, block: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
+        """Rows of descriptors of the windows of `n` samples from `first` on in each block."""
+        steps = n - 1
+
+        def mean(sums: np.ndarray, begin: np.ndarray, size: int) -> np.ndarray:
+            return (sums[block, begin + size] - sums[block, begin]) / size
+
+        def variance(begin: np.ndarray, size: int) -> np.ndarray:
+            return np.maximum(mean(self.xx, begin, size) - mean(self.x, begin, size) ** 2, 0.0)
+
+        # order statistics need the samples themselves: one sort gives them all
+        samples = self.raw[block[:, None], first[:, None] + np.arange(n)]
+        ranked = np.sort(samples, axis=1)
+        spot = np.array([0.10, 0.25, 0.50, 0.75, 0.90]) * (n - 1)
+        low = np.floor(spot).astype(int)
+        quantile = ranked[:, low] + (ranked[:, np.minimum(low + 1, n - 1)] - ranked[:, low]) * (spot - low)
+        centre, slope = mean(self.x, first, n), (samples[:, -1] - samples[:, 0]) / steps
+        whole, early, late = variance(first, n), variance(first, steps), variance(first + 1, steps)
+        wobble = np.maximum(mean(self.dd, first, steps) - slope**2, 0.0)
+        # products of neighbours about the window mean, opened up into running sums
+        product = mean(self.lag, first, steps) - centre * (mean(self.x, first, steps) + mean(self.x, first + 1, steps)) + centre**2
+        # where a difference of sums has lost its digits, sum the few samples again
+        level = mean(self.xx, np.zeros_like(first), self.width - 1)
+        doubt = np.flatnonzero(np.minimum.reduce([whole, early, late, wobble]) <= 1e-6 * level)
+        if len(doubt):
+            about = samples[doubt] - samples[doubt].mean(axis=1)[:, None]
+            whole[doubt], early[doubt], late[doubt] = about.var(axis=1), about[:, :-1].var(axis=1), about[:, 1:].var(axis=1)
+            wobble[doubt] = np.diff(about, axis=1).var(axis=1)
+            product[doubt] = np.einsum("ij,ij->i", about[:, :-1], about[:, 1:]) / steps
+        found = {
+            "mean": centre + self.centre[block], "std": np.sqrt(whole), "min": ranked[:, 0], "max": ranked[:, -1], "range": ranked[:, -1] - ranked[:, 0],
+            "q10": quantile[:, 0], "q25": quantile[:, 1], "q50": quantile[:, 2], "q75": quantile[:, 3], "q90": quantile[:, 4],
+            "start": samples[:, 0], "end": samples[:, -1], "endpoint_delta": samples[:, -1] - samples[:, 0], "diff_mean": slope, "diff_std": np.sqrt(wobble),
+            "diff_abs_mean": mean(self.d, first, steps), "diff_abs_max": np.abs(self.step[block[:, None], first[:, None] + np.arange(steps)]).max(axis=1),
+            "lag1": product / np.maximum(np.sqrt(early * late), 1e-6),
+        }
+        table = np.column_stack([found[name] for name in DESCRIPTORS])
+        return np.where(np.isfinite(table), table, 0.0)
 
 
 def describe_arrays(window: int, stride: int, batch: int = 32768):
     """Arrow UDF: block array, offset and window count -> array of descriptor arrays.
 
-    All windows of an Arrow batch are described together; `batch` bounds the memory of a step.
+    Running sums are made once per Arrow batch, windows are described `batch` at a time.
     """
 
     @F.arrow_udf("array<array<double>>")
     def run(values: pa.Array, offset: pa.Array, count: pa.Array) -> pa.Array:
-        flat = values.flatten().to_numpy(zero_copy_only=False)
         counts = count.to_numpy(zero_copy_only=False).astype(np.int64)
-        begin = values.offsets.to_numpy()[:-1].astype(np.int64) - values.offsets[0].as_py()
-        begin = begin + offset.to_numpy(zero_copy_only=False).astype(np.int64)
+        sums = _Running(values.flatten().to_numpy(zero_copy_only=False), np.diff(values.offsets.to_numpy().astype(np.int64)))
         ends = np.cumsum(counts)
         total = int(ends[-1]) if len(ends) else 0
-        within = np.arange(total) - np.repeat(ends - counts, counts)
-        at = np.repeat(begin, counts) + within * stride
-        axis = np.arange(window)
-        out = [_describe(flat[at[i:i + batch, None] + axis]) for i in range(0, total, batch)]
-        data = np.concatenate(out).ravel() if out else np.empty(0)
-        width = len(DESCRIPTORS)
-        inner = pa.ListArray.from_arrays(pa.array(np.arange(total + 1, dtype=np.int32) * width), pa.array(data))
-        outer = np.concatenate([[0], ends]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(outer), inner)
+        block = np.repeat(np.arange(len(counts)), counts)
+        first = offset.to_numpy(zero_copy_only=False).astype(np.int64)[block] + (np.arange(total) - np.repeat(ends - counts, counts)) * stride
+        parts = [sums.describe(block[k : k + batch], first[k : k + batch], window).ravel() for k in range(0, total, batch)]
+        rows = pa.ListArray.from_arrays(pa.array(np.arange(total + 1, dtype=np.int32) * len(DESCRIPTORS)), pa.array(np.concatenate([np.empty(0), *parts])))
+        return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), rows)
 
     return run
 
@@ -195,6 +231,6 @@ def fit_scaler(aligned: DataFrame, train_windows: DataFrame, spec: WindowSpec) -
 
 
 def apply_scaler(aligned: DataFrame, scaler: DataFrame) -> DataFrame:
-    return aligned.join(small_side(scaler.select("channel", "mean", "std")), "channel").withColumn(
+    return aligned.join(scaler.select("channel", "mean", "std"), "channel").withColumn(
         "value", (F.col("value") - F.col("mean")) / F.col("std")
     ).drop("mean", "std")

@@ -26,7 +26,7 @@ def _(t: Tables):
     return Wn.long_features(described_of(t)).withColumn("value", rounded("value"))
 
 
-_SLICE = ("mean", "std", "range", "delta", "lag1")
+_SLICE = ("mean", "std", "range", "endpoint_delta", "lag1")
 
 
 @query(

@@ -239,7 +239,26 @@ def _(t: Tables):
     return Tx.extract_edges(pages_of(t), _TOKEN, _PUB, _SUB)
 
 
-@query("j11_audit_edges")
+def _hinted(column: str, hints) -> str:
+    return "(" + " OR ".join(f"contains({column}, '{h}')" for h in hints) + ")"
+
+
+@query(
+    "j11_audit_edges",
+    f"""WITH f AS (SELECT regexp_replace(url, '^https?://', '') AS path, html AS text FROM pages),
+    p AS MATERIALIZED (SELECT *, string_split_regex(text, '{_TOKEN}') AS parts, regexp_extract_all(text, '{_TOKEN}', 1) AS toks, regexp_extract_all(text, '{_TOKEN}', 0) AS whole FROM f),
+    o AS (SELECT path, text, parts, toks, whole, unnest(range(1, len(toks) + 1)) AS i FROM p),
+    q AS MATERIALIZED (SELECT path, text, toks[i] AS topic, (list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0))::BIGINT AS b, length(whole[i]) AS l FROM o),
+    c AS (SELECT path, topic, substr(text, 1, b) AS pre, substr(text, b + 1, l) AS hit, substr(text, greatest(0, b - 500) + 1, b + l - greatest(0, b - 500)) AS ctx,
+      substr(text, greatest(0, b - 600) + 1, b - greatest(0, b - 600)) AS head, substr(text, b + l + 1, 600) AS tail FROM q),
+    e AS (SELECT path, topic, 1 + length(pre) - length(replace(pre, chr(10), '')) AS line, {_last(_PUB)} AS pp, {_last(_SUB)} AS sp,
+      CASE WHEN regexp_matches(head, '[;{{}}]') THEN regexp_extract(head, '([^;{{}}]*)$', 1) ELSE pre END || hit || CASE WHEN contains(tail, ';') THEN split_part(tail, ';', 1) || ';' ELSE substr(tail, 1, 300) END AS st FROM c),
+    n AS (SELECT path, topic, line, {_hinted('st', _PUB)} AS is_p, {_hinted('st', _SUB)} AS is_s,
+      CASE WHEN pp < 0 AND sp < 0 THEN 'unclassified' WHEN pp > sp THEN 'publisher' ELSE 'subscriber' END AS role FROM e)
+    SELECT topic, path AS source_file, line::BIGINT AS line, CASE WHEN strpos(path, '/') = 0 THEN '.' ELSE regexp_replace(path, '/[^/]*$', '') END AS module,
+      CASE WHEN is_p THEN 'publisher' ELSE 'subscriber' END AS reference_role, min(role) AS parser_role, min(role) = CASE WHEN is_p THEN 'publisher' ELSE 'subscriber' END AS role_agreement
+    FROM n WHERE is_p <> is_s GROUP BY path, topic, line, is_p""",
+)
 def _(t: Tables):
     a = Tx.audit_edges(pages_of(t), _TOKEN, _PUB, _SUB)
     return a.select("topic", "source_file", "line", "module", "reference_role", "parser_role", "role_agreement")

@@ -82,15 +82,15 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
         'SELECT run, channel, w, avg(x) AS mean, stddev_pop(x) AS std, min(x) AS min, max(x) AS max, max(x) - min(x) AS "range",'
         " quantile_cont(x, 0.10) AS q10, quantile_cont(x, 0.25) AS q25, quantile_cont(x, 0.5) AS q50,"
         " quantile_cont(x, 0.75) AS q75, quantile_cont(x, 0.9) AS q90,"
-        f' arg_min(x, i) AS start, arg_max(x, i) AS "end", arg_max(x, i) - arg_min(x, i) AS delta,'
-        " avg(x - p) AS diff_mean, stddev_pop(x - p) AS diff_std, avg(abs(x - p)) AS mean_abs_diff, max(abs(x - p)) AS max_abs_diff,"
+        f' arg_min(x, i) AS start, arg_max(x, i) AS "end", arg_max(x, i) - arg_min(x, i) AS endpoint_delta,'
+        " avg(x - p) AS diff_mean, stddev_pop(x - p) AS diff_std, avg(abs(x - p)) AS diff_abs_mean, max(abs(x - p)) AS diff_abs_max,"
         " avg((x - mu) * (p - mu)) / greatest(stddev_pop(CASE WHEN p IS NOT NULL THEN x END)"
         " * stddev_pop(CASE WHEN nx IS NOT NULL THEN x END), 1e-6) AS lag1 FROM wmu GROUP BY run, channel, w",
     ),
     "featlong": (
         ("feat",),
-        "UNPIVOT feat ON mean, std, min, max, \"range\", q10, q25, q50, q75, q90, start, \"end\", delta, diff_mean, diff_std,"
-        " mean_abs_diff, max_abs_diff, lag1 INTO NAME descriptor VALUE value",
+        "UNPIVOT feat ON mean, std, min, max, \"range\", q10, q25, q50, q75, q90, start, \"end\", endpoint_delta, diff_mean, diff_std,"
+        " diff_abs_mean, diff_abs_max, lag1 INTO NAME descriptor VALUE value",
     ),
 }
 
@@ -108,7 +108,7 @@ def sql(select: str, *names: str, **extra: str) -> str:
     done: dict[str, str] = {}
     _resolve(names, done)
     done.update(extra)
-    body = ", ".join(f"{n} AS ({b})" for n, b in done.items())
+    body = ", ".join(f"{n} AS MATERIALIZED ({b})" for n, b in done.items())
     return f"WITH {body} {select}" if body else select
 
 

@@ -6,7 +6,6 @@ import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def build_session(app: str = "gridwake", master: str | None = None, **conf: str) -> SparkSession:
@@ -61,12 +60,3 @@ def stage(df: DataFrame) -> DataFrame:
     path = shared_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Stage a dimension-like table and broadcast it only if its counted size allows.
-
-    Beyond the limit the staged table is returned as it is and Spark shuffles for the join.
-    """
-    staged = stage(df)
-    return F.broadcast(staged) if staged.limit(max_rows + 1).count() <= max_rows else staged
