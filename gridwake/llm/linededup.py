@@ -9,7 +9,8 @@ A line of L words is cut into `EDITS + 1` segments. Two lines within the thresho
 them, at a place that the lengths narrow down to five substrings for equal lengths, four and
 three for one and two words more. These twelve substrings, keyed by length, segment and content,
 are the buckets; `pivots` compares their members, and the distance is a banded bit-parallel one
-over many pairs at once. Equal lines are one member, so groups of copies never meet each other.
+over many pairs at once. Lines that no pivot reaches are first screened by bit sketches of their
+words: two edits take at most two words out and bring at most two in. Equal lines are one member, so groups of copies never meet each other.
 
 Texts pass once for keys and once for the words of lines that share a bucket; the lines are picked
 by a bitmap of fixed size, which only saves work. Ids of lines are 64-bit hashes.
@@ -38,6 +39,8 @@ EDITS = 2
 MIN_WORDS = 4
 NEAR_WORDS = 10
 MAP_BITS = 24
+#: 64-bit numbers in the sketch of a line's words.
+SKETCH = 4
 _LOWEST = -(1 << 63)
 #: (words the other line is shorter, segment, shift of the substring): all places where an intact segment can stand.
 PROBES = [
@@ -130,7 +133,7 @@ def id_bitmap(ids: DataFrame) -> np.ndarray:
 
 
 def line_words(docs: DataFrame, bitmap: np.ndarray, text: str) -> DataFrame:
-    """`id, data`: the words, as 32-bit hashes, of lines whose bit is set; one row per line hash."""
+    """`id, data, sketch`: the words, as 32-bit hashes, of lines whose bit is set, and which of 256 bits they fall on; one row per line hash."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,9 +147,14 @@ def line_words(docs: DataFrame, bitmap: np.ndarray, text: str) -> DataFrame:
                     use = use[np.unique(hashes[use], return_index=True)[1]]
                     codes = (words >> np.uint64(32)).astype("<u4")
                     rows = [codes[f : f + n].tobytes() for f, n in zip(first[use].tolist(), count[use].tolist())]
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes[use].view(np.int64)), pa.array(rows, pa.binary())], ["id", "data"])
+                    bits_of = np.zeros((len(use), SKETCH), np.uint64)
+                    line = np.repeat(np.arange(len(use)), count[use])
+                    place = np.concatenate([codes[f : f + n] for f, n in zip(first[use].tolist(), count[use].tolist())] or [codes[:0]]).astype(np.int64)
+                    np.bitwise_or.at(bits_of, (line, (place >> 6) % SKETCH), np.uint64(1) << (place & 63).astype(np.uint64))
+                    sketches = pa.FixedSizeListArray.from_arrays(pa.array(bits_of.ravel().view(np.int64)), SKETCH).cast(pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes[use].view(np.int64)), pa.array(rows, pa.binary()), sketches], ["id", "data", "sketch"])
 
-    return docs.select(F.col(f"`{text}`").alias("t")).mapInArrow(emit, "id long, data binary").dropDuplicates(["id"])
+    return docs.select(F.col(f"`{text}`").alias("t")).mapInArrow(emit, "id long, data binary, sketch array<long>").dropDuplicates(["id"])
 
 
 def banded_distances(xs: list[np.ndarray], ys: list[np.ndarray], most: int = 2 * EDITS) -> np.ndarray:
@@ -209,7 +217,14 @@ def near_lines(docs: DataFrame, lines: DataFrame, text: str) -> DataFrame:
     def payload(ids: DataFrame) -> DataFrame:
         return stage(line_words(docs, id_bitmap(ids), text))
 
-    return bucket_links(members, payload, distance, EDITS).select(F.col("b").alias("hash")).distinct()
+    def missing(a: Column, b: Column) -> Column:
+        each = [F.bit_count(F.get(a, F.lit(k)).bitwiseAND(F.bitwise_not(F.get(b, F.lit(k))))) for k in range(SKETCH)]
+        return sum(each[1:], each[0])
+
+    def screen(a: Column, b: Column) -> Column:
+        return (missing(a, b) <= EDITS) & (missing(b, a) <= EDITS)
+
+    return bucket_links(members, payload, distance, EDITS, screen=screen).select(F.col("b").alias("hash")).distinct()
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

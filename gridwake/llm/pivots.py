@@ -34,11 +34,15 @@ def _measured(pairs: DataFrame, payload: DataFrame, distance: Callable[[Column,
     return pairs.select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", distance(F.col("x"), F.col("y")).alias("d"))
 
 
-def bucket_links(members: DataFrame, payload: DataFrame | Callable[[DataFrame], DataFrame], distance: Callable[[Column, Column], Column], limit: float, by_class: bool = False) -> DataFrame:
+def bucket_links(
+    members: DataFrame, payload: DataFrame | Callable[[DataFrame], DataFrame], distance: Callable[[Column, Column], Column], limit: float,
+    by_class: bool = False, screen: Callable[[Column, Column], Column] | None = None,
+) -> DataFrame:
     """Links `a < b, d` with `d <= limit` between the ids of `members(bucket, id)`.
 
     `payload` has one row `id, data` per id, or is a function that gives one for a table of ids; `distance` must be a metric on `data`, and may report
-    any value over `2 * limit` as one fixed value over it.
+    any value over `2 * limit` as one fixed value over it. `screen` is a necessary condition for a
+    link, on the `sketch` column that the payload then has; it thins out the last comparison.
     """
     first = members.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("_last")).filter("pivot < _last").drop("_last")
     rest = stage(members.join(first, "bucket").filter("id > pivot"))
@@ -66,7 +70,10 @@ def bucket_links(members: DataFrame, payload: DataFrame | Callable[[DataFrame],
         classes = components(so_far)
         label = F.coalesce("class", "id").alias("class")
         open_, known = (t.join(classes, "id", "left").select("bucket", "id", d, label) for t, d in ((open_, "d1"), (known, "d")))
-    left = _measured(_unruled(open_, known, limit, by_class), payload, distance).filter(F.col("d") <= limit)
+    if screen:
+        sketches = payload.select("id", "sketch")
+        open_, known = open_.join(sketches, "id"), known.join(sketches, "id")
+    left = _measured(_unruled(open_, known, limit, by_class, screen), payload, distance).filter(F.col("d") <= limit)
     return _union([so_far, left]).distinct()
 
 
@@ -77,7 +84,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _unruled(open_: DataFrame, known: DataFrame, limit: float, by_class: bool) -> DataFrame:
+def _unruled(open_: DataFrame, known: DataFrame, limit: float, by_class: bool, screen: Callable[[Column, Column], Column] | None) -> DataFrame:
     """Pairs of an open member and another member of its bucket whose distances to the pivot differ by at most the limit.
 
     Distances are cut into cells as wide as the limit, so that only equal and adjacent cells meet.
@@ -85,9 +92,13 @@ def _unruled(open_: DataFrame, known: DataFrame, limit: float, by_class: bool) -
     width = max(limit, 1e-9)
     cell = lambda d: F.floor(F.col(d) / width)
     own, other = ([F.col("class").alias(n)] if by_class else [] for n in ("cx", "cy"))
+    if screen:
+        own, other = [*own, F.col("sketch").alias("sx")], [*other, F.col("sketch").alias("sy")]
     x = open_.select("bucket", F.col("id").alias("x"), "d1", *own, F.explode(F.array(cell("d1") - 1, cell("d1"), cell("d1") + 1)).alias("cell"))
     y = known.select("bucket", F.col("id").alias("y"), "d", *other, cell("d").alias("cell"))
     apart = F.col("cx") != F.col("cy") if by_class else F.col("x") != F.col("y")
+    if screen:
+        apart = apart & screen(F.col("sx"), F.col("sy"))
     near = x.alias("x").join(y.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.cell") == F.col("y.cell")) & (F.abs(F.col("d1") - F.col("d")) <= limit) & apart)
     return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
