@@ -30,8 +30,15 @@ def fit_noise(normal: DataFrame, q: float = 0.99, floor: float = 0.05, by: Seque
     return noise.select(*by, F.greatest(F.col("noise"), F.lit(floor)).alias("noise"))
 
 
+def _calibrated(rows: DataFrame, table: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Rows with their calibration; a row without any fails the job instead of vanishing."""
+    joined = rows.join(table, list(keys), "left")
+    return joined.withColumn(value, require(F.col(value).isNotNull(), value, f"{', '.join(keys)} without {value}"))
+
+
 def scaled_residual(residuals: DataFrame, noise: DataFrame) -> DataFrame:
-    return residuals.join(noise, "feature").withColumn("scaled", F.col("residual") / F.col("noise"))
+    """Residuals in units of their feature's noise; a feature without noise fails the job."""
+    return _calibrated(residuals, noise, ["feature"], "noise").withColumn("scaled", F.col("residual") / F.col("noise"))
 
 
 def topic_residual(scaled: DataFrame, aggregation: str = "max", q: float = 0.9, by: Sequence[str] = ("run", "w", "topic"),
@@ -92,9 +99,10 @@ def fit_event_threshold_quantile(
 
 
 def fit_second_largest(maxima: DataFrame, floor: float = 3.0) -> DataFrame:
-    """Second largest run maximum, equal maxima counted separately."""
+    """Second largest run maximum, equal maxima counted separately; fewer than two runs fail the job."""
     two = maxima.select("maximum").orderBy(F.col("maximum").desc()).limit(2)
-    return two.agg(F.greatest(F.lit(floor), F.min("maximum")).alias("threshold"))
+    found = two.agg(F.greatest(F.lit(floor), F.min("maximum")).alias("_m"), F.count("maximum").alias("_n"))
+    return found.select(require(F.col("_n") == 2, "_m", "two normal runs required").alias("threshold"))
 
 
 def sustained_gate(
@@ -142,7 +150,7 @@ def fit_topic_thresholds(normal_topics: DataFrame, consecutive: int = 3, minimum
 
 def predict_paired_topics(topics: DataFrame, thresholds: DataFrame, consecutive: int = 3) -> tuple[DataFrame, DataFrame]:
     """Each topic has its own gate; a window is gated when any topic is."""
-    j = topics.join(thresholds, "topic")
+    j = _calibrated(topics, thresholds, ["topic"], "threshold")
     own = sustained_gate(j, F.col("threshold"), consecutive, ["run", "topic"], value="value", name="own")
     ratio = F.col("value") / F.col("threshold")
     own = own.withColumns({"_r": ratio, "_e": F.when(F.col("own"), F.greatest(ratio - 1, F.lit(0.0))).otherwise(F.lit(0.0))})
@@ -175,7 +183,7 @@ def persistent_channels(z: DataFrame, consecutive: int = 3, by: Sequence[str] =
 
 def predict_channels(values: DataFrame, calibration: DataFrame, threshold, consecutive: int = 3) -> tuple[DataFrame, DataFrame]:
     """Window gates (any channel above the threshold) and topic evidence over the gated windows."""
-    z = values.join(calibration, "channel").withColumn(
+    z = _calibrated(values, calibration, ["channel"], "scale").withColumn(
         "z", F.greatest(F.lit(0.0), (F.col("value") - F.col("center")) / F.col("scale"))
     )
     p = persistent_channels(z, consecutive)
@@ -214,7 +222,7 @@ def reassess(scores: DataFrame, fixed: float, q: float = 0.99, consecutive: int
     counted = base.groupBy("source", "score").agg(F.count(F.lit(1)).alias("copies"))
     folds = counted.withColumn("fold", F.explode(F.array_remove(sources, F.col("source"))))
     thr = quantiles(folds, ["fold"], "score", {"threshold": (q, "higher")}, value_cuts(base, "score"), "copies").drop("n")
-    joined = scores.join(thr.withColumnRenamed("fold", "source"), "source")
+    joined = _calibrated(scores, thr.withColumnRenamed("fold", "source"), ["source"], "threshold")
     cal = sustained_gate(joined, F.col("threshold"), consecutive)
     cal_mode = cal.select(*scores.columns, "gate", F.lit("calibrated_fresh").alias("mode"), fresh.alias("valid"), "threshold")
     out = all_mode.unionByName(fresh_mode).unionByName(cal_mode)
@@ -235,7 +243,7 @@ def self_calibrate(
     mad = quantiles(dev, ["run"], "_dev", {"mad": (0.5, "linear")}, cuts)
     scale = F.greatest(1.4826 * F.col("mad"), 0.05 * F.abs("median"), F.lit(0.05))
     cals = med.join(mad.drop("n"), "run").select("run", "median", scale.alias("scale"))
-    late = scores.filter(F.col("t") >= detect).join(cals, "run")
+    late = _calibrated(scores.filter(F.col("t") >= detect), cals, ["run"], "scale")
     z = late.withColumn("z", F.greatest(F.lit(0.0), (F.col("score") - F.col("median")) / F.col("scale")))
     return sustained_gate(z, F.lit(threshold), consecutive, value="z")
 

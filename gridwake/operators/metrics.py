@@ -11,12 +11,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridwake.functions.numeric import as_col, ratio, ratio0
+from gridwake.functions.numeric import as_col, is_finite, ratio, ratio0, require
 from gridwake.plans.ordered import prefix_sums, value_cuts, with_range_chunk
 
 
 def score_curve(scores: DataFrame, by: Sequence[str] = (), weight: str | None = None, cuts: Sequence[float] | None = None) -> DataFrame:
-    """Per distinct score: `pos`, `n` at it, `tp`, `seen` at or above it, and the group totals."""
+    """Per distinct score: `pos`, `n` at it, `tp`, `seen` at or above it, and the group totals.
+
+    A score that is not finite fails the job; it would otherwise rank above all others.
+    """
+    scores = scores.withColumn("score", require(is_finite("score"), "score", "scores must be finite"))
     cuts = value_cuts(scores, "score") if cuts is None else cuts
     w = F.lit(1).cast("long") if weight is None else F.col(weight)
     counted = scores.groupBy(*by, "score").agg(F.sum(F.col("label") * w).alias("pos"), F.sum(w).alias("n"))

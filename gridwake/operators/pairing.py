@@ -45,18 +45,26 @@ def interp_join(
 
 def matched_residual(
     target: DataFrame, reference: DataFrame, keys: Sequence[str], chunk_us: int, support: DataFrame | None = None,
-    support_keys: Sequence[str] = (), min_windows: int = 3, digits: int | None = None,
+    support_keys: Sequence[str] = (), min_windows: int = 3, digits: int | None = None, skip_disjoint: bool = False,
 ) -> DataFrame:
-    """|target - interpolated reference|; a pair with fewer than `min_windows` windows fails the job."""
+    """|target - interpolated reference|; a pair with fewer than `min_windows` windows fails the job.
+
+    `skip_disjoint` leaves out pairs that never overlap, instead of failing on them.
+    """
     joined = interp_join(target, reference, keys, chunk_us, support, support_keys)
     res = F.abs(F.col("value") - F.col("matched"))
     joined = joined.withColumn("residual", res if digits is None else F.round(res, digits)).drop("matched")
     if not support_keys:
         return joined
     joined = stage(joined)
-    counts = joined.groupBy(*support_keys).agg(F.count_distinct("w").alias("_nw"))
-    checked = counts.withColumn("_nw", require(F.col("_nw") >= min_windows, "_nw", "too few common windows"))
-    return joined.join(checked.filter("_nw > 0"), list(support_keys)).drop("_nw")
+    # counted from the list of pairs, so that a pair without any overlap fails as well
+    pairs = (target if support is None else support).select(*support_keys).distinct()
+    counts = pairs.join(joined.groupBy(*support_keys).agg(F.count_distinct("w").alias("_nw")), list(support_keys), "left")
+    found = F.coalesce("_nw", F.lit(0))
+    if skip_disjoint:
+        counts = counts.filter(found > 0)
+    checked = counts.withColumn("_nw", require(found >= min_windows, found, "too few common windows"))
+    return checked.filter("_nw > 0").join(joined, list(support_keys)).select(*joined.columns)
 
 
 def shared_packets(a: DataFrame, b: DataFrame, keys: Sequence[str], least: float = 0.5) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridwake.functions.numeric import is_finite, ratio
+from gridwake.functions.numeric import is_finite, ratio, require
 
 VALUE_LIMIT = 1e12
 MAX_RUN_SECONDS = 7200.0
@@ -77,6 +77,24 @@ def require_finite(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
+def require_shape(df: DataFrame, by: Sequence[str], rows: int) -> DataFrame:
+    """The frame itself; fails when some group does not have exactly `rows` rows."""
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    ok = require(F.col("_n") == rows, F.lit(True), f"{', '.join(by)} without exactly {rows} rows")
+    return df.join(counts.withColumn("_ok", ok).filter("_ok").select(*by), list(by), "left_semi")
+
+
+def require_increasing(df: DataFrame, by: Sequence[str], time: str = "ts_us") -> DataFrame:
+    """The frame itself; fails on a time that is missing or occurs twice in a group.
+
+    Rows of a table have no order of their own, so distinct times are what increasing times mean.
+    """
+    at = [*by, time]
+    counts = df.groupBy(*at).agg(F.count(F.lit(1)).alias("_n"))
+    ok = require((F.col("_n") == 1) & F.col(time).isNotNull(), F.lit(True), f"{time} does not increase")
+    return df.join(counts.withColumn("_ok", ok).filter("_ok").select(*at), at, "left_semi")
+
+
 def channel_coverage(admissible: DataFrame, usable_runs: DataFrame, core: float = 0.60) -> DataFrame:
     """Share of usable runs that carry a channel, and whether it belongs to the core set."""
     total = usable_runs.select(F.count(F.lit(1)))

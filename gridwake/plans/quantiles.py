@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridwake.functions.numeric import ceil_rank
+from gridwake.functions.numeric import ceil_rank, is_finite, require
 from gridwake.plans.ordered import prefix_sums, value_cuts, with_range_chunk
 
 
@@ -44,9 +44,12 @@ def quantiles(
 ) -> DataFrame:
     """Exact quantiles per group; each output is `(q, "higher" | "linear")`, plus the count `n`.
 
-    `copies` names a column with the multiplicity of pre-counted rows.
+    `copies` names a column with the multiplicity of pre-counted rows.  NULL means no value; a value
+    that is not finite fails the job, as no comparison with it would ever hold.
     """
-    ranked = value_ranks(df.filter(F.col(value).isNotNull()), by, value, cuts, copies=copies)
+    present = df.filter(F.col(value).isNotNull())
+    present = present.withColumn(value, require(is_finite(value), value, f"{value} is not finite"))
+    ranked = value_ranks(present, by, value, cuts, copies=copies)
     total = F.col("cum_total")
     aggs: list[Column] = [F.max(total).alias("n")]
     finals: list[Column] = [F.col("n")]
@@ -68,7 +71,8 @@ def quantile_higher(df: DataFrame, value: str, q: float, by: Sequence[str] = (),
                     cuts: Sequence[float] | None = None) -> DataFrame:
     if not 0 < q <= 1:
         raise ValueError("quantile must lie in (0, 1]")
-    return quantiles(df, by, value, {name: (q, "higher")}, cuts)
+    out = quantiles(df, by, value, {name: (q, "higher")}, cuts)
+    return out.withColumn(name, require(F.coalesce(F.col("n"), F.lit(0)) > 0, name, f"no {value} to calibrate on"))
 
 
 def top_mean(df: DataFrame, by: Sequence[str], value: str, fraction: float, name: str = "top_mean",

@@ -60,7 +60,7 @@ def support_of(t: Tables):
 def residuals_of(t: Tables):
     """`(run, w, t, feature, channel, topic, residual)` of all pairs; `t` in hours of the target."""
     target, reference = pair_series(t)
-    res = P.matched_residual(target, reference, PAIR_KEYS, CHUNK_US, support_of(t), ["run"], digits=6)
+    res = P.matched_residual(target, reference, PAIR_KEYS, CHUNK_US, support_of(t), ["run"], digits=6, skip_disjoint=True)
     channel = F.split("feature", r"\.")[0]
     res = res.select("run", "w", (F.col("w") * 6.0).alias("t"), "feature", channel.alias("channel"), "residual")
     return stage(res.withColumn("topic", topic_expr("channel")))

@@ -18,7 +18,7 @@ from gridwake.queries.calibration import edges_of, normal, residuals_of
 from gridwake.queries.features import _CHRONO, described_of
 from gridwake.queries.grid import filled_of, labelled_of, windows_of
 from gridwake.queries.metrics import _CLS, _CLS_COLS, SC, class_cte, preds_of
-from gridwake.queries.registry import SPEC, STEP_US, Tables, query
+from gridwake.queries.registry import SPEC, STEP_US, TOPICS, Tables, query, topic_expr
 from gridwake.queries.sqlkit import r, sql
 from gridwake.session import shared_dir, stage
 from gridwake.streaming import gates as St
@@ -39,6 +39,19 @@ def split(store, name: str):
     return store.filter(F.col("split") == name)
 
 
+_DESC = ", ".join(f"({k}, '{d}')" for k, d in enumerate(Wn.DESCRIPTORS))
+
+
+@query(
+    "c17_feature_dictionary",
+    f"""WITH ch AS (SELECT event_type AS channel, row_number() OVER (ORDER BY event_type) - 1 AS c, count(*) OVER () AS n FROM (SELECT DISTINCT event_type FROM events))
+    SELECT (k * n + c)::INT AS feature_index, d || '__' || channel AS feature, d AS descriptor, channel, CASE {' '.join(f"WHEN channel = '{c}' THEN '{x}'" for c, x in TOPICS.items())} END AS topic
+    FROM ch, (VALUES {_DESC}) AS v(k, d)""",
+)
+def _(t: Tables):
+    return Ft.feature_dictionary(t.events.select(F.col("event_type").alias("channel")), topic_expr())
+
+
 @query("n1_binary_boosting")
 def _(t: Tables):
     s = store_of(t)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import shutil
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,7 +24,20 @@ def build_session(app: str = "gridwake", master: str | None = None, **conf: str)
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers once a session, wherever they start."""
+    context = spark.sparkContext
+    home = Path(__file__).parent
+    if home.parent.name.endswith((".zip", ".egg")) or getattr(context, "_gridwake_shipped", False):
+        return
+    base = Path(str(context._jvm.System.getProperty("java.io.tmpdir"))) / f"gridwake-{uuid.uuid4().hex}"
+    context.addPyFile(shutil.make_archive(str(base), "zip", home.parent, home.name))
+    context._gridwake_shipped = True
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -14,9 +14,11 @@ from gridwake.operators import labels as L
 from gridwake.operators import metrics as M
 from gridwake.operators import pairing as P
 from gridwake.operators import propagation as Pr
+from gridwake.operators import samples as S
 from gridwake.operators import source_text as Tx
 from gridwake.operators import windows as Wn
-from gridwake.plans.panes import WindowSpec, window_count, window_starts
+from gridwake.models.features import feature_dictionary
+from gridwake.plans.panes import WindowSpec, explode_range, window_count, window_starts
 from gridwake.plans.quantiles import quantile_higher, top_mean
 from gridwake.sources import annotations as A
 from gridwake.sources import integrity as N
@@ -117,6 +119,55 @@ def test_interpolation_never_extrapolates(spark):
         P.matched_residual(t, ref, ["run"], 2, sup, ["run"]).collect()
 
 
+def test_calibration_fails_closed(spark):
+    scores = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 3.0)], "run string, maximum double")
+    assert rows(C.fit_second_largest(scores)) == [(3.0,)]
+    for wrong, message in (
+        (lambda: quantile_higher(scores.limit(0), "maximum", 0.9), "no maximum to calibrate on"),
+        (lambda: quantile_higher(scores.union(spark.createDataFrame([("c", float("nan"))], "run string, maximum double")), "maximum", 0.9), "not finite"),
+        (lambda: C.fit_second_largest(scores.limit(1)), "two normal runs required"),
+        (lambda: C.fit_event_threshold_quantile(spark.createDataFrame([("a", 0, 20.0, 1.0)], "run string, w long, t double, score double")), "no maximum to calibrate on"),
+        (lambda: M.score_curve(spark.createDataFrame([(1, float("nan")), (0, 1.0)], "label long, score double")), "must be finite"),
+    ):
+        with pytest.raises(Exception, match=message):
+            wrong().collect()
+
+
+def test_rows_without_calibration_fail(spark):
+    res = spark.createDataFrame([("a", 1.0), ("b", 99.0)], "feature string, residual double")
+    noise = spark.createDataFrame([("a", 0.5)], "feature string, noise double")
+    with pytest.raises(Exception, match="feature without noise"):
+        C.scaled_residual(res, noise).collect()
+    assert rows(C.scaled_residual(res.filter("feature = 'a'"), noise).select("scaled")) == [(2.0,)]
+    t = spark.createDataFrame([(0, 0, 5, 1.0), (1, 0, 5, 1.0)], "run long, w long, ts_us long, value double")
+    ref = spark.createDataFrame([(0, 5, 1.0), (1, 50, 1.0)], "run long, ts_us long, value double")
+    sup = spark.createDataFrame([(0, 99, 99), (1, 99, 99)], "run long, target_end long, reference_end long")
+    with pytest.raises(Exception, match="too few common windows"):
+        P.matched_residual(t, ref, ["run"], 10, sup, ["run"], min_windows=1).collect()
+    assert rows(P.matched_residual(t, ref, ["run"], 10, sup, ["run"], min_windows=1, skip_disjoint=True).select("run")) == [(0,)]
+
+
+def test_reversed_bounds_give_no_grid(spark):
+    df = spark.createDataFrame([(0, 0), (1, -3), (2, 2)], "run long, n long")
+    assert rows(explode_range(df, "n", "k").select("run", "k"), "k") == [(2, 0), (2, 1)]
+
+
+def test_shape_and_time_checks(spark):
+    df = spark.createDataFrame([(0, 1), (0, 2), (1, 1), (1, 1)], "run long, ts_us long")
+    assert S.require_shape(df, ["run"], 2).count() == 4
+    with pytest.raises(Exception, match="without exactly 3 rows"):
+        S.require_shape(df, ["run"], 3).collect()
+    assert S.require_increasing(df.filter("run = 0"), ["run"]).count() == 2
+    with pytest.raises(Exception, match="does not increase"):
+        S.require_increasing(df, ["run"]).collect()
+
+
+def test_feature_dictionary(spark):
+    got = rows(feature_dictionary(spark.createDataFrame([("b.y",), ("a.x",), ("a.x",)], "channel string")), "feature_index")
+    assert len(got) == 2 * len(Wn.DESCRIPTORS)
+    assert got[:3] == [(0, "mean__a.x", "mean", "a.x", "a"), (1, "mean__b.y", "mean", "b.y", "b"), (2, "std__a.x", "std", "a.x", "a")]
+
+
 def test_clock_recovery(spark):
     rng = np.random.default_rng(3)
     data = rng.normal(size=(50, 2)).astype("float32")
