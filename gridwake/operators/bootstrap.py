@@ -114,19 +114,21 @@ def pivot_complete(df: DataFrame, row: str, column: str, columns: Sequence, valu
     )
 
 
-def sign_flip_p(clusters: DataFrame, value: str = "difference", max_clusters: int = 16) -> DataFrame:
+def sign_flip_p(clusters: DataFrame, value: str = "difference", max_clusters: int = 32) -> DataFrame:
     """Exact two-sided sign-flip test: share of the 2^m sign patterns at least as extreme.
 
-    `clusters` holds one row per cluster; at most `max_clusters` are allowed.
+    `clusters` holds one row per cluster. Every task takes a stretch of the patterns, so the test
+    is as wide as the cluster has cores; its cost doubles with each row, which `max_clusters` guards.
     """
-    packed = clusters.limit(max_clusters + 1).agg(F.array_sort(F.collect_list(value)).alias("_d"), F.count(F.lit(1)).alias("clusters"))
-    ok = F.when(F.col("clusters") <= max_clusters, F.col("clusters")).otherwise(F.raise_error(F.lit("too many clusters")).cast("long"))
-    packed = packed.withColumn("clusters", ok)
-    flips = packed.withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, cast(clusters as int)) - 1"))))
-    total = F.expr("aggregate(transform(_d, (x, i) -> CASE WHEN (shiftright(_p, i) & 1) = 1 THEN -x ELSE x END), 0D, (a, v) -> a + v)")
-    obs = F.aggregate("_d", F.lit(0.0), lambda a, v: a + v)
-    flips = flips.withColumns({"_t": F.abs(total), "_o": F.abs(obs)})
-    return flips.groupBy("clusters").agg(
-        (F.max("_o") / F.max("clusters")).alias("mean_abs"), F.avg(F.when(F.col("_t") >= F.col("_o") - 1e-12, 1.0).otherwise(0.0)).alias("p_value")
+    spark = clusters.sparkSession
+    found = clusters.select(value).limit(max_clusters + 1).count()
+    if found > max_clusters:
+        raise ValueError(f"more than {max_clusters} clusters: 2^m sign patterns cannot be enumerated")
+    observed = clusters.select(F.array_sort(F.collect_list(value))).scalar()
+    patterns = spark.range(1 << found).select("id", observed.alias("_d"))
+    flipped = F.transform("_d", lambda x, i: F.when(F.call_function("shiftright", F.col("id"), i).bitwiseAND(F.lit(1)) == 1, -x).otherwise(x))
+    total = lambda values: F.abs(F.aggregate(values, F.lit(0.0), lambda a, v: a + v))
+    sums = patterns.select(total(flipped).alias("_t"), total("_d").alias("_o"))
+    return sums.agg(
+        F.lit(found).cast("long").alias("clusters"), (F.max("_o") / found).alias("mean_abs"), F.avg(F.when(F.col("_t") >= F.col("_o") - 1e-12, 1.0).otherwise(0.0)).alias("p_value")
     )
-

@@ -6,15 +6,15 @@ from pyspark.sql import functions as F
 
 from gridwake.functions.numeric import ratio, rounded
 from gridwake.operators import bootstrap as B
-from gridwake.operators import metrics as M
 from gridwake.queries.metrics import CLASSES, SC, line_scores_of, preds_of
 from gridwake.queries.registry import Tables, query
 from gridwake.queries.sqlkit import r, sql
 
-REPS, SEED = 40, 17
+REPS, SEED = 1000, 17
 
 
 def weights_cte(source: str, group: str = '"group"', seed: str = str(SEED), tag: str = "") -> dict[str, str]:
+    # shared expressions are materialised by `sql`, so the draws are made once
     return {
         f"gi{tag}": f"SELECT g, row_number() OVER (ORDER BY md5(g::VARCHAR), g) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT {group} AS g FROM {source})",
         f"dr{tag}": f"SELECT rep, concat('0x', substr(md5('{seed}:' || rep || ':' || idx), 1, 8))::BIGINT % n AS pos, count(*) AS weight FROM gi{tag}, range({REPS}) AS x(rep) GROUP BY ALL",
@@ -164,5 +164,3 @@ def _(t: Tables):
     )
     return B.sign_flip_p(d).withColumns({"mean_abs": rounded("mean_abs"), "p_value": rounded("p_value")})
 
-
-__all__ = ["M"]
