@@ -19,23 +19,27 @@ def wide_steps(aligned: DataFrame) -> DataFrame:
     return rows.join(rows.select("run", (F.col("k") - 1).alias("k"), F.col("x").alias("y")), ["run", "k"])
 
 
-def fit_points(windows: DataFrame, spec: WindowSpec, points: int) -> DataFrame:
-    """Evenly spaced grid positions inside each window, as `(run, k)` rows."""
-    at = np.linspace(0, spec.window - 2, points, dtype=int).tolist()
+def fit_points(windows: DataFrame, spec: WindowSpec, points: int | None = None) -> DataFrame:
+    """Grid positions inside each window, as `(run, k)` rows: every step, or `points` evenly spaced ones.
+
+    The Gram matrix adds up, so every step costs no more memory than a few.
+    """
+    at = list(range(spec.window - 1)) if points is None else np.linspace(0, spec.window - 2, points, dtype=int).tolist()
     return windows.withColumn("_p", F.explode(F.array(*[F.lit(p) for p in at]))).select("run", (F.col("start_k") + F.col("_p")).alias("k"))
 
 
 def gram(steps: DataFrame) -> DataFrame:
-    """Cross sums `(i, j, s)` of z = (1, x, y).  Each Arrow batch is reduced to one small matrix
-    before the shuffle."""
+    """Cross sums `(i, j, s)` of z = (1, x, y).  Each task adds up one small matrix before the shuffle."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g = None
         for pdf in batches:
             if len(pdf):
                 z = np.hstack([np.ones((len(pdf), 1)), np.stack(pdf["x"].to_numpy()), np.stack(pdf["y"].to_numpy())])
-                g = z.T @ z
-                i, j = np.indices(g.shape)
-                yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "s": g.ravel()})
+                g = z.T @ z if g is None else g + z.T @ z
+        if g is not None:
+            i, j = np.indices(g.shape)
+            yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "s": g.ravel()})
 
     parts = steps.select("x", "y").mapInPandas(partial, "i long, j long, s double")
     return parts.groupBy("i", "j").agg(F.sum("s").alias("s"))
@@ -58,11 +62,12 @@ def solve_ridge(cells: DataFrame, alpha: float) -> tuple[np.ndarray, np.ndarray]
 
 def score_var1(steps: DataFrame, windows: DataFrame, coef: np.ndarray, intercept: np.ndarray, spec: WindowSpec) -> DataFrame:
     """Mean squared one-step error per window, over time and channels."""
-    cols = [[float(v) for v in coef[:, j]] for j in range(coef.shape[1])]
-    err = F.lit(0.0)
-    for j, weights in enumerate(cols):
-        dot = F.aggregate(F.zip_with("x", F.array(*[F.lit(w) for w in weights]), lambda a, b: a * b), F.lit(float(intercept[j])), lambda a, v: a + v)
-        err = err + F.pow(dot - F.col("y")[j], 2)
-    per = steps.select("run", "k", (err / len(cols)).alias("e"))
+
+    @F.pandas_udf("double")
+    def error(x: pd.Series, y: pd.Series) -> pd.Series:
+        missed = np.stack(x.to_numpy()) @ coef + intercept - np.stack(y.to_numpy()) if len(x) else np.empty((0, 1))
+        return pd.Series((missed**2).mean(axis=1))
+
+    per = steps.select("run", "k", error("x", "y").alias("e"))
     sums = reduce_to_windows(per, ["run"], "k", spec.window - 1, spec.stride, {"e": ("e", "sum")})
     return windows.join(sums, ["run", "w"]).withColumn("score", F.col("e") / (spec.window - 1)).drop("e")

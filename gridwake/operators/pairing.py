@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridwake.functions.numeric import floor_div, is_finite, lerp, require
 from gridwake.functions.text import pair_key
 from gridwake.plans.ordered import nearest_points
+from gridwake.plans.quantiles import quantiles
 from gridwake.session import stage
 
 
@@ -107,13 +108,13 @@ def parity_audit(a: DataFrame, b: DataFrame, keys: Sequence[str], chunk_us: int)
 
 def clock_offset(
     source: DataFrame, replay: DataFrame, origins: DataFrame, payload: Sequence[str], by: Sequence[str] = ("run",),
-    anchors: int = 256, min_matches: int = 8, tolerance_us: int = 1000,
+    anchors: int | None = None, min_matches: int = 8, tolerance_us: int = 1000,
 ) -> DataFrame:
     """Clock origin of a replay, from payloads that occur once in the source.
 
-    Only the first `anchors` replay samples count.  The offset is the truncated median of the
-    matched time differences; too few matches, a deviation above the tolerance or a negative
-    origin fails the job.
+    Every replay sample counts, or only the first `anchors` of a run.  The offset is the truncated
+    median of the matched time differences; too few matches, a deviation above the tolerance or a
+    negative origin fails the job.
     """
     by = list(by)
     key = F.concat_ws("|", *[F.col(c).cast("float").cast("string") for c in payload])
@@ -123,17 +124,14 @@ def clock_offset(
     unique = (
         source.withColumn("_key", key).groupBy(*by, "_key").agg(F.count(F.lit(1)).alias("_n"), F.min("ts_us").alias("_src")).filter("_n = 1")
     )
-    w = Window.partitionBy(*by).orderBy("ts_us", "seq")
-    early = replay.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= anchors)
-    matched = early.withColumn("_key", key).filter(finite).join(unique, [*by, "_key"])
+    if anchors is not None:
+        w = Window.partitionBy(*by).orderBy("ts_us", "seq")
+        replay = replay.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= anchors)
+    matched = replay.withColumn("_key", key).filter(finite).join(unique, [*by, "_key"])
     offsets = matched.select(*by, (F.col("ts_us") - F.col("_src")).alias("_off"))
-    # at most `anchors` rows a run remain, so the median fits one aggregation buffer
-    stats = offsets.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("matches"),
-        F.percentile("_off", F.lit(0.5)).cast("long").alias("offset_us"),
-        F.min("_off").alias("_lo"),
-        F.max("_off").alias("_hi"),
-    )
+    offsets = stage(offsets)
+    median = quantiles(offsets, by, "_off", {"_mid": (0.5, "linear")}).select(*by, F.col("n").alias("matches"), F.col("_mid").cast("long").alias("offset_us"))
+    stats = median.join(offsets.groupBy(*by).agg(F.min("_off").alias("_lo"), F.max("_off").alias("_hi")), by)
     dev = F.greatest(F.abs(F.col("_lo") - F.col("offset_us")), F.abs(F.col("_hi") - F.col("offset_us")))
     origin = F.col("origin_us") + F.col("offset_us")
     j = origins.join(stats, by, "left")

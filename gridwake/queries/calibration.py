@@ -245,7 +245,7 @@ def _(t: Tables):
     """WITH s AS (SELECT user_id AS run, epoch_us(ts) AS ts_us, value::FLOAT AS a, (props->>'$.k')::FLOAT AS b, event_id AS seq FROM events),
     u AS (SELECT run, a, b, min(ts_us) AS src FROM s GROUP BY ALL HAVING count(*) = 1),
     rp AS (SELECT run, ts_us + 5000000 + run * 1000 + seq % 3 AS ts_us, a, b, row_number() OVER (PARTITION BY run ORDER BY ts_us, seq) AS rn FROM s),
-    o AS (SELECT run, rp.ts_us - src AS off FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY ts_us, rn) AS pos FROM rp WHERE rn > 3) rp JOIN u USING (run, a, b) WHERE pos <= 40),
+    o AS (SELECT run, rp.ts_us - src AS off FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY ts_us, rn) AS pos FROM rp WHERE rn > 3) rp JOIN u USING (run, a, b)),
     q AS (SELECT run, count(*) AS matches, trunc(quantile_cont(off, 0.5))::BIGINT AS offset_us, min(off) AS lo, max(off) AS hi FROM o GROUP BY run)
     SELECT run, matches, offset_us, greatest(abs(lo - offset_us), abs(hi - offset_us)) AS max_deviation_us, run * 10 + offset_us AS origin_us FROM q""",
 )
@@ -257,7 +257,7 @@ def _(t: Tables):
     numbered = C.number_rows(e, ["run"], "ts_us", CHUNK_US, ["seq"], "pos").filter("pos >= 3")
     replay = numbered.withColumn("ts_us", F.col("ts_us") + 5000000 + F.col("run") * 1000 + F.col("seq") % 3)
     origins = e.groupBy("run").agg((F.max("run") * 10).alias("origin_us"))
-    return P.clock_offset(e, replay, origins, ["a", "b"], anchors=40)
+    return P.clock_offset(e, replay, origins, ["a", "b"])
 
 
 _MANIFEST = """mf AS (SELECT 'm' || o_orderstatus || '__' || strftime(o_orderdate, '%Y-%m-%d') || '__' || lpad((o_custkey % 20)::VARCHAR, 2, '0') || '__' || c AS run_id,

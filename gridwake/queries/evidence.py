@@ -173,9 +173,9 @@ def _(t: Tables):
     spread = c.withColumn("p", F.explode(sets)).select("row", "true_class", "feature", "value", "p.*")
     masked = V.mask_features(spread, plan, ref, ["variant", "k", "repeat", "feature"])
     scored = masked.groupBy("variant", "k", "repeat", "row", "true_class").agg(F.sum(F.col("value") * weight).alias("s"))
-    acc = scored.groupBy("variant", "k", "repeat").agg(right.alias("macro_f1"))
+    acc = scored.groupBy("variant", "k", "repeat").agg(right.alias("accuracy"))
     base = c.groupBy("row", "true_class").agg(F.sum(F.col("value") * weight).alias("s")).agg(right).scalar()
-    return V.masking_drop(base, acc).withColumns({"drop": rounded("drop"), "k": F.col("k").cast("int")})
+    return V.masking_drop(base, acc, metric="accuracy").withColumns({"drop": rounded("drop"), "k": F.col("k").cast("int")})
 
 
 @query(

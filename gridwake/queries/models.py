@@ -153,7 +153,7 @@ def _(t: Tables):
 
 _VAR = {
     "ch0": "SELECT channel, row_number() OVER (ORDER BY channel) AS ci FROM chan",
-    "pt": f"SELECT c.run, c.start_k + p AS k FROM chrono c JOIN wlab l USING (run, w), (VALUES (0), ({(W - 2) // 2}), ({W - 2})) AS v(p) WHERE c.split = 'train' AND l.label = 0",
+    "pt": f"SELECT c.run, c.start_k + p AS k FROM chrono c JOIN wlab l USING (run, w), range({W - 1}) AS v(p) WHERE c.split = 'train' AND l.label = 0",
     "z": "SELECT p.run, p.k, p.n, 0 AS i, 1.0::DOUBLE AS v FROM (SELECT run, k, count(*) AS n FROM pt GROUP BY ALL) p UNION ALL"
     " SELECT p.run, p.k, p.n, c.ci, f.value FROM (SELECT run, k, count(*) AS n FROM pt GROUP BY ALL) p JOIN filled f ON f.run = p.run AND f.k = p.k JOIN ch0 c USING (channel) UNION ALL"
     " SELECT p.run, p.k, p.n, c.ci + 5, f.value FROM (SELECT run, k, count(*) AS n FROM pt GROUP BY ALL) p JOIN filled f ON f.run = p.run AND f.k = p.k + 1 JOIN ch0 c USING (channel)",
@@ -164,7 +164,7 @@ def var_inputs(t: Tables):
     aligned = stage(filled_of(t))
     steps = stage(Va.wide_steps(aligned))
     wins = stage(Wn.window_label(Sp.split_chrono(windows_of(t)), labelled_of(t), SPEC).select("run", "w", "start_k", "split", "label"))
-    points = Va.fit_points(wins.filter("split = 'train' AND label = 0"), SPEC, 3)
+    points = Va.fit_points(wins.filter("split = 'train' AND label = 0"), SPEC)
     return steps, wins, points.join(steps, ["run", "k"])
 
 

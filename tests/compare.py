@@ -47,7 +47,7 @@ def compare(spark, con, name, queries, oracles, path) -> dict:
     gn, gr = _rows(df.columns, [tuple(x) for x in got])
     out = {"name": name, "rows": len(gr), "spark_s": round(spark_s, 2), "ok": True, "why": ""}
     if name not in oracles:
-        out["why"] = "no check"
+        out.update(ok=False, why="no check")
         return out
     began = time.time()
     cur = con.execute(oracles[name])
