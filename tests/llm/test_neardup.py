@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gridwake.llm import neardup
@@ -20,8 +21,6 @@ def grams(text):
 
 
 def test_shingles_follow_words():
-    import pyarrow as pa
-
     draw = random.Random(1)
     texts = [None, "", " ", "a", "a b", *[" ".join(draw.choices(["é", "b", "cc", "日"], k=draw.randint(1, 40))) + draw.choice(["", "\n", " x\t"]) for _ in range(300)]]
     got = [g for block in shingle_blocks(pa.array(texts)) for g in block]
@@ -50,15 +49,13 @@ def test_samples_agree_as_often_as_weighted_jaccard():
     assert abs(agree - truth) < 0.05
 
 
-def test_query_against_all_pairs(spark):
-    docs = {r.doc_id: grams(r.text) for r in spark.read.parquet(f"{PATH}/documents.parquet").collect()}
-    table = spark.read.parquet(f"{PATH}/documents.parquet")
-    cells = neardup.cell_counts(table)
-    steps = neardup.steps_of(cells, len(docs))
-    import pyarrow as pa
-
+def brute_classes(table):
+    """Least id of the class of every id, from all pairs."""
+    texts = {r.doc_id: r.text for r in table.select("doc_id", "text").collect()}
+    docs = {i: grams(t) for i, t in texts.items()}
+    weights = 1 + neardup.SPAN * neardup.steps_of(neardup.cell_counts(table), len(docs)) / 15
     multis = {}
-    for i, t in ((r.doc_id, r.text) for r in table.collect()):
+    for i, t in texts.items():
         u, f = np.unique(next(iter(shingle_blocks(pa.array([t]))))[0], return_counts=True)
         multis[i] = np.repeat((u >> np.uint64(32)).astype("<u4"), f)
     ids = sorted(docs)
@@ -71,12 +68,17 @@ def test_query_against_all_pairs(spark):
 
     for k, a in enumerate(ids):
         for b in ids[:k]:
-            if (docs[a] == docs[b]) or (docs[a] & docs[b] and neardup.weighted_jaccard(multis[a], multis[b], 1 + neardup.SPAN * steps / 15) >= 0.8):
+            if docs[a] == docs[b] or (docs[a] & docs[b] and neardup.weighted_jaccard(multis[a], multis[b], weights) >= 0.8):
                 x, y = sorted((find(a), find(b)))
                 top[y] = x
+    return {i: find(i) for i in ids}
+
+
+def test_query_against_all_pairs(spark):
+    want = brute_classes(spark.read.parquet(f"{PATH}/documents.parquet"))
     got = {r.doc_id: r for r in LLM_QUERIES["op5_near_duplicates"](spark, PATH).collect()}
-    assert {i: r.class_id for i, r in got.items()} == {i: find(i) for i in ids}
-    assert sorted(i for i, r in got.items() if r.kept) == sorted({find(i) for i in ids})
+    assert {i: r.class_id for i, r in got.items()} == want
+    assert sorted(i for i, r in got.items() if r.kept) == sorted(set(want.values()))
 
 
 def test_large_near_group_and_edges(spark):
