@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridwake.functions.numeric import rounded
@@ -12,8 +13,8 @@ from gridwake.queries.registry import Tables, query
 from gridwake.queries.sqlkit import r, sql
 
 GR = {
-    "ed": "SELECT DISTINCT p_brand AS topic, CASE l_returnflag WHEN 'R' THEN 'publisher' ELSE 'subscriber' END AS role, 'm' || (l_suppkey % 40) AS module"
-    " FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag <> 'N' AND l_quantity >= 49 AND p_brand <> 'Brand#7'",
+    "ed": "SELECT topic, role, module FROM (SELECT p_brand AS topic, CASE l_returnflag WHEN 'R' THEN 'publisher' ELSE 'subscriber' END AS role, 'm' || (l_suppkey % 40) AS module, sum(l_quantity) AS q"
+    " FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL) QUALIFY 10 * q * count(*) OVER (PARTITION BY topic, role) >= 13 * sum(q) OVER (PARTITION BY topic, role) AND topic <> 'Brand#7'",
     "im": "SELECT l_linestatus AS scope, p_brand AS topic, sum(l_extendedprice) / 1e6 AS value FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL",
     "al_b": "SELECT DISTINCT topic, module, 1.0::DOUBLE / count(*) OVER (PARTITION BY topic) AS weight FROM (SELECT DISTINCT topic, module FROM ed)",
     "al_p": "SELECT DISTINCT topic, module, 1.0::DOUBLE / count(*) OVER (PARTITION BY topic) AS weight FROM (SELECT DISTINCT topic, module FROM ed WHERE role = 'publisher')",
@@ -27,11 +28,13 @@ MODES = ("bidirectional", "producer_only", "consumer_only", "topic_only")
 
 
 def edges_of(t: Tables):
-    li = t.lineitem.filter("l_returnflag <> 'N' AND l_quantity >= 49").join(t.part, F.col("p_partkey") == F.col("l_partkey"))
+    """A module is an edge of a brand if it moves at least 1.3 times the brand's mean quantity; one brand is left unmapped."""
+    li = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey"))
     role = F.when(F.col("l_returnflag") == "R", "publisher").otherwise("subscriber")
-    return li.filter("p_brand <> 'Brand#7'").select(
-        F.col("p_brand").alias("topic"), role.alias("role"), F.concat(F.lit("m"), F.col("l_suppkey") % 40).alias("module")
-    ).distinct()
+    moved = li.groupBy(F.col("p_brand").alias("topic"), role.alias("role"), F.concat(F.lit("m"), F.col("l_suppkey") % 40).alias("module")).agg(F.sum("l_quantity").alias("q"))
+    peers = Window.partitionBy("topic", "role")
+    strong = 10 * F.col("q") * F.count(F.lit(1)).over(peers) >= 13 * F.sum("q").over(peers)
+    return moved.withColumn("_s", strong).filter("_s AND topic <> 'Brand#7'").select("topic", "role", "module")
 
 
 def importance_of(t: Tables):
