@@ -27,8 +27,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from gridwake.llm.pivots import bucket_links, components
 from gridwake.llm.shingling import mix, shingle_blocks
@@ -165,6 +166,34 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray, weights: np.ndarray) -> float
     return both / total if total else 1.0
 
 
+@F.pandas_udf(ArrayType(LongType()))
+def bit_sketch(grams: pd.Series) -> pd.Series:
+    """Number of shingles, and which of 1,024 bits they fall on."""
+    out = []
+    for data in grams:
+        codes = np.frombuffer(data, "<u4")
+        bits = np.zeros(1024, np.uint8)
+        bits[codes & 1023] = 1
+        out.append([len(codes), *np.packbits(bits, bitorder="little").view("<i8").tolist()])
+    return pd.Series(out, dtype=object)
+
+
+def may_reach(similarity: float):
+    """A condition that pairs of at least this weighted similarity meet.
+
+    Weights lie between 1 and `1 + SPAN`. A pair at the similarity shares weight I and differs in at
+    most `(1 / similarity - 1) * I`; so it differs in at most that share, times `1 + SPAN`, of the
+    shingles of the smaller text, and each bit set on one side only stands for one that differs.
+    """
+    share = (1 / similarity - 1) * (1 + SPAN) + 1e-9
+
+    def screen(a: Column, b: Column) -> Column:
+        each = [F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(1, 17)]
+        return sum(each[1:], each[0]) <= F.least(F.get(a, F.lit(0)), F.get(b, F.lit(0))) * share
+
+    return screen
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """`id, text_key, class_id, kept` per row: the least id of its class; the one row of a class that stays."""
     spark = docs.sparkSession
@@ -176,8 +205,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar
     members = chosen.select(F.explode("bands").alias("bucket"), F.col("uid").alias("id"))
 
     def payload(ids: DataFrame) -> DataFrame:
-        """Multisets of the texts that share a bucket, taken out of the large table once."""
-        return stage(signed.select(F.col("uid").alias("id"), F.col("grams").alias("data")).join(ids, "id", "left_semi"))
+        """Multisets of the texts that share a bucket, taken out of the large table once, and their sketches."""
+        met = signed.select(F.col("uid").alias("id"), F.col("grams").alias("data")).join(ids, "id", "left_semi")
+        return stage(met.withColumn("sketch", bit_sketch("data")))
 
     @F.pandas_udf("double")
     def distance(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -185,7 +215,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar
         for xs, ys in batches:
             yield pd.Series([1 - weighted_jaccard(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), weights) for x, y in zip(xs, ys)], dtype=float)
 
-    links = stage(bucket_links(members, payload, distance, 1 - similarity + 1e-12, by_class=True))
+    links = stage(bucket_links(members, payload, distance, 1 - similarity + 1e-12, by_class=True, screen=may_reach(similarity)))
     joined = components(links).withColumnRenamed("class", "top")
     # rows -> their representative -> its class; copies of one text count in the reduction before the join
     by_text = reps.join(joined.select(F.col("id").alias("rep"), "top"), "rep", "left").select("hi", "lo", F.coalesce("top", "rep").alias("top"))
