@@ -1,6 +1,7 @@
 """Links inside buckets of candidates, without all pairs of a bucket, and classes of linked ids.
 
-Every member of a bucket is compared with the bucket's least id (the pivot). In large buckets the
+Every member of a bucket is compared with the bucket's pivot: its least id, or where only classes
+are wanted the member that meets most others in all its buckets. In large buckets the
 members it does not reach elect a further pivot among themselves, a fixed number of times. The
 rest - members that no pivot reached - is compared with all members of the bucket that the
 triangle inequality does not rule out: if `|d(p, x) - d(p, y)| > limit` then `d(x, y) > limit`.
@@ -25,6 +26,8 @@ from gridwake.session import stage
 #: Members not reached from which a bucket elects one more pivot, and how often at most.
 LARGE = 16
 ROUNDS = 3
+#: Rank of a member that has been a pivot.
+_LAST = -(1 << 63)
 
 
 def _measured(pairs: DataFrame, payload: DataFrame, distance: Callable[[Column, Column], Column]) -> DataFrame:
@@ -44,27 +47,37 @@ def bucket_links(
     any value over `2 * limit` as one fixed value over it. `screen` is a necessary condition for a
     link, on the `sketch` column that the payload then has; it thins out the last comparison.
     """
-    first = members.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("_last")).filter("pivot < _last").drop("_last")
-    rest = stage(members.join(first, "bucket").filter("id > pivot"))
+    ends = members.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).filter("low < high")
+    shared = members.join(ends, "bucket").select("bucket", "id", "n")
+    if by_class:
+        # whoever meets most members in all its buckets lies in the middle of its group and reaches most of it
+        met = stage(shared)
+        shared = met.join(met.groupBy("id").agg(F.sum("n").alias("rank")), "id").select("bucket", "id", "rank")
+    else:
+        shared = shared.select("bucket", "id", (-F.col("id")).alias("rank"))
+    shared = stage(shared)
+    rest = stage(shared.join(_pivots(shared), "bucket").filter("id <> pivot"))
     if not isinstance(payload, DataFrame):
-        payload = payload(rest.select("id").union(rest.select("pivot")).distinct())
-    found = stage(_measured(rest.select(F.col("pivot").alias("a"), F.col("id").alias("b")), payload, distance))
+        payload = payload(shared.select("id").distinct())
+    found = stage(_measured(_pairs(rest), payload, distance))
     links = [found.filter(F.col("d") <= limit)]
     # near the pivot or not: one row per bucket and member, with the distance to the first pivot
-    known = rest.join(found.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "d"), ["pivot", "id"]).select("bucket", "id", "d")
-    open_ = stage(known.filter(F.col("d") > limit).select("bucket", "id", F.col("d").alias("d1")))
+    known = _with_distance(rest, found).select("bucket", "id", "rank", "d")
+    open_ = stage(known.filter(F.col("d") > limit).select("bucket", "id", "rank", F.col("d").alias("d1")))
     if open_.isEmpty():
         return links[0]
     for _ in range(ROUNDS):
-        heads = open_.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).filter(F.col("n") > LARGE).drop("n")
-        again = stage(open_.join(heads, "bucket").filter("id > pivot"))
+        crowded = open_.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > LARGE).select("bucket")
+        crowd = open_.join(crowded, "bucket")
+        again = stage(crowd.join(_pivots(crowd), "bucket").filter("id <> pivot"))
         if again.isEmpty():
             break
-        found = stage(_measured(again.select(F.col("pivot").alias("a"), F.col("id").alias("b")), payload, distance))
+        found = stage(_measured(_pairs(again), payload, distance))
         near = found.filter(F.col("d") <= limit)
         links.append(near)
-        reached = again.join(near.select(F.col("a").alias("pivot"), F.col("b").alias("id")), ["pivot", "id"]).select("bucket", "id")
-        open_ = stage(open_.join(reached, ["bucket", "id"], "left_anti"))
+        reached = _with_distance(again, near).select("bucket", "id")
+        left = open_.join(reached, ["bucket", "id"], "left_anti").join(again.select("bucket", F.col("pivot").alias("id"), F.lit(True).alias("done")).distinct(), ["bucket", "id"], "left")
+        open_ = stage(left.select("bucket", "id", F.when(F.col("done"), _LAST).otherwise(F.col("rank")).alias("rank"), "d1"))
     so_far = _union(links)
     if by_class:
         classes = components(so_far)
@@ -77,6 +90,19 @@ def bucket_links(
     return _union([so_far, left]).distinct()
 
 
+def _pivots(shared: DataFrame) -> DataFrame:
+    """`bucket, pivot`: the member of highest rank, of equals the one of lowest id."""
+    return shared.groupBy("bucket").agg(F.max(F.struct("rank", (-F.col("id")).alias("id"))).alias("top")).select("bucket", (-F.col("top.id")).alias("pivot"))
+
+
+def _pairs(rest: DataFrame) -> DataFrame:
+    return rest.select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b"))
+
+
+def _with_distance(rest: DataFrame, found: DataFrame) -> DataFrame:
+    return rest.withColumns({"a": F.least("pivot", "id"), "b": F.greatest("pivot", "id")}).join(found, ["a", "b"])
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for more in frames[1:]:
