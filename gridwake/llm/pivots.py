@@ -5,10 +5,11 @@ are wanted the member that meets most others in all its buckets. In large bucket
 members it does not reach elect a further pivot among themselves, a fixed number of times. The
 rest - members that no pivot reached - is compared with all members of the bucket that the
 triangle inequality does not rule out: if `|d(p, x) - d(p, y)| > limit` then `d(x, y) > limit`.
-So no link is lost: two members within the limit are linked or joined through a pivot both reach,
-and a member with a near member of lower id is linked to some member of lower id. Where only
-classes are wanted (`by_class`), members that links already join are not compared again, so a
-large group costs about its size, not its square.
+So a member with a near member of lower id is linked to some member of lower id. Where only
+classes are wanted (`by_class`), two members within the limit always end in one class: after the
+rounds, members of different classes are compared whether a pivot reached them or not. Of two
+such members at least one lies outside the bucket's largest class, so only these look for
+partners, and a large group costs about its size, not its square.
 
 Pivots with very many members are spread by the engine's skew handling: the joins are plain
 equi-joins on ids.
@@ -46,6 +47,7 @@ def bucket_links(
     `payload` has one row `id, data` per id, or is a function that gives one for a table of ids; `distance` must be a metric on `data`, and may report
     any value over `2 * limit` as one fixed value over it. `screen` is a necessary condition for a
     link, on the `sketch` column that the payload then has; it thins out the last comparison.
+    With `by_class` the links join whatever all links would join, and no more is promised.
     """
     ends = members.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).filter("low < high")
     shared = members.join(ends, "bucket").select("bucket", "id", "n")
@@ -66,7 +68,8 @@ def bucket_links(
     open_ = stage(known.filter(F.col("d") > limit).select("bucket", "id", "rank", F.col("d").alias("d1")))
     if open_.isEmpty():
         return links[0]
-    for _ in range(ROUNDS):
+    further = []
+    for k in range(ROUNDS):
         crowded = open_.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > LARGE).select("bucket")
         crowd = open_.join(crowded, "bucket")
         again = stage(crowd.join(_pivots(crowd), "bucket").filter("id <> pivot"))
@@ -75,21 +78,39 @@ def bucket_links(
         found = stage(_measured(_pairs(again), payload, distance))
         near = found.filter(F.col("d") <= limit)
         links.append(near)
+        chosen = again.select("bucket", F.col("pivot").alias("id")).distinct()
+        further.append(_with_distance(again, found).select("bucket", "id", "d").union(chosen.withColumn("d", F.lit(0.0))).withColumn("round", F.lit(k)))
         reached = _with_distance(again, near).select("bucket", "id")
-        left = open_.join(reached, ["bucket", "id"], "left_anti").join(again.select("bucket", F.col("pivot").alias("id"), F.lit(True).alias("done")).distinct(), ["bucket", "id"], "left")
+        left = open_.join(reached, ["bucket", "id"], "left_anti").join(chosen.withColumn("done", F.lit(True)), ["bucket", "id"], "left")
         open_ = stage(left.select("bucket", "id", F.when(F.col("done"), _LAST).otherwise(F.col("rank")).alias("rank"), "d1"))
     so_far = _union(links)
     if by_class:
-        classes = components(so_far)
-        label = F.coalesce("class", "id").alias("class")
-        open_, known = (t.join(classes, "id", "left").select("bucket", "id", d, label) for t, d in ((open_, "d1"), (known, "d")))
+        x, y = _apart(known, further, components(so_far))
+    else:
+        x, y = open_.select("bucket", "id", F.col("d1").alias("d")), known.select("bucket", "id", "d")
     if screen:
         sketches = payload.select("id", "sketch")
-        open_, known = open_.join(sketches, "id"), known.join(sketches, "id")
-    left = _measured(_unruled(open_, known, limit, by_class, screen), payload, distance).filter(F.col("d") <= limit)
+        x, y = x.join(sketches, "id"), y.join(sketches, "id")
+    left = _measured(_unruled(x, y, limit, by_class, screen), payload, distance).filter(F.col("d") <= limit)
     return _union([so_far, left]).distinct()
 
 
+def _apart(known: DataFrame, further: list[DataFrame], classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members outside the largest class of their bucket, and all members of buckets that have such, with class and distances to later pivots."""
+    named = stage(known.join(classes, "id", "left").select("bucket", "id", "d", F.coalesce("class", "id").alias("class")))
+    sizes = named.groupBy("bucket", "class").agg(F.count("*").alias("n"))
+    tops = sizes.groupBy("bucket").agg(F.max(F.struct("n", "class")).alias("top"), F.count("*").alias("classes")).filter("classes > 1")
+    mixed = named.join(tops, "bucket").select("bucket", "id", "d", "class", (F.col("class") == F.col("top.class")).alias("most"))
+    later = [f"d{k + 2}" for k in range(ROUNDS)]
+    if further:
+        rows = _union(further).groupBy("bucket", "id").agg(*[F.max(F.when(F.col("round") == k, F.col("d"))).alias(n) for k, n in enumerate(later)])
+        mixed = mixed.join(rows, ["bucket", "id"], "left")
+    else:
+        mixed = mixed.select("*", *[F.lit(None).cast("double").alias(n) for n in later])
+    mixed = stage(mixed)
+    return mixed.filter(~F.col("most")), mixed
+
+
 def _pivots(shared: DataFrame) -> DataFrame:
     """`bucket, pivot`: the member of highest rank, of equals the one of lowest id."""
     return shared.groupBy("bucket").agg(F.max(F.struct("rank", (-F.col("id")).alias("id"))).alias("top")).select("bucket", (-F.col("top.id")).alias("pivot"))
@@ -110,23 +131,28 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _unruled(open_: DataFrame, known: DataFrame, limit: float, by_class: bool, screen: Callable[[Column, Column], Column] | None) -> DataFrame:
-    """Pairs of an open member and another member of its bucket whose distances to the pivot differ by at most the limit.
+def _unruled(x: DataFrame, y: DataFrame, limit: float, by_class: bool, screen: Callable[[Column, Column], Column] | None) -> DataFrame:
+    """Pairs of a member of `x` and another member of its bucket in `y` whose distances to a common pivot differ by at most the limit.
 
-    Distances are cut into cells as wide as the limit, so that only equal and adjacent cells meet.
+    Distances to the first pivot are cut into cells as wide as the limit, so that only equal and
+    adjacent cells meet. By class, only members of different classes meet, and a pair that stands
+    on both sides twice is taken once.
     """
     width = max(limit, 1e-9)
-    cell = lambda d: F.floor(F.col(d) / width)
-    own, other = ([F.col("class").alias(n)] if by_class else [] for n in ("cx", "cy"))
-    if screen:
-        own, other = [*own, F.col("sketch").alias("sx")], [*other, F.col("sketch").alias("sy")]
-    x = open_.select("bucket", F.col("id").alias("x"), "d1", *own, F.explode(F.array(cell("d1") - 1, cell("d1"), cell("d1") + 1)).alias("cell"))
-    y = known.select("bucket", F.col("id").alias("y"), "d", *other, cell("d").alias("cell"))
-    apart = F.col("cx") != F.col("cy") if by_class else F.col("x") != F.col("y")
+    cell = F.floor(F.col("d") / width)
+    x = x.withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1))).alias("x")
+    y = y.withColumn("cell", cell).alias("y")
+    within = lambda d: F.abs(F.col(f"x.{d}") - F.col(f"y.{d}")) <= limit
+    if by_class:
+        apart = (F.col("x.class") != F.col("y.class")) & (F.col("y.most") | (F.col("x.id") < F.col("y.id")))
+        for k in range(ROUNDS):
+            apart = apart & F.coalesce(within(f"d{k + 2}"), F.lit(True))
+    else:
+        apart = F.col("x.id") != F.col("y.id")
     if screen:
-        apart = apart & screen(F.col("sx"), F.col("sy"))
-    near = x.alias("x").join(y.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.cell") == F.col("y.cell")) & (F.abs(F.col("d1") - F.col("d")) <= limit) & apart)
-    return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        apart = apart & screen(F.col("x.sketch"), F.col("y.sketch"))
+    near = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.cell") == F.col("y.cell")) & within("d") & apart)
+    return near.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
 
 
 def components(links: DataFrame) -> DataFrame:
