@@ -5,11 +5,12 @@ collapsed. Each page meets the page with which its URL path shares most leading
 the host (ties: the least or greatest content hash, whichever differs from its own), their lines
 are aligned by longest common subsequence, and shared lines are deleted.
 
-Two pages can share their article (mirrors, reprints), and a menu can be a page's own; so the
-markup has a say as well: lines inside an `article` or `main` element are never deleted as shared,
-lines inside menus, headers, footers, sidebars, notices, adverts, forms and reader comments always
-go, and where a page has an article, only that is its main text. Differencing thus decides alone
-about pages that do not mark their article, and is computed for all.
+Two articles can share a passage or be one text (mirrors, reprints), so lines inside `article` or
+`main` are deleted as shared only if up to six further pages, drawn over the host by hash, have
+them all, there are at least three differing pages to compare with, and such lines are less than
+half of the article. The markup is a check after the differencing: lines inside menus, headers,
+footers, sidebars, notices, adverts, forms and reader comments always go, and lines that are
+neither shared nor so marked stay, whether the page has an article or not.
 
 Partners are found by grouping URL prefixes, least and greatest page combined before the shuffle;
 a host with a third of the pages is one small row per prefix. Only line hashes travel for it.
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -51,6 +53,9 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 #: Kinds of lines.
 OPEN, KEPT, GONE = 0, 1, 2
+#: Share of an article's characters on all compared pages, from which these are taken for one text; pages to compare with at least.
+REPRINT = 0.5
+WITNESSES = 3
 
 
 def _marked(attrs: str, inside: bool) -> bool:
@@ -126,58 +131,69 @@ def shared_places(mine: list[int], other: list[int]) -> list[int]:
     a, b = mine[head : len(mine) - tail], other[head : len(other) - tail]
     both = set(a) & set(b)
     pa, pb = [k for k, x in enumerate(a) if x in both], [x for x in b if x in both]
-    rows = [[0] * (len(pb) + 1)]
+    where: dict[int, list[int]] = {}
+    for j, y in enumerate(pb):
+        where.setdefault(y, []).append(j)
+    ends, chains = [], []  # per length the least end in pb of a common subsequence, and its places
     for k in pa:
-        last, row = rows[-1], [0]
-        for j, y in enumerate(pb):
-            row.append(last[j] + 1 if a[k] == y else max(last[j + 1], row[j]))
-        rows.append(row)
-    middle, i, j = [], len(pa), len(pb)
-    while i and j:
-        if a[pa[i - 1]] == pb[j - 1]:
-            middle.append(pa[i - 1])
-            i, j = i - 1, j - 1
-        elif rows[i - 1][j] >= rows[i][j - 1]:
-            i -= 1
-        else:
-            j -= 1
+        for j in reversed(where[a[k]]):
+            n = bisect_left(ends, j)
+            if n == len(ends):
+                ends.append(j)
+                chains.append(None)
+            elif ends[n] == j:
+                continue
+            ends[n], chains[n] = j, (k, chains[n - 1] if n else None)
+    middle, chain = [], chains[-1] if chains else None
+    while chain:
+        middle.append(chain[0])
+        chain = chain[1]
     return [*range(head), *[head + k for k in reversed(middle)], *range(len(mine) - tail, len(mine))]
 
 
-def _hashes(page: str | None) -> list[str]:
-    return [line for kind, line in lines_of(page) if kind != KEPT]
-
-
-def outside_lines(pages: DataFrame) -> DataFrame:
-    """`key, prefixes, lines`: per distinct page the hashes of its lines outside the article, and its URL's prefixes."""
+def page_lines(pages: DataFrame) -> DataFrame:
+    """`key, prefixes, lines`: per distinct page the hashes of its lines, and its URL's prefixes."""
 
     @F.pandas_udf("array<string>")
-    def outside(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([_hashes(p) for p in batch], dtype=object)
+            yield pd.Series([[line for _, line in lines_of(p)] for p in batch], dtype=object)
 
     address = F.regexp_replace(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://|[?#].*$", "")
     parts = F.split(F.regexp_replace(address, "/+$", ""), "/+")
     prefixes = F.transform(parts, lambda p, i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, 1, i + 1), "/").alias("prefix")))
-    rows = pages.select("key", prefixes.alias("prefixes"), outside("html").alias("texts"))
+    rows = pages.select("key", prefixes.alias("prefixes"), texts("html").alias("texts"))
     return rows.select("key", "prefixes", F.transform("texts", lambda x: F.xxhash64(x)).alias("lines"))
 
 
 def shared_lines(pages: DataFrame) -> DataFrame:
-    """`key, shared`: places, among the lines outside the article, that the nearest differing page shares."""
-    own = outside_lines(pages).dropDuplicates(["key"]).withColumn("content", F.xxhash64("lines"))
+    """`key, shared, general`: places of the lines that the nearest differing page shares, and of those that all compared pages of the host have too."""
+    own = page_lines(pages).dropDuplicates(["key"]).withColumn("content", F.xxhash64("lines"))
     at = own.select("key", "content", "lines", F.explode("prefixes").alias("p")).select("key", "content", "lines", "p.*")
     page = F.struct("content", "lines")
-    ends = at.groupBy("prefix").agg(F.min(page).alias("low"), F.max(page).alias("high")).filter("low.content <> high.content")
+    drawn = [end(F.when(F.col("depth") == 0, F.struct(F.xxhash64("content", F.lit(seed)).alias("order"), "content", "lines"))) for seed in (1, 2) for end in (F.min, F.max)]
+    ends = at.groupBy("prefix").agg(F.min(page).alias("low"), F.max(page).alias("high"), *[d.alias(f"drawn{k}") for k, d in enumerate(drawn)]).filter("low.content <> high.content")
     other = F.when(F.col("low.content") != F.col("content"), F.col("low.lines")).otherwise(F.col("high.lines"))
-    offers = at.select("key", "content", "depth", "prefix").join(ends, "prefix").groupBy("key").agg(F.max_by(other, "depth").alias("other"))
+    some = [F.struct(F.col(f"{n}.content").alias("content"), F.col(f"{n}.lines").alias("lines")) for n in ("low", "high", *[f"drawn{k}" for k in range(len(drawn))])]
+    others = F.transform(F.filter(F.array_distinct(F.array(*some)), lambda p: p["content"] != F.col("content")), lambda p: p["lines"])
+    met = at.select("key", "content", "depth", "prefix").join(ends, "prefix")
+    offers = met.groupBy("key").agg(F.max_by(other, "depth").alias("other"), F.first(F.when(F.col("depth") == 0, others), ignorenulls=True).alias("others"))
+
+    @F.pandas_udf("struct<shared: array<int>, general: array<int>>")
+    def shared(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for mine, theirs, hosts in batches:
+            yield pd.DataFrame([_compared(list(a), list(b), [list(c) for c in cs]) for a, b, cs in zip(mine, theirs, hosts)], columns=["shared", "general"])
 
-    @F.pandas_udf("array<int>")
-    def shared(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for mine, theirs in batches:
-            yield pd.Series([shared_places(list(a), list(b)) for a, b in zip(mine, theirs)], dtype=object)
+    return own.select("key", "lines").join(offers, "key").select("key", shared("lines", "other", "others").alias("s")).select("key", "s.*")
 
-    return own.select("key", "lines").join(offers, "key").select("key", shared("lines", "other").alias("shared"))
+
+def _compared(mine: list[int], other: list[int], others: list[list[int]]) -> tuple[list[int], list[int]]:
+    places = shared_places(mine, other)
+    pages = {tuple(p) for p in (other, *others)}
+    if len(pages) < WITNESSES:
+        return places, []
+    common = set.intersection(*[set(p) for p in pages])
+    return places, [k for k in places if mine[k] in common]
 
 
 def main_text(pages: DataFrame, page: str = "html", url: str = "url", out: str = "text") -> DataFrame:
@@ -185,30 +201,29 @@ def main_text(pages: DataFrame, page: str = "html", url: str = "url", out: str =
     key = F.xxhash64(*[F.col(f"`{c}`") for c in (url, page)])
     keyed = pages.select("*", key.alias("__key"))
     found = shared_lines(keyed.select(F.col("__key").alias("key"), F.col(f"`{url}`").alias("url"), F.col(f"`{page}`").alias("html")))
-    joined = keyed.join(found.select(F.col("key").alias("__key"), F.col("shared").alias("__shared")), "__key", "left")
+    joined = keyed.join(found.select(F.col("key").alias("__key"), F.col("shared").alias("__shared"), F.col("general").alias("__general")), "__key", "left")
 
     @F.pandas_udf("struct<text: string, n_shared: long, n_marked: long>")
-    def assemble(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, places in batches:
-            yield pd.DataFrame([_assembled(t, () if p is None else set(int(x) for x in p)) for t, p in zip(texts, places)], columns=["text", "n_shared", "n_marked"])
+    def assemble(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        places = lambda p: set() if p is None else {int(x) for x in p}
+        for texts, shared, general in batches:
+            yield pd.DataFrame([_assembled(t, places(s), places(g)) for t, s, g in zip(texts, shared, general)], columns=["text", "n_shared", "n_marked"])
 
-    made = joined.select(*[F.col(f"`{c}`") for c in pages.columns if c not in (out, "n_shared", "n_marked")], assemble(F.col(f"`{page}`"), F.col("__shared")).alias("__made"))
+    made = joined.select(*[F.col(f"`{c}`") for c in pages.columns if c not in (out, "n_shared", "n_marked")], assemble(F.col(f"`{page}`"), F.col("__shared"), F.col("__general")).alias("__made"))
     return made.select("*", F.col("__made.text").alias(out), "__made.n_shared", "__made.n_marked").drop("__made")
 
 
-def _assembled(page: str | None, shared) -> tuple[str, int, int]:
+def _assembled(page: str | None, shared: set[int], general: set[int]) -> tuple[str, int, int]:
     lines = lines_of(page)
-    article = any(kind == KEPT for kind, _ in lines)
-    kept, k, n_shared, n_marked = [], 0, 0, 0
-    for kind, line in lines:
-        if kind == KEPT:
-            kept.append(line)
-            continue
-        if k in shared:
+    held = sum(len(line) for kind, line in lines if kind == KEPT)
+    common = sum(len(lines[k][1]) for k in general if lines[k][0] == KEPT)
+    inside = general if common < REPRINT * held else set()
+    kept, n_shared, n_marked = [], 0, 0
+    for k, (kind, line) in enumerate(lines):
+        if k in (inside if kind == KEPT else shared):
             n_shared += 1
-        elif kind == GONE or article:
+        elif kind == GONE:
             n_marked += 1
         else:
             kept.append(line)
-        k += 1
     return "\n".join(kept), n_shared, n_marked

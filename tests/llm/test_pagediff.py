@@ -59,3 +59,14 @@ def test_markup_and_edges(spark):
     assert text[1] == "Té x\nonetwo three four\nfive\nsix <b> &am" and text[2] == text[3] == "" and text[4] == "cut"
     assert text[None] == "\n".join(["w w"] * 20_000)
     assert pagediff.main_text(df.limit(0)).count() == 0
+
+
+def test_differencing_inside_articles(spark):
+    own = lambda k: [f"paragraph {k} {j} of a story that only page {k} tells at some length" for j in range(4)]
+    page = lambda lines, extra="": f"<html><body><nav>Menu</nav><article><p>{'</p><p>'.join(lines)}</p></article><div>{extra}</div></body></html>"
+    notice = "Follow us for more"
+    rows = [(k, f"https://h.example/a/{k}", page([*own(k)[:2], notice, *own(k)[2:], *(["a shared passage"] if k < 2 else [])], f"written by author {k}")) for k in range(12)]
+    rows += [(20 + k, f"https://m.example/a/{k}", page([*own(99)[:3], f"an edited end {k}"])) for k in range(8)]
+    got = {r.page_id: r.text.split("\n") for r in pagediff.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == [*own(k), *(["a shared passage"] if k < 2 else []), f"written by author {k}"] for k in range(12))
+    assert all(got[20 + k] == [*own(99)[:3], f"an edited end {k}"] for k in range(8))
