@@ -6,7 +6,7 @@ from public_tokenizers import path as vocabulary_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwake.llm import bpe, fingerprints, lengths, linededup, mixing, neardup, pagediff, quality, surrogates, toxicity
+from gridwake.llm import bpe, fingerprints, lengths, linededup, mixing, neardup, pagediff, periodic, quality, surrogates, toxicity
 from gridwake.session import stage
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -86,6 +86,22 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.drop_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_dropped")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", periodic.with_period(F.col("text"), F.col("doc_id")).alias("text"))
+    found = periodic.detect(docs)
+    runs, top = F.col("found.runs"), F.col("top")
+    return found.withColumn("top", periodic.longest(runs)).select(
+        "doc_id",
+        F.size(runs).cast("long").alias("n_runs"),
+        (-top["start"]).alias("start"),
+        top["length"].alias("length"),
+        (-top["period"]).alias("period"),
+        F.floor(1000 * top["length"] / -top["period"]).cast("long").alias("exponent_milli"),
+        F.sha2(periodic.listed(runs), 256).alias("runs_sha256"),
+        F.sha2("found.collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 LLM_QUERIES = {
     "op1_surrogates": op1_surrogates,
     "op2_quality_rules": op2_quality_rules,
@@ -97,9 +113,11 @@ LLM_QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_fingerprints": op9_fingerprints,
     "op10_line_dedup": op10_line_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 LLM_ORACLES: dict[str, str] = {
     "op2_quality_rules": quality.ORACLE,
     "op6_mixing": mixing.ORACLE,
+    "op11_periodic_runs": periodic.ORACLE,
 }
