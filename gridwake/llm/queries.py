@@ -6,8 +6,8 @@ from public_tokenizers import path as vocabulary_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwake.llm import bpe, fingerprints, lengths, linededup, mixing, neardup, pagediff, periodic, quality, surrogates, toxicity
-from gridwake.session import stage
+from gridwake.llm import bpe, fingerprints, lengths, linededup, mixing, neardup, pagediff, periodic, quality, surrogates, toxicity, warc
+from gridwake.session import shared_dir, stage
 
 BYTE_BPE = "byte_bpe_50k.json"
 #: A deployment passes its own secret.
@@ -102,6 +102,13 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = shared_dir(spark)
+    warc.write_archives(warc.described(_table(spark, sf_dir, "pages")), archives)
+    records = warc.read_archives(spark, archives, payloads=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 LLM_QUERIES = {
     "op1_surrogates": op1_surrogates,
     "op2_quality_rules": op2_quality_rules,
@@ -114,10 +121,12 @@ LLM_QUERIES = {
     "op9_fingerprints": op9_fingerprints,
     "op10_line_dedup": op10_line_dedup,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_warc_archives": op12_warc_archives,
 }
 
 LLM_ORACLES: dict[str, str] = {
     "op2_quality_rules": quality.ORACLE,
     "op6_mixing": mixing.ORACLE,
     "op11_periodic_runs": periodic.ORACLE,
+    "op12_warc_archives": warc.ORACLE,
 }
