@@ -6,10 +6,11 @@ from public_tokenizers import path as vocabulary_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwake.llm import bpe, fingerprints, lengths, linededup, mixing, neardup, pagediff, periodic, quality, surrogates, toxicity, warc
+from gridwake.llm import alignment, bpe, fingerprints, lengths, linededup, mixing, neardup, pagediff, periodic, quality, surrogates, toxicity, warc
 from gridwake.session import shared_dir, stage
 
 BYTE_BPE = "byte_bpe_50k.json"
+PIECE_BPE = "piece_bpe_32k.model"
 #: A deployment passes its own secret.
 SURROGATE_KEY = "demonstration key"
 
@@ -109,6 +110,13 @@ def op12_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    aligned = alignment.align(docs, vocabulary_path(BYTE_BPE), vocabulary_path(PIECE_BPE))
+    hashed = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    return alignment.score_links(aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", hashed, "pairs", "times"))
+
+
 LLM_QUERIES = {
     "op1_surrogates": op1_surrogates,
     "op2_quality_rules": op2_quality_rules,
@@ -122,6 +130,7 @@ LLM_QUERIES = {
     "op10_line_dedup": op10_line_dedup,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_warc_archives": op12_warc_archives,
+    "op13_alignment": op13_alignment,
 }
 
 LLM_ORACLES: dict[str, str] = {
