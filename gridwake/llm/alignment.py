@@ -22,6 +22,7 @@ empty table; other columns pass through, and an output column replaces one of it
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -30,19 +31,22 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from gridwake.llm.bpe import byte_alphabet
+from gridwake.llm.bpe import WORD_PATTERN, byte_alphabet
 from gridwake.session import stage
 
 #: Different links of a chunk, counted per document.
 CHUNK_LINKS = 1 << 21
 #: Texts encoded at a time.
 TEXTS = 64
+#: Characters of white space in a row from which a text goes to the slower encoder: the faster one's pattern engine overflows.
+SPACE_RUN = 2000
 
 ALIGNED = [
     ("n_a", T.LongType()), ("n_b", T.LongType()), ("n_groups", T.LongType()), ("n_links", T.LongType()), ("groups", T.StringType()),
@@ -70,16 +74,23 @@ class Pair:
             self.a_bytes[i] = text.encode() if i in special else bytes(byte_of[c] for c in text)
         piece = self.b.id_to_piece
         self.b_bytes = [bytes([int(piece(i)[3:5], 16)]) if self.b.is_byte(i) else piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())]
+        # the same vocabulary by ranks (each merge has its product's id as rank): three times as fast, and equal on every code point
+        self.ranked = tiktoken.Encoding("ranked", pat_str=WORD_PATTERN, mergeable_ranks={x: i for i, x in enumerate(self.a_bytes) if i not in special}, special_tokens={})
+        self.spaces = re.compile(r"\s{%d}" % SPACE_RUN)
         self.a_length, self.b_length = (np.array([len(x) for x in table], np.int64) for table in (self.a_bytes, self.b_bytes))
         self.a_text = {end: np.array([f"{i}{end}" for i in range(size)], object) for end in ",|"}
         self.b_text = {end: np.array([f"{i}{end}" for i in range(len(self.b_bytes))], object) for end in ",;"}
 
+    def _a_ids(self, text: str) -> list[int]:
+        if len(text) >= SPACE_RUN and self.spaces.search(text):
+            return self.a.encode(text, add_special_tokens=False).ids
+        return self.ranked.encode_ordinary(text)
+
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
         """Ids of each text, or nothing where either tokenizer doesn't keep all its bytes."""
-        led = [" " + t for t in texts]
-        coded = self.a.encode_batch_fast(led, add_special_tokens=False)
-        for text, a, b in zip(led, coded, self.b.encode(texts, num_threads=1), strict=True):
-            a, whole = a.ids, text.encode()
+        for text, b in zip(texts, self.b.encode(texts, num_threads=1), strict=True):
+            text = " " + text
+            a, whole = self._a_ids(text), text.encode()
             if len(whole) == 1 or b"".join([self.a_bytes[i] for i in a]) != whole or b"".join([self.b_bytes[i] for i in b]) != whole:
                 yield None
             else:
@@ -96,10 +107,14 @@ def gallop(short: list[int], long: list[int]) -> list[int]:
     places, at, last = [], 0, len(long) - 1
     for end in short:
         if long[at] < end:
-            step = 1
-            while at + step < last and long[at + step] < end:
+            low, step = at, 1
+            at += 1
+            while at < last and long[at] < end:
+                low = at
                 step <<= 1
-            at = bisect_left(long, end, at + (step >> 1) + 1 if step > 1 else at + 1, min(at + step, last) + 1)
+                at += step
+            if step > 1:
+                at = bisect_left(long, end, low + 1, min(at, last) + 1)
         places.append(at)
     return places
 

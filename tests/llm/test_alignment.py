@@ -24,6 +24,16 @@ def test_gallop():
         assert alignment.gallop(short, long) == [next(k for k, y in enumerate(long) if y >= x) for x in short]
 
 
+def test_both_encoders_of_a_agree():
+    """Around every code point, and in texts that only the slower one takes."""
+    pair = alignment.Pair(open(A, encoding="utf-8").read(), open(B, "rb").read())
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [f" a{c}1{c} {c}\n{c}'s  {c}b" for c in points[:0x3100] + points[0x3100::23]]
+    texts += [" " * n + "a" for n in (1, 1999, 2000, 100_000)] + ["\n \t" * 50_000, "a" * 20_000, "<|endoftext|>" * 9]
+    coded = pair.a.encode_batch_fast(texts, add_special_tokens=False)
+    assert [pair._a_ids(t) for t in texts] == [c.ids for c in coded]
+
+
 def plain(texts):
     """Rows by comparing every A token with every B token of its neighbourhood, bytes by bytes."""
     a_lib, b_lib = Tokenizer.from_file(A), SentencePieceProcessor(model_file=B)
