@@ -18,7 +18,7 @@ from gridwake.queries.calibration import edges_of, normal, residuals_of
 from gridwake.queries.features import _CHRONO, described_of
 from gridwake.queries.grid import filled_of, labelled_of, windows_of
 from gridwake.queries.metrics import _CLS, _CLS_COLS, SC, class_cte, preds_of
-from gridwake.queries.registry import SPEC, STEP_US, TOPICS, Tables, query, topic_expr
+from gridwake.queries.registry import HOUR_US, SPEC, STEP_US, TOPICS, Tables, query, topic_expr
 from gridwake.queries.sqlkit import r, sql
 from gridwake.session import shared_dir, stage
 from gridwake.streaming import gates as St
@@ -229,6 +229,15 @@ def event_stream(t: Tables):
     return t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.path)
 
 
+def arrive(t: Tables, rows, start, parts: int = 4) -> None:
+    """Let the rows arrive in time order in `parts` portions; after each, `start(stream)` runs from its checkpoint until it has caught up."""
+    inbox = shared_dir(t.spark)
+    cuts = [-float("inf"), *rows.approxQuantile("t", [k / parts for k in range(1, parts)], 0.01), float("inf")]
+    for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+        rows.filter((F.col("t") >= low) & (F.col("t") < high)).write.mode("append").parquet(inbox)
+        start(t.spark.readStream.schema(rows.schema).parquet(inbox)).awaitTermination()
+
+
 def drain(t: Tables, stream):
     """Run a stream over what is there now and read back what it wrote."""
     out = shared_dir(t.spark)
@@ -242,10 +251,35 @@ def drain(t: Tables, stream):
     """SELECT user_id AS run, event_id AS seq, count(*) FILTER (value > 30) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 2 PRECEDING) = 3 AS gate FROM events""",
 )
 def _(t: Tables):
-    s = event_stream(t).select(
-        F.col("user_id").alias("run"), F.col("event_id").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col("value").alias("score")
-    )
-    return drain(t, St.stream_gate(s, 30.0, 3))
+    rows = t.events.select(F.col("user_id").alias("run"), F.col("event_id").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col("value").alias("score"))
+    out = shared_dir(t.spark)
+    arrive(t, rows, lambda s: St.stream_gate(s, out, 30.0, 3).trigger(availableNow=True).start())
+    return St.read_gates(t.spark, out)
+
+
+def drained_late(t: Tables, rows, build, delay_us: int):
+    """Drain `build(stream)` over the rows in time order, then over rows that come too late, then over two that close all windows.
+
+    The late rows are the first quarter once more under other keys, older than the watermark of `delay_us`
+    by far. The closing rows carry the run -1; the first moves the watermark and the second makes Spark
+    use it.
+    """
+    inbox, out = shared_dir(t.spark), shared_dir(t.spark)
+    ends = rows.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
+    width = (ends.high - ends.low) / 4
+    late = rows.filter(F.col("ts") < F.lit(ends.low + width)).withColumn("run", F.lit(-2).cast("long"))
+
+    def closing(k: int):
+        far = F.lit(ends.high) + F.make_interval(secs=F.lit(10 * delay_us / 1e6 + 86400.0 * 400 * (k + 1)))
+        return rows.limit(1).withColumns({"run": F.lit(-1).cast("long"), "ts": far.cast("timestamp")})
+
+    quarters = [rows.filter((F.col("ts") >= F.lit(ends.low + width * k)) & ((F.col("ts") < F.lit(ends.low + width * (k + 1))) if k < 3 else F.lit(True))) for k in range(4)]
+    for part in [*quarters, late, closing(0), closing(1)]:
+        part.write.mode("append").parquet(inbox)
+        stream = build(t.spark.readStream.schema(rows.schema).parquet(inbox))
+        query = stream.writeStream.format("parquet").option("checkpointLocation", f"{out}/state").option("path", f"{out}/rows")
+        query.trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(stream.schema).parquet(f"{out}/rows").filter("run <> -1")
 
 
 @query(
@@ -255,7 +289,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     e = t.events.select(F.col("user_id").alias("run"), F.col("event_type").alias("channel"), F.col("ts").cast("timestamp").alias("ts"), "value")
-    out = St.stream_descriptors(e, "24 hours", "6 hours")
+    out = drained_late(t, e, lambda s: St.stream_descriptors(s, "24 hours", "6 hours", "1 hour"), HOUR_US)
     return out.select(
         "run", "channel", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n",
         *[rounded(c).alias(c) for c in ("mean", "std", "min", "max", "range")],
@@ -265,8 +299,8 @@ def _(t: Tables):
 @query("m3_stream_dedupe", "SELECT DISTINCT user_id AS run, event_type AS channel, epoch_us(ts) // 86400000000 AS day FROM events")
 def _(t: Tables):
     day = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86400000000).cast("long")
-    s = event_stream(t).select(F.col("user_id").alias("run"), F.col("event_type").alias("channel"), F.timestamp_seconds(day * 86400).alias("ts"))
-    out = drain(t, St.stream_dedupe(s, "60 days"))
+    rows = t.events.select(F.col("user_id").alias("run"), F.col("event_type").alias("channel"), F.timestamp_seconds(day * 86400).alias("ts"))
+    out = drained_late(t, rows, lambda s: St.stream_dedupe(s, "2 days"), 48 * HOUR_US)
     return out.select("run", "channel", (F.unix_micros("ts") / 86400000000).cast("long").alias("day"))
 
 
@@ -293,7 +327,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     a = t.events.filter("value > 60").select(F.col("user_id").alias("run"), F.col("ts").cast("timestamp").alias("ts"))
-    out = St.alarm_sessions(a, "6 hours")
+    out = drained_late(t, a, lambda s: St.alarm_sessions(s, "6 hours", "1 hour"), HOUR_US)
     return out.select("run", F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"), "alarms")
 
 

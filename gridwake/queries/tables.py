@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gridwake.functions.numeric import rounded
@@ -10,7 +12,7 @@ from gridwake.operators import samples as S
 from gridwake.queries.calibration import _MANIFEST, manifest_of
 from gridwake.queries.registry import Tables, query
 from gridwake.queries.sqlkit import r, sql
-from gridwake.session import shared_dir
+from gridwake.session import parallelism, shared_dir
 from gridwake.sources import annotations as A
 from gridwake.sources import integrity as N
 from gridwake.sources import tables as Tb
@@ -25,22 +27,32 @@ def documents_of(t: Tables):
         F.lit('[["s1",[['), ts, F.lit(","), later, F.lit('],[1],null]],null,["x"],["s2",[['), later, F.lit(","), ts, F.lit("]]]]")
     )
     has = (F.col("event_type") == "error") & (F.col("value") >= 50)
+    note = F.when(F.col("event_id") % 3 == 0, "").otherwise(F.concat(F.lit('"note":"seen, \\"late\\" }'), F.col("event_id"), F.lit('","timestamp":'), ts, F.lit(",")))
     body = F.concat(
-        F.lit('{"'), F.col("event_id").cast("string"), F.lit('":{"annotations":[{"class":"'), F.col("event_type"), F.lit('","ranges":'),
-        F.when(has, ranges).otherwise(F.lit("[]")), F.lit("}]}}"),
+        F.lit('"'), F.col("event_id").cast("string"), F.lit('":{"annotations":[{"class":"'), F.col("event_type"), F.lit('",'), note, F.lit('"ranges":'),
+        F.when(has, ranges).otherwise(F.lit("[]")), F.lit("}]}"),
     )
-    return e.select(body.alias("value"))
+    return e.select("event_id", body.alias("entry"))
 
 
 def stored_documents(t: Tables):
     path = shared_dir(t.spark)
-    documents_of(t).write.text(path)
+    documents_of(t).select(F.concat(F.lit("{"), "entry", F.lit("}"))).write.text(path)
     return A.read_annotations(t.spark, path, lines=True)
 
 
+def stored_objects(t: Tables):
+    """Files of one JSON object each, with the entries of 2,000 events; ranges are far smaller than a file."""
+    path = shared_dir(t.spark)
+    entries = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "entry"))), lambda x: x["entry"]), ",\n  ")
+    objects = documents_of(t).groupBy(F.floor(F.col("event_id") / 2000)).agg(F.concat(F.lit("{\n  "), entries, F.lit("\n}")).alias("value"))
+    objects.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return A.read_annotations(t.spark, path, step=1 << 16)
+
+
 @query("a1_read_annotations", "SELECT event_id::VARCHAR AS run, event_type = 'error' AND value >= 50 AS has_range FROM events")
 def _(t: Tables):
-    return stored_documents(t).select("run", F.col("document").contains('"s1"').alias("has_range"))
+    return stored_objects(t).select("run", F.col("document").contains('"s1"').alias("has_range"))
 
 
 _RANGES = """SELECT event_id::VARCHAR AS run, event_type AS class, sig AS signal, epoch_us(ts) AS start_us, epoch_us(ts) + 1000 AS end_us, i AS range_index FROM events,
@@ -54,8 +66,10 @@ def _(t: Tables):
 
 @query(
     "a3_annotation_rows",
-    f"""SELECT run, 0 AS annotation_index, class, range_index, signal, start_us, end_us FROM ({_RANGES}) UNION ALL
-    SELECT event_id::VARCHAR, 0, event_type, NULL, NULL, NULL, NULL FROM events WHERE NOT (event_type = 'error' AND value >= 50)""",
+    f"""SELECT run, 0 AS annotation_index, class, CASE WHEN run::BIGINT % 3 = 0 THEN '' ELSE 'seen, "late" }}' || run END AS note,
+    CASE WHEN run::BIGINT % 3 = 0 THEN '' ELSE us::VARCHAR END AS annotated_at, range_index, signal, start_us, end_us FROM
+    (SELECT *, start_us AS us FROM ({_RANGES}) UNION ALL
+    SELECT event_id::VARCHAR, event_type, NULL, NULL, NULL, NULL, epoch_us(ts) FROM events WHERE NOT (event_type = 'error' AND value >= 50))""",
 )
 def _(t: Tables):
     return A.annotation_rows(stored_documents(t))
@@ -99,18 +113,39 @@ def _(t: Tables):
     return t.spark.read.parquet(path).filter("split = 'O'").groupBy("split").agg(F.count(F.lit(1)).alias("rows"), rounded(F.sum("l_quantity")).alias("total"))
 
 
+@query(
+    "a7_bucketed_join",
+    f"""SELECT l.orderkey, l.lines, {r("l.quantity", "quantity")}, {r("o.o_totalprice", "price")} FROM
+    (SELECT l_orderkey AS orderkey, count(*) AS lines, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1) l JOIN orders o ON o.o_orderkey = l.orderkey""",
+)
+def _(t: Tables):
+    """Two stores bucketed alike are grouped and joined by their key without an exchange."""
+    name, n = f"store_{uuid.uuid4().hex}", parallelism(t.spark)
+    lines = Tb.write_bucketed(t.lineitem.select(F.col("l_orderkey").alias("orderkey"), "l_quantity"), f"{name}_lines", n, "orderkey", shared_dir(t.spark))
+    orders = Tb.write_bucketed(t.orders.select(F.col("o_orderkey").alias("orderkey"), "o_totalprice"), f"{name}_orders", n, "orderkey", shared_dir(t.spark))
+    sums = lines.groupBy("orderkey").agg(F.count(F.lit(1)).alias("lines"), rounded(F.sum("l_quantity")).alias("quantity"))
+    return sums.hint("merge").join(orders, "orderkey").select("orderkey", "lines", "quantity", rounded("o_totalprice").alias("price"))
+
+
 @query("a8_materialize_if_stale", f"SELECT o_orderstatus, count(*) AS rows, {r('sum(o_totalprice)', 'total')} FROM orders GROUP BY 1")
 def _(t: Tables):
+    """A first version with fewer columns is stale, the second is kept."""
     path = shared_dir(t.spark)
+    Tb.materialize_if_stale(t.orders.drop("o_orderpriority"), path)
     first = Tb.materialize_if_stale(t.orders, path)
     again = Tb.materialize_if_stale(t.orders, path, first.count())
     return again.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("rows"), rounded(F.sum("o_totalprice")).alias("total"))
 
 
+#: All tables of a directory.
+NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
 @query("a9_hash_manifest")
 def _(t: Tables):
-    m = N.hash_manifest(t.spark, [f"{t.path}/{n}.parquet" for n in ("region", "nation", "supplier", "customer", "orders", "events", "lineitem")])
-    return m.select(F.element_at(F.split("path", "/"), -1).alias("file"), "size", "sha256")
+    m = N.hash_manifest(t.spark, [f"{t.path}/{n}.parquet" for n in NAMES])
+    home = t.path.rstrip("/").rpartition("/")[2]
+    return m.select(F.substring_index("path", f"/{home}/", -1).alias("file"), "size", "chunks", "sha256")
 
 
 @query(

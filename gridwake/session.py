@@ -61,6 +61,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{path}/table"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if there is one, through its file system."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

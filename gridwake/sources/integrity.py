@@ -2,16 +2,52 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridwake.sources.ranges import Reader, file_ranges, list_files, rows_of
 
-def hash_manifest(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Path, size and SHA-256 of the files; only digests leave a task."""
-    files = spark.read.format("binaryFile").load(list(paths))
-    return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+#: Bytes of a leaf of the hash tree, and children of an inner node. Both are part of the digest's definition.
+LEAF = 4 << 20
+FAN = 1024
+
+
+def chunk_digests(spark: SparkSession, paths: Sequence[str], leaf: int = LEAF) -> DataFrame:
+    """`(path, size, place, digest)` of each `leaf` bytes; only digests leave a task."""
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with Reader() as reader:
+            for row in rows_of(batches):
+                text = hashlib.sha256(reader.read(row["path"], row["start"], leaf)).hexdigest()
+                yield pa.RecordBatch.from_pylist([{"path": row["path"], "size": row["size"], "place": row["start"] // leaf, "digest": text}])
+
+    return file_ranges(list_files(spark, paths), leaf).mapInArrow(digest, "path string, size long, place long, digest string")
+
+
+def hash_manifest(spark: SparkSession, paths: Sequence[str], leaf: int = LEAF, fan: int = FAN) -> DataFrame:
+    """Path, size, number of chunks and root of the hash tree of the files.
+
+    Leaves are SHA-256 digests of fixed chunks; a node is the digest of its children's hexadecimal
+    digests, joined in order. A file of one chunk has its plain SHA-256. Ranges are hashed by
+    different tasks, a node gathers at most `fan` digests, and the result doesn't depend on how the
+    ranges are dealt out. The number of levels follows from the largest file. Empty files have no row.
+    """
+    nodes = chunk_digests(spark, paths, leaf).withColumn("chunks", F.greatest(F.lit(1), F.ceil(F.col("size") / leaf)).cast("long"))
+    largest = list_files(spark, paths).agg(F.max("size")).first()[0] or 0
+    width = max(1, -(-largest // leaf))
+    while width > 1:
+        width = -(-width // fan)
+        children = F.array_sort(F.collect_list(F.struct("place", "digest")))
+        nodes = nodes.groupBy("path", "size", "chunks", F.floor(F.col("place") / fan).cast("long").alias("place")).agg(children.alias("c"))
+        joined = F.sha2(F.array_join(F.transform("c", lambda x: x["digest"]), ""), 256)
+        # the lone node of a level is the root already and is handed up as it is
+        nodes = nodes.select("path", "size", "chunks", "place", F.when((F.size("c") == 1) & (F.col("place") == 0), F.col("c")[0]["digest"]).otherwise(joined).alias("digest"))
+    return nodes.select("path", "size", "chunks", F.col("digest").alias("sha256"))
 
 
 def manifest_changes(before: DataFrame, after: DataFrame) -> DataFrame:

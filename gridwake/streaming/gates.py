@@ -2,37 +2,71 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter
 
+from gridwake.functions.numeric import require
+from gridwake.plans.ordered import dense_index, rolling, value_cuts, with_range_chunk
+from gridwake.session import delete, stage
 
-def stream_gate(stream: DataFrame, threshold: float, consecutive: int, key: str = "run") -> DataFrame:
-    """Sustained gate with a streak per run as state; opens on the k-th consecutive crossing.
 
-    `stream(run, seq, t, score)`; rows are ordered inside a batch, and the caller delivers
-    batches in time order.  State is one counter per run.
+def gate_batch(rows: DataFrame, streaks: DataFrame | None, threshold: float, consecutive: int) -> tuple[DataFrame, DataFrame]:
+    """`(run, seq, gate)` of one batch `(run, seq, t, score)`, and the streaks `(run, streak)` that the next batch starts with.
+
+    Rows are numbered in order of `(t, seq)` by time ranges that hold about equally many rows, so a run
+    with most of the rows is spread over tasks; a gate looks at the last `consecutive` rows only, and at
+    the start of a batch also at the streak (at most `consecutive`) its run came with. A score that is
+    null or NaN fails the job.
+    """
+    if streaks is None:
+        streaks = rows.select("run", F.lit(0).cast("long").alias("streak")).limit(0)
+    known = F.col("score").isNotNull() & ~F.isnan("score")
+    rows = rows.withColumn("_x", (require(known, "score", "score is no number") > threshold).cast("int"))
+    rows = with_range_chunk(rows.withColumn("_t", F.col("t").cast("double")), "_t", value_cuts(rows, "t"))
+    numbered = dense_index(rows, ["run"], ["_chunk"], [F.col("t"), F.col("seq")], "w").drop("_chunk", "_t")
+    recent = rolling(numbered, ["run"], "w", consecutive, {"_hits": F.sum("_x"), "_n": F.count(F.lit(1))})
+    streak = F.coalesce(F.col("streak"), F.lit(0))
+    gates = recent.join(streaks, "run", "left").select("run", "seq", ((F.col("_hits") == F.col("_n")) & (F.col("_n") + streak >= consecutive)).alias("gate"))
+    ends = numbered.groupBy("run").agg(F.count(F.lit(1)).alias("_n"), F.max(F.when(F.col("_x") == 0, F.col("w"))).alias("_miss"))
+    after = F.when(F.col("_n").isNull(), streak).when(F.col("_miss").isNull(), streak + F.col("_n")).otherwise(F.col("_n") - 1 - F.col("_miss"))
+    return gates, ends.join(streaks, "run", "full").select("run", F.least(after, F.lit(consecutive)).cast("long").alias("streak"))
+
+
+def gate_sink(path: str, threshold: float, consecutive: int) -> Callable[[DataFrame, int], None]:
+    """A `foreachBatch` function: gates go to `path/rows/batch=n`, streaks to `path/streaks/batch=n`.
+
+    Batches come in time order. A batch that is run again starts from the streaks of the batch before it
+    and replaces what it had written, so results are the same after a restart. Streaks are one row per
+    run; those of older batches are deleted.
     """
 
-    def step(keys, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        streak = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values(["t", "seq"], kind="stable")
-        over = (rows["score"] > threshold).to_numpy()
-        gate = []
-        for hit in over:
-            streak = streak + 1 if hit else 0
-            gate.append(streak >= consecutive)
-        state.update((min(streak, consecutive),))
-        yield pd.DataFrame({"run": rows["run"], "seq": rows["seq"], "gate": gate})
-
-    return (
-        stream.select("run", "seq", "t", "score")
-        .groupBy(key)
-        .applyInPandasWithState(step, "run long, seq long, gate boolean", "streak long", "append", GroupStateTimeout.NoTimeout)
-    )
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        last = f"{path}/streaks/batch={number - 1}"
+        streaks = spark.read.schema("run long, streak long").parquet(last) if number else None
+        gates, after = gate_batch(stage(batch.select("run", "seq", "t", "score")), streaks, threshold, consecutive)
+        gates.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        after.write.mode("overwrite").parquet(f"{path}/streaks/batch={number}")
+        delete(spark, f"{path}/streaks/batch={number - 2}")
+
+    return write
+
+
+def stream_gate(stream: DataFrame, path: str, threshold: float, consecutive: int) -> DataStreamWriter:
+    """Sustained gate of a stream `(run, seq, t, score)`; opens on the k-th consecutive crossing.
+
+    Returns a writer to start with a trigger; `read_gates` gives what it wrote. The source limits the
+    batches (`maxFilesPerTrigger`, `maxBytesPerTrigger`, offsets per trigger).
+    """
+    writer = stream.select("run", "seq", "t", "score").writeStream.foreachBatch(gate_sink(path, threshold, consecutive))
+    return writer.option("checkpointLocation", f"{path}/state")
+
+
+def read_gates(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("run long, seq long, gate boolean, batch long").parquet(f"{path}/rows").select("run", "seq", "gate")
 
 
 def stream_descriptors(rows: DataFrame, window: str, stride: str, delay: str | None = None) -> DataFrame:
