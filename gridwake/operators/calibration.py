@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridwake.functions.numeric import as_col, floor_div, require
+from gridwake.functions.numeric import as_col, floor_div, is_finite, require
 from gridwake.plans.ordered import dense_index, rolling, value_cuts
 from gridwake.plans.quantiles import quantile_higher, quantiles
 from gridwake.session import stage
@@ -108,8 +108,12 @@ def fit_second_largest(maxima: DataFrame, floor: float = 3.0) -> DataFrame:
 def sustained_gate(
     scores: DataFrame, threshold, consecutive: int = 3, by: Sequence[str] = ("run",), index: str = "w", value: str = "score", name: str = "gate"
 ) -> DataFrame:
-    """Open from the k-th consecutive crossing on (`score > threshold`), closed by any miss."""
-    crossed = scores.withColumn("_x", (F.col(value) > as_col(threshold)).cast("int"))
+    """Open from the k-th consecutive crossing on (`score > threshold`), closed by any miss.
+
+    A score that is not finite fails the job; NaN would otherwise count as a crossing.
+    """
+    finite = require(is_finite(value), value, "scores must be finite")
+    crossed = scores.withColumn("_x", (finite > as_col(threshold)).cast("int"))
     out = rolling(crossed, by, index, consecutive, {"_hits": F.sum("_x")})
     return out.withColumn(name, F.col("_hits") == consecutive).drop("_x", "_hits")
 
@@ -126,9 +130,12 @@ def gated_mean(rows: DataFrame, value: str, by: Sequence[str], gate: str = "gate
 
 
 def gated_evidence(values: DataFrame, reference: DataFrame, gate: DataFrame, keys: Sequence[str], item: str) -> DataFrame:
-    """Mean over gated windows of `max(value - reference, 0)` per item."""
+    """Mean over gated windows of `max(value - reference, 0)` per item.
+
+    An item without reference, or a window without gate, fails the job instead of vanishing.
+    """
     on = [*keys, "w", item]
-    j = values.join(reference.withColumnRenamed("value", "_ref"), on).join(gate, [*keys, "w"])
+    j = _calibrated(_calibrated(values, reference.withColumnRenamed("value", "_ref"), on, "_ref"), gate, [*keys, "w"], "gate")
     excess = F.greatest(F.col("value") - F.col("_ref"), F.lit(0.0))
     return gated_mean(j.withColumn("_e", excess), "_e", [*keys, item])
 

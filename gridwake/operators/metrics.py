@@ -63,8 +63,8 @@ def best_f1(scores: DataFrame, by: Sequence[str] = (), cuts: Sequence[float] | N
 
 
 def point_metrics(scores: DataFrame, threshold, by: Sequence[str] = ()) -> DataFrame:
-    """F1 and positive rate at a frozen threshold (`score >= threshold`)."""
-    hit = (F.col("score") >= as_col(threshold)).cast("long")
+    """F1 and positive rate at a frozen threshold (`score >= threshold`); a score that is not finite fails the job."""
+    hit = (require(is_finite("score"), "score", "scores must be finite") >= as_col(threshold)).cast("long")
     sums = scores.groupBy(*by).agg(
         F.sum(hit * F.col("label")).alias("tp"), F.sum(hit).alias("pp"), F.sum("label").alias("p"), F.count(F.lit(1)).alias("n")
     )
