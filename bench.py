@@ -17,7 +17,7 @@ HEADLINE = (
     "d4_resample_linear", "c7_interval_label", "e1_window_descriptors", "minimum_slice", "e2_fit_scaler", "f1_split_chrono",
     "g1_average_precision", "g6_event_f1_log_aware", "g8_class_metrics", "h1_quantile_higher", "h10_sustained_gate_events",
     "h12_predict_paired", "h17_predict_channels", "i2_rollup", "c15_propagate", "j10_extract_edges", "l3_macro_f1_bootstrap",
-    "l4_ap_bootstrap", "a10_seal",
+    "l4_ap_bootstrap", "a10_seal", "h20_reassess", "l6_pooled_ci", "l7_two_way_bootstrap", "m1_stream_gate",
 )
 
 

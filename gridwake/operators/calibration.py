@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gridwake.functions.numeric import as_col, floor_div, is_finite, require
 from gridwake.plans.ordered import dense_index, rolling, value_cuts
-from gridwake.plans.quantiles import quantile_higher, quantiles
+from gridwake.plans.quantiles import leave_out_quantiles, quantile_higher, quantiles
 from gridwake.session import stage
 
 
@@ -224,12 +224,8 @@ def reassess(scores: DataFrame, fixed: float, q: float = 0.99, consecutive: int
     all_mode = one.select("*", F.lit("fixed_all").alias("mode"), F.lit(True).alias("valid"), F.lit(fixed).alias("threshold"))
     fresh_mode = one.select("*", F.lit("fixed_fresh").alias("mode"), fresh.alias("valid"), F.lit(fixed).alias("threshold"))
     base = scores.filter(F.col("is_baseline") & fresh).select("source", "score")
-    sources = scores.select(F.array_sort(F.collect_set("source")).alias("s")).scalar()
-    # scores are counted before they are repeated for the folds they do not belong to
-    counted = base.groupBy("source", "score").agg(F.count(F.lit(1)).alias("copies"))
-    folds = counted.withColumn("fold", F.explode(F.array_remove(sources, F.col("source"))))
-    thr = quantiles(folds, ["fold"], "score", {"threshold": (q, "higher")}, value_cuts(base, "score"), "copies").drop("n")
-    joined = _calibrated(scores, thr.withColumnRenamed("fold", "source"), ["source"], "threshold")
+    thr = leave_out_quantiles(base, scores, "source", "score", q)
+    joined = _calibrated(scores, thr, ["source"], "threshold")
     cal = sustained_gate(joined, F.col("threshold"), consecutive)
     cal_mode = cal.select(*scores.columns, "gate", F.lit("calibrated_fresh").alias("mode"), fresh.alias("valid"), "threshold")
     out = all_mode.unionByName(fresh_mode).unionByName(cal_mode)

@@ -156,22 +156,29 @@ def ovr_metrics(probs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def family_metrics(scores: DataFrame, family: str = "family", none: str = "none") -> DataFrame:
     """AUPRC/AUROC of every fault family against all faultless rows; one-class subsets are skipped.
 
-    Faultless rows are counted per score before they are repeated for the families.
+    Faultless rows are counted once, in one running count over all distinct scores that every family
+    looks its own scores up in; both areas are sums over the family's scores alone.
     """
+    scores = scores.withColumn("score", require(is_finite("score"), "score", "scores must be finite"))
     cuts = value_cuts(scores, "score")
-    counted = scores.groupBy(family, "score").agg(F.sum("label").alias("pos"), F.count(F.lit(1)).alias("cnt"))
-    names = scores.filter(F.col(family) != none).select(F.array_sort(F.collect_set(family)).alias("f")).scalar()
-    healthy = counted.filter(F.col(family) == none).withColumn(family, F.explode(names))
-    both = counted.filter(F.col(family) != none).unionByName(healthy)
-    merged = both.groupBy(family, "score").agg(F.sum("pos").alias("pos"), F.sum("cnt").alias("n"))
-    chunked = with_range_chunk(merged, "score", cuts)
+    healthy = (F.col(family) == none).cast("long")
+    shared = with_range_chunk(scores.groupBy("score").agg(F.sum(healthy).alias("h_at")), "score", cuts)
+    shared = prefix_sums(shared, [], ["_chunk"], [F.col("score").desc()], {"h": F.col("h_at")}, descending_chunks=True).select("score", "h_at", "h", "h_total")
+    own = scores.filter(F.col(family) != none).groupBy(family, "score").agg(F.sum("label").alias("pos"), F.count(F.lit(1)).alias("n"))
     curve = prefix_sums(
-        chunked, [family], ["_chunk"], [F.col("score").desc()], {"tp": F.col("pos"), "seen": F.col("n")}, descending_chunks=True
+        with_range_chunk(own, "score", cuts), [family], ["_chunk"], [F.col("score").desc()], {"tp": F.col("pos"), "seen": F.col("n")}, descending_chunks=True
     )
-    mixed = curve.filter((F.col("tp_total") > 0) & (F.col("tp_total") < F.col("seen_total")))
-    return mixed.groupBy(family).agg(
-        curve_ap().alias("auprc"), curve_auroc().alias("auroc"), F.max("tp_total").alias("positives"), F.max("seen_total").alias("rows")
+    curve = curve.drop("_chunk").join(shared, "score")
+    negatives = F.col("seen_total") - F.col("tp_total") + F.col("h_total")
+    above, at = F.col("seen") - F.col("tp") + F.col("h"), F.col("n") - F.col("pos") + F.col("h_at")
+    step = F.col("pos") * F.try_divide(F.col("tp").cast("double"), F.col("seen") + F.col("h"))
+    won = F.col("pos") * (negatives - above + at * F.lit(0.5))
+    p = F.max("tp_total")
+    out = curve.groupBy(family).agg(
+        F.try_divide(F.sum(step), p).alias("auprc"), F.try_divide(F.sum(won), (p * F.max(negatives)).cast("double")).alias("auroc"), p.alias("positives"),
+        F.max(F.col("seen_total") + F.col("h_total")).alias("rows"),
     )
+    return out.filter((F.col("positives") > 0) & (F.col("positives") < F.col("rows")))
 
 
 def screen_metrics(flights: DataFrame, threshold) -> DataFrame:

@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwake.functions.numeric import ratio, ratio0
+from gridwake.operators.bootstrap import hash_draw
+from gridwake.plans.ordered import dense_index
+from gridwake.session import stage
 
 ROLE_OF_MODE = {"producer_only": "publisher", "consumer_only": "subscriber", "bidirectional": None}
 
@@ -29,18 +32,37 @@ def allocate(evidence: DataFrame, alloc: DataFrame, by: Sequence[str], value: st
     return j.groupBy(*by, "module").agg(F.sum(F.col(value) * F.col("weight")).alias(name))
 
 
+def _prime_from(n: int) -> int:
+    """Smallest prime that is at least `n`."""
+    n = max(n, 2)
+    while any(n % d == 0 for d in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
+
+
 def random_allocation(topics: DataFrame, edges: DataFrame, seed: int) -> DataFrame:
-    """As many modules per topic as the real mapping gives (at least one), chosen by seeded hash."""
-    modules = edges.select("module").distinct()
+    """As many modules per topic as the real mapping gives (at least one), drawn by a keyed permutation.
+
+    Modules are numbered by name. With the smallest prime p that is no less than their number, `(a i + b)
+    mod p` with a topic's own a and b runs through all numbers once; its first ones below the number of
+    modules are the draw. So a topic makes as many rows as it draws, and the modules it doesn't draw
+    never meet it.
+    """
+    modules = edges.select("module").distinct().withColumn("_c", F.substring("module", 1, 2))
+    modules = stage(dense_index(modules, [], ["_c"], [F.col("module")], "_i").select("module", "_i"))
+    m = modules.count()
+    if not m:
+        return topics.select("topic", F.lit("").alias("module"), F.lit(1.0).alias("weight")).limit(0)
+    p = _prime_from(m)
     real = edges.select("topic", "module").distinct().groupBy("topic").agg(F.count(F.lit(1)).alias("degree"))
-    # module names are one bounded list, attached to each topic of the catalogue
-    names = modules.select(F.array_sort(F.collect_set("module")).alias("m")).scalar()
-    cand = topics.select("topic").distinct().join(real, "topic", "left").withColumn("module", F.explode(names))
-    key = F.sha2(F.concat_ws(":", F.lit(str(seed)), "topic", "module"), 256)
-    w = Window.partitionBy("topic").orderBy(key, "module")
-    want = F.greatest(F.lit(1), F.coalesce("degree", F.lit(0)))
-    picked = cand.withColumns({"want": want, "rn": F.row_number().over(w)}).filter("rn <= want")
-    return picked.select("topic", "module", (F.lit(1.0) / F.col("want")).alias("weight"))
+    draw = lambda what: hash_draw(F.lit(str(seed)), F.col("topic"), F.lit(what))
+    wanted = topics.select("topic").distinct().join(real, "topic", "left").withColumns(
+        {"want": F.greatest(F.lit(1), F.coalesce("degree", F.lit(0))).cast("int"), "a": draw("a") % (p - 1) + 1, "b": draw("b") % p}
+    )
+    tried = F.transform(F.sequence(F.lit(0).cast("long"), F.col("want").cast("long") + (p - m - 1)), lambda i: (F.col("a") * i + F.col("b")) % p)
+    numbers = F.slice(F.filter(tried, lambda v: v < m), F.lit(1), F.col("want"))
+    drawn = wanted.select("topic", (F.lit(1.0) / F.col("want")).alias("weight"), F.explode(numbers).alias("_i"))
+    return drawn.join(modules, "_i").select("topic", "module", "weight")
 
 
 def propagate(importance: DataFrame, edges: DataFrame, mode: str, by: Sequence[str] = ("scope",), value: str = "value") -> DataFrame:

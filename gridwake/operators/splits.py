@@ -81,13 +81,18 @@ def reference_vector(sample: DataFrame, by: Sequence[str], value: str = "value")
     )
 
 
-def source_folds(runs: DataFrame, source: str = "source") -> DataFrame:
-    """Calibration rows of every leave-one-source-out fold: `fold` is the held-out source.
+def fold_totals(runs: DataFrame, sums: Sequence[str] = (), source: str = "source") -> DataFrame:
+    """Rows (`runs`) and sums of the calibration part of every leave-one-source-out fold; `fold` is the held-out source.
 
-    Sources are few next to rows; the fold list travels as one array per row, not as a join.
+    A fold's calibration part is everything but its own source, so its figures are the totals less the
+    source's own and no row is repeated per fold. Thresholds of folds: `leave_out_quantiles`. A fold
+    without calibration rows has no row.
     """
-    sources = runs.select(F.array_sort(F.collect_set(source)).alias("s"))
-    return runs.withColumn("fold", F.explode(F.array_remove(sources.scalar(), F.col(source))))
+    names = ["runs", *sums]
+    own = runs.groupBy(source).agg(F.count(F.lit(1)).alias("runs"), *[F.sum(c).alias(c) for c in sums])
+    total = own.agg(F.struct(*[F.sum(c).alias(c) for c in names]).alias("t")).scalar()
+    out = own.withColumn("_t", total).select(F.col(source).alias("fold"), *[(F.col("_t")[c] - F.coalesce(c, F.lit(0))).alias(c) for c in names])
+    return out.filter("runs > 0")
 
 
 def weak_labels(annotations: DataFrame, unknown: str = "Uncategorized", normal: str = "Normal") -> DataFrame:

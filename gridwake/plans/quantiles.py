@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridwake.functions.numeric import ceil_rank, is_finite, require
-from gridwake.plans.ordered import prefix_sums, value_cuts, with_range_chunk
+from gridwake.plans.ordered import nearest_points, prefix_sums, value_cuts, with_range_chunk
+from gridwake.session import stage
 
 
 def value_ranks(
@@ -91,3 +92,34 @@ def top_mean(df: DataFrame, by: Sequence[str], value: str, fraction: float, name
             F.sum("n").alias("n"),
         )
     )
+
+
+#: Ranks that one task looks up at a time.
+RANKS = 1 << 16
+
+
+def leave_out_quantiles(df: DataFrame, folds: DataFrame, group: str, value: str, q: float, name: str = "threshold") -> DataFrame:
+    """`(group, name)`: the upper quantile of the values of all other groups, for each group in `folds`.
+
+    Values are counted once, not once per fold. Of the others' values as many are at or below one of the
+    group's own as the running count of all says less the group's own. The last own value with at most
+    the wanted rank of them below tells how many own values to pass over; the rank moved on by that many
+    is then looked up in the running counts of all. A group without any other value has no row.
+    """
+    df = df.filter(F.col(value).isNotNull()).withColumn(value, require(is_finite(value), value, f"{value} is not finite"))
+    cuts = value_cuts(df, value)
+    counted = stage(df.groupBy(group, value).agg(F.count(F.lit(1)).alias("copies")))
+    whole = value_ranks(counted, [], value, cuts, copies="copies")
+    own = value_ranks(counted, [group], value, cuts, copies="copies")
+    everything = F.coalesce(counted.agg(F.sum("copies")).scalar(), F.lit(0))
+    sizes = counted.groupBy(group).agg(F.sum("copies").alias("_own"))
+    left = everything - F.coalesce("_own", F.lit(0))
+    wanted = folds.select(group).distinct().join(sizes, group, "left").select(group, left.alias("_left")).filter("_left > 0")
+    wanted = wanted.withColumn("_rank", ceil_rank(F.lit(q), F.col("_left")))
+    met = own.join(whole.select(value, F.col("cum").alias("_all")), value).join(wanted.select(group, "_rank"), group)
+    passed = met.groupBy(group).agg(F.max(F.when(F.col("_all") - F.col("cum") <= F.col("_rank"), F.col("cum"))).alias("_passed"))
+    targets = wanted.join(passed, group, "left").select(group, (F.col("_rank") + F.coalesce("_passed", F.lit(0))).alias("pos"), F.lit(0).alias("_point"))
+    points = whole.select((F.col("cum") - 1).alias("pos"), value, F.lit(1).alias("_point"))
+    rows = points.unionByName(targets, allowMissingColumns=True).withColumn("_chunk", F.floor(F.col("pos") / RANKS))
+    near = nearest_points(rows, [], "_chunk", ["pos", "_point"], {"pos": F.col("pos"), "value": F.col(value)}, F.col("_point") == 1, need="next")
+    return near.filter("_point = 0").select(group, F.col("next.value").alias(name))

@@ -194,15 +194,16 @@ def _(t: Tables):
 
 
 def _hourly(t: Tables, side: int):
-    e = wide_telemetry(t).filter(f"run % 2 = {side} AND channel LIKE '%.value'")
+    e = wide_telemetry(t).filter(f"run % 2 = {side}")
     return e.groupBy(
         F.floor(F.col("run") / 2).cast("long").alias("run"), "channel", F.floor(F.col("ts_us") / (24 * HOUR_US)).cast("long").alias("ts_us")
     ).agg(F.max("value").alias("value"))
 
 
+_FIELDS = "(SELECT user_id, ts, event_type || '.value' AS channel, value FROM events UNION ALL SELECT user_id, ts, event_type || '.k', (props->>'$.k')::DOUBLE FROM events)"
 _DAILY = {
-    "da": "SELECT user_id // 2 AS run, event_type || '.value' AS channel, epoch_us(ts) // 86400000000 AS ts_us, max(value) AS value FROM events WHERE user_id % 2 = 0 GROUP BY ALL",
-    "db": "SELECT user_id // 2 AS run, event_type || '.value' AS channel, epoch_us(ts) // 86400000000 AS ts_us, max(value) AS value FROM events WHERE user_id % 2 = 1 GROUP BY ALL",
+    name: f"SELECT user_id // 2 AS run, channel, epoch_us(ts) // 86400000000 AS ts_us, max(value) AS value FROM {_FIELDS} WHERE user_id % 2 = {side} GROUP BY ALL"
+    for name, side in (("da", 0), ("db", 1))
 }
 
 

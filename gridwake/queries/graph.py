@@ -59,9 +59,13 @@ def _(t: Tables):
 @query(
     "c15_random_mapping",
     sql(
-        """SELECT topic, module, round(1.0 / want, 6) + 0.0 AS weight FROM (SELECT t.topic, m.module, greatest(1, coalesce(d.n, 0)) AS want,
-        row_number() OVER (PARTITION BY t.topic ORDER BY sha256('5:' || t.topic || ':' || m.module), m.module) AS rn FROM (SELECT DISTINCT topic FROM im) t JOIN (SELECT DISTINCT module FROM ed) m ON true
-        LEFT JOIN (SELECT topic, count(DISTINCT module) AS n FROM ed GROUP BY 1) d ON d.topic = t.topic) WHERE rn <= want""".replace("round(1.0 / want, 6) + 0.0", "round((1.0 / want)::DOUBLE, 6) + 0.0"),
+        """SELECT * FROM (WITH mo AS (SELECT module, row_number() OVER (ORDER BY module) - 1 AS i FROM (SELECT DISTINCT module FROM ed)), c AS (SELECT count(*) AS m FROM mo),
+        p AS (SELECT min(x) AS p, max(m) AS m FROM c, range(2, 2000) AS r(x) WHERE x >= m AND NOT EXISTS (SELECT 1 FROM range(2, 45) AS d(y) WHERE y < x AND x % y = 0)),
+        w AS (SELECT t.topic, greatest(1, coalesce(d.n, 0)) AS want, concat('0x', substr(md5('5:' || t.topic || ':a'), 1, 8))::BIGINT AS ha, concat('0x', substr(md5('5:' || t.topic || ':b'), 1, 8))::BIGINT AS hb
+          FROM (SELECT DISTINCT topic FROM im) t LEFT JOIN (SELECT topic, count(DISTINCT module) AS n FROM ed GROUP BY 1) d ON d.topic = t.topic),
+        v AS (SELECT topic, want, k, ((ha % (p - 1) + 1) * k + hb % p) % p AS i FROM w, p, range(2000) AS x(k) WHERE k < p),
+        s AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY k) AS rn FROM v, c WHERE i < m)
+        SELECT topic, module, round((1.0 / want)::DOUBLE, 6) + 0.0 AS weight FROM s JOIN mo USING (i) WHERE rn <= want)""",
         ed=GR["ed"], im=GR["im"],
     ),
 )

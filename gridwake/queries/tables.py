@@ -235,19 +235,12 @@ def _(t: Tables):
 
 @query(
     "o_set_operations",
-    """SELECT 'union' AS op, c AS key FROM (SELECT o_custkey AS c FROM orders WHERE o_orderstatus = 'P' UNION SELECT c_custkey FROM customer WHERE c_acctbal > 9000) UNION ALL
-    SELECT 'intersect', c FROM (SELECT o_custkey AS c FROM orders WHERE o_orderstatus = 'P' INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 9000) UNION ALL
-    SELECT 'except', c FROM (SELECT o_custkey AS c FROM orders WHERE o_orderstatus = 'P' EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal > 9000)""",
+    """SELECT 'union' AS op, c AS key FROM (SELECT c_custkey AS c FROM customer UNION SELECT o_custkey FROM orders) UNION ALL
+    SELECT 'intersect', c FROM (SELECT c_custkey AS c FROM customer INTERSECT SELECT o_custkey FROM orders) UNION ALL
+    SELECT 'except', c FROM (SELECT c_custkey AS c FROM customer EXCEPT SELECT o_custkey FROM orders)""",
 )
 def _(t: Tables):
-    a = t.orders.filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("key"))
-    b = t.customer.filter("c_acctbal > 9000").select(F.col("c_custkey").alias("key"))
-    parts = {"union": a.union(b).distinct(), "intersect": a.intersect(b), "except": a.distinct().join(b, "key", "left_anti")}
-    out = None
-    for op, df in parts.items():
-        one = df.select(F.lit(op).alias("op"), "key")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return N.set_operations(t.customer.select(F.col("c_custkey").alias("key")), t.orders.select(F.col("o_custkey").alias("key")))
 
 
 __all__ = ["sql"]

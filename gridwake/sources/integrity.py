@@ -158,3 +158,15 @@ def is_strict_subset(small: DataFrame, large: DataFrame) -> bool:
     extra = small.select(*cols).exceptAll(large.select(*cols)).limit(1).count()
     more = large.select(*cols).exceptAll(small.select(*cols)).limit(1).count()
     return extra == 0 and more > 0
+
+
+def set_operations(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct rows of union, intersection and difference (a without b), told apart by `op`.
+
+    Both sides are reduced to distinct rows and meet once; null equals null.
+    """
+    cols = a.columns
+    sides = a.select(*cols, F.lit(1).alias("_s")).unionByName(b.select(*cols, F.lit(2).alias("_s")))
+    met = sides.groupBy(*cols).agg(F.max((F.col("_s") == 1).cast("int")).alias("_a"), F.max((F.col("_s") == 2).cast("int")).alias("_b"))
+    ops = F.array(F.lit("union"), F.when(F.col("_a") + F.col("_b") == 2, "intersect"), F.when(F.col("_a") > F.col("_b"), "except"))
+    return met.select(F.explode(F.filter(ops, lambda x: x.isNotNull())).alias("op"), *cols)
