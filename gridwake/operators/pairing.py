@@ -44,28 +44,39 @@ def interp_join(
     ).drop("target_end", "reference_end")
 
 
-def matched_residual(
+def residual_rows(
     target: DataFrame, reference: DataFrame, keys: Sequence[str], chunk_us: int, support: DataFrame | None = None,
-    support_keys: Sequence[str] = (), min_windows: int = 3, digits: int | None = None, skip_disjoint: bool = False,
+    support_keys: Sequence[str] = (), digits: int | None = None,
 ) -> DataFrame:
-    """|target - interpolated reference|; a pair with fewer than `min_windows` windows fails the job.
-
-    `skip_disjoint` leaves out pairs that never overlap, instead of failing on them.
-    """
+    """|target - interpolated reference| wherever the pair has both."""
     joined = interp_join(target, reference, keys, chunk_us, support, support_keys)
     res = F.abs(F.col("value") - F.col("matched"))
-    joined = joined.withColumn("residual", res if digits is None else F.round(res, digits)).drop("matched")
+    return joined.withColumn("residual", res if digits is None else F.round(res, digits)).drop("matched")
+
+
+def window_counts(residuals: DataFrame, pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`(keys, windows)` of every pair in `pairs`: its common windows, 0 for a pair that never overlaps."""
+    keys = list(keys)
+    counts = residuals.groupBy(*keys).agg(F.count_distinct("w").alias("_nw"))
+    return pairs.select(*keys).distinct().join(counts, keys, "left").select(*keys, F.coalesce("_nw", F.lit(0)).cast("long").alias("windows"))
+
+
+def require_windows(residuals: DataFrame, counts: DataFrame, keys: Sequence[str], min_windows: int = 3) -> DataFrame:
+    """Residuals of the pairs in `counts`; a pair with fewer than `min_windows` windows fails the job."""
+    enough = require(F.col("windows") >= min_windows, "windows", "too few common windows")
+    return counts.withColumn("windows", enough).filter("windows >= 0").join(residuals, list(keys)).select(*residuals.columns)
+
+
+def matched_residual(
+    target: DataFrame, reference: DataFrame, keys: Sequence[str], chunk_us: int, support: DataFrame | None = None,
+    support_keys: Sequence[str] = (), min_windows: int = 3, digits: int | None = None,
+) -> DataFrame:
+    """`residual_rows`; with `support_keys`, a pair with fewer than `min_windows` windows fails the job, one without any overlap included."""
+    rows = residual_rows(target, reference, keys, chunk_us, support, support_keys, digits)
     if not support_keys:
-        return joined
-    joined = stage(joined)
-    # counted from the list of pairs, so that a pair without any overlap fails as well
-    pairs = (target if support is None else support).select(*support_keys).distinct()
-    counts = pairs.join(joined.groupBy(*support_keys).agg(F.count_distinct("w").alias("_nw")), list(support_keys), "left")
-    found = F.coalesce("_nw", F.lit(0))
-    if skip_disjoint:
-        counts = counts.filter(found > 0)
-    checked = counts.withColumn("_nw", require(found >= min_windows, found, "too few common windows"))
-    return checked.filter("_nw > 0").join(joined, list(support_keys)).select(*joined.columns)
+        return rows
+    rows = stage(rows)
+    return require_windows(rows, window_counts(rows, target if support is None else support, support_keys), support_keys, min_windows)
 
 
 def shared_packets(a: DataFrame, b: DataFrame, keys: Sequence[str], least: float = 0.5) -> DataFrame:

@@ -57,10 +57,18 @@ def support_of(t: Tables):
     )
 
 
-def residuals_of(t: Tables):
-    """`(run, w, t, feature, channel, topic, residual)` of all pairs; `t` in hours of the target."""
+def compared_of(t: Tables):
+    """Residual rows of all pairs, and the number of common windows of every pair."""
     target, reference = pair_series(t)
-    res = P.matched_residual(target, reference, PAIR_KEYS, CHUNK_US, support_of(t), ["run"], digits=6, skip_disjoint=True)
+    support = support_of(t)
+    rows = stage(P.residual_rows(target, reference, PAIR_KEYS, CHUNK_US, support, ["run"], digits=6))
+    return rows, P.window_counts(rows, support, ["run"])
+
+
+def residuals_of(t: Tables):
+    """`(run, w, t, feature, channel, topic, residual)` of the pairs that overlap (`h2_window_counts` lists the others); `t` in hours of the target."""
+    rows, counts = compared_of(t)
+    res = P.require_windows(rows, counts.filter("windows > 0"), ["run"])
     channel = F.split("feature", r"\.")[0]
     res = res.select("run", "w", (F.col("w") * 6.0).alias("t"), "feature", channel.alias("channel"), "residual")
     return stage(res.withColumn("topic", topic_expr("channel")))
@@ -342,6 +350,18 @@ def _(t: Tables):
     return residuals_of(t).withColumn("t", rounded("t"))
 
 
+@query(
+    "h2_window_counts",
+    sql(
+        """SELECT p.run, count(DISTINCT c.w) AS windows FROM (SELECT DISTINCT user_id // 2 AS run FROM events) p LEFT JOIN
+        (SELECT m.run, m.w FROM m1 m JOIN sup2 s USING (run) WHERE m.ts_us >= r0 AND m.ts_us <= least(r1, te, re)) c ON c.run = p.run GROUP BY p.run""",
+        "m1", "sup2",
+    ),
+)
+def _(t: Tables):
+    return compared_of(t)[1]
+
+
 @query("h3_fit_noise", sql(f"SELECT feature, {r('noise', 'noise')} FROM noise", "noise"))
 def _(t: Tables):
     return C.fit_noise(normal(residuals_of(t))).withColumn("noise", rounded("noise"))

@@ -144,7 +144,10 @@ def test_rows_without_calibration_fail(spark):
     sup = spark.createDataFrame([(0, 99, 99), (1, 99, 99)], "run long, target_end long, reference_end long")
     with pytest.raises(Exception, match="too few common windows"):
         P.matched_residual(t, ref, ["run"], 10, sup, ["run"], min_windows=1).collect()
-    assert rows(P.matched_residual(t, ref, ["run"], 10, sup, ["run"], min_windows=1, skip_disjoint=True).select("run")) == [(0,)]
+    found = P.residual_rows(t, ref, ["run"], 10, sup, ["run"])
+    counts = P.window_counts(found, sup, ["run"])
+    assert rows(counts, "run") == [(0, 1), (1, 0)]
+    assert rows(P.require_windows(found, counts.filter("windows > 0"), ["run"], 1).select("run")) == [(0,)]
 
 
 def test_reversed_bounds_give_no_grid(spark):
