@@ -37,12 +37,12 @@ def _flagged(scores: DataFrame, threshold: Column, by: Sequence[str], chunk_widt
 def _starts(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     """Running numbers of true events, predicted events and joint stretches."""
     point = {"at": F.col("_at"), "lab": F.col("lab"), "hit": F.col("hit")}
-    seen = nearest_points(rows, by, "_chunk", ["_at"], point, strict=True, need="prev")
+    seen = nearest_points(rows, by, "_chunk", ["_at"], point, strict=True, need="prev", ranged=not by)
     p_lab, p_hit = F.coalesce("prev.lab", F.lit(False)), F.coalesce("prev.hit", F.lit(False))
     both = F.col("lab") & F.col("hit")
     seen = seen.withColumns({"_joint": both & ~(p_lab & p_hit), "_nt": F.col("lab") & ~p_lab, "_np": F.col("hit") & ~p_hit})
     sums = {"true_no": F.col("_nt").cast("long"), "pred_no": F.col("_np").cast("long"), "pair_no": F.col("_joint").cast("long")}
-    return prefix_sums(seen.drop("prev", "points", "first", "last"), by, ["_chunk"], [F.col("_at")], sums)
+    return prefix_sums(seen.drop("prev", "points", "first", "last"), by, ["_chunk"], [F.col("_at")], sums, ranged=not by)
 
 
 def segments(rows: DataFrame, flag: str, by: Sequence[str], chunk_width: int) -> DataFrame:
@@ -69,7 +69,7 @@ def _taken(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
     reset = fresh | (F.col("kind") == F.col("prior"))
     typed = typed.withColumn("_chunk", floor_div("pair_no", PAIR_BLOCK)).drop("_block", "_home")
     point = {"pair_no": F.col("pair_no"), "fresh": fresh}
-    near = nearest_points(typed, by, "_chunk", ["pair_no"], point, reset, need="prev")
+    near = nearest_points(typed, by, "_chunk", ["pair_no"], point, reset, need="prev", ranged=not by)
     odd = (F.col("pair_no") - F.col("prev.pair_no")) % 2 == 1
     return near.withColumn("taken", F.when(F.col("prev.fresh"), ~odd).otherwise(odd))
 
@@ -80,7 +80,8 @@ def event_f1(
     """Event precision, recall and F1 at `score >= threshold`.
 
     With `by` events never cross runs; with an empty `by` the runs are laid end to end and
-    events may merge across them.  `start` is the integer position inside a run.
+    events may merge across them; that one sequence is scanned in two levels, so no task sees a
+    row of every run.  `start` is the integer position inside a run.
     """
     by = list(by)
     thr = threshold if isinstance(threshold, Column) else F.lit(threshold)

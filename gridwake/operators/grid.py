@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridwake.functions.numeric import floor_div, lerp
-from gridwake.plans.ordered import nearest_points
+from gridwake.plans.ordered import nearest_points, with_time_chunk
 from gridwake.plans.panes import explode_range
 from gridwake.plans.quantiles import quantiles
 from gridwake.session import stage
@@ -79,7 +79,8 @@ def _around(tel: DataFrame, grid: DataFrame, channels: Sequence[str], chunk_us:
     targets = grid.withColumn("channel", F.explode(F.array(*[F.lit(c) for c in channels])))
     samples = tel.select("run", "channel", "ts_us", "value", *[e.alias(n) for n, e in extra.items()])
     points = targets.select("run", "channel", "ts_us", "k", "rows").unionByName(samples, allowMissingColumns=True)
-    points = points.withColumn("_grid", F.col("k").isNotNull()).withColumn("_chunk", floor_div("ts_us", chunk_us))
+    points = points.withColumn("_grid", F.col("k").isNotNull())
+    points = with_time_chunk(points, ["run", "channel"], "ts_us", chunk_us)
     point = {n: F.col(n) for n in ("ts_us", "value", *extra)}
     near = nearest_points(points, ["run", "channel"], "_chunk", ["ts_us", "_grid"], point, ~F.col("_grid"))
     return near.filter("_grid").drop("value", "_grid", "_chunk", *extra)
@@ -106,7 +107,7 @@ def resample_linear(
 
 def sample_gaps(tel: DataFrame, chunk_us: int, by: Sequence[str] = ("run", "channel")) -> DataFrame:
     """Every sample with the distance to the one before it in its series."""
-    chunked = tel.withColumn("_chunk", floor_div("ts_us", chunk_us))
+    chunked = with_time_chunk(tel, by, "ts_us", chunk_us)
     near = nearest_points(chunked, by, "_chunk", ["ts_us"], {"ts_us": F.col("ts_us")}, strict=True, need="prev")
     return near.withColumn("gap_us", F.col("ts_us") - F.col("prev.ts_us")).drop("prev", "_chunk", "points", "first", "last")
 

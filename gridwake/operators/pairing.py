@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwake.functions.numeric import floor_div, is_finite, lerp, require
+from gridwake.functions.numeric import is_finite, lerp, require
 from gridwake.functions.text import pair_key
-from gridwake.plans.ordered import nearest_points
+from gridwake.plans.ordered import nearest_points, with_time_chunk
 from gridwake.plans.quantiles import quantiles
 from gridwake.session import stage
 
@@ -28,8 +28,8 @@ def interp_join(
         target.withColumn("_tgt", F.lit(True))
         .unionByName(reference.select(*keys, "ts_us", F.col("value").alias("_rv")), allowMissingColumns=True)
         .withColumn("_tgt", F.coalesce("_tgt", F.lit(False)))
-        .withColumn("_chunk", floor_div("ts_us", chunk_us))
     )
+    both = with_time_chunk(both, keys, "ts_us", chunk_us)
     point = {"ts_us": F.col("ts_us"), "value": F.col("_rv")}
     near = nearest_points(both, keys, "_chunk", ["ts_us", "_tgt"], point, ~F.col("_tgt"))
     hit = near.filter(F.col("_tgt") & (F.col("ts_us") >= F.col("first.ts_us")) & (F.col("ts_us") <= F.col("last.ts_us")))

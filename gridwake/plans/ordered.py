@@ -16,7 +16,15 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwake.session import parallelism
+from gridwake.functions.numeric import floor_div
+from gridwake.session import parallelism, stage
+
+#: Ranges into which a long list of chunk summaries is cut, and sampled chunks behind each boundary.
+RANGES = 256
+_PER_RANGE = 16
+#: Rows of a time chunk above which it is cut, and its parts at most.
+DENSE = 1 << 18
+PARTS = 256
 
 
 def _directed(names: Sequence[str], descending: bool) -> list[Column]:
@@ -43,6 +51,42 @@ def with_range_chunk(df: DataFrame, column: str, cuts: Sequence[float], name: st
     return Bucketizer(splits=splits, inputCol=column, outputCol=name, handleInvalid="keep").transform(df)
 
 
+def with_time_chunk(df: DataFrame, by: Sequence[str], at: str, width: int, rows: int | None = None) -> DataFrame:
+    """Add `_chunk(t, part)`: the time bucket of `width`, and its equally filled part where rows are dense.
+
+    A bucket of a series with more than `rows` rows is cut at quantiles of their times, which come from a
+    mergeable sketch. Only such buckets are listed, so the list has one boundary per `rows` rows at most; the
+    boundaries steer balance, never the result.
+    """
+    by, rows = list(by), rows or DENSE
+    timed = df.select(*by, at, floor_div(at, width).alias("_t"))
+    crowded = stage(timed.groupBy(*by, "_t").agg(F.count("*").alias("_n")).filter(F.col("_n") > rows))
+    bucket = floor_div(at, width)
+    if crowded.isEmpty():
+        return df.withColumn("_chunk", F.struct(bucket.alias("t"), F.lit(0).alias("part")))
+    probabilities = F.array(*[F.lit(k / PARTS) for k in range(1, PARTS)])
+    sketch = F.percentile_approx(at, probabilities, F.lit(4 * PARTS))
+    step = F.greatest(F.lit(1), F.floor(F.lit(PARTS * rows) / F.col("_n"))).cast("int")
+    cut = timed.join(crowded, [*by, "_t"]).groupBy(*by, "_t", "_n").agg(sketch.alias("_all"))
+    cut = stage(cut.select(*by, "_t", F.array_distinct(F.filter("_all", lambda _, i: (i + 1) % step == 0)).alias("_cuts")))
+    marked = df.withColumn("_t", bucket).join(cut, [*by, "_t"], "left")
+    part = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col(at))), F.lit(0))
+    return marked.withColumn("_chunk", F.struct(F.col("_t").alias("t"), part.alias("part"))).drop("_t", "_cuts")
+
+
+def with_ranges(summary: DataFrame, chunk: Sequence[str], ranges: int = RANGES) -> DataFrame:
+    """Add `_range`, which cuts the chunks of a staged summary, in order, into about equally long ranges.
+
+    Boundaries are a sample of the chunks by hash, of fixed size, and thus the same after a retry.
+    """
+    key = F.struct(*chunk)
+    drawn = summary.select(key.alias("c")).orderBy(F.xxhash64("c"), "c").limit(ranges * _PER_RANGE)
+    inner = drawn.agg(F.sort_array(F.collect_list("c")).alias("c"))
+    thin = inner.select(F.filter("c", lambda _, i: (i + 1) % _PER_RANGE == 0).alias("c"))
+    cut = summary.withColumn("_cuts", thin.scalar())
+    return cut.withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= key))).drop("_cuts")
+
+
 def prefix_sums(
     df: DataFrame,
     by: Sequence[str],
@@ -50,11 +94,22 @@ def prefix_sums(
     order: Sequence[Column],
     sums: Mapping[str, Column],
     descending_chunks: bool = False,
+    ranged: bool = False,
 ) -> DataFrame:
-    """Inclusive running sums `<name>` and group totals `<name>_total`."""
+    """Inclusive running sums `<name>` and group totals `<name>_total`.
+
+    `ranged` scans the chunk summaries themselves by ranges, for groups with very many chunks; the
+    sums should then be whole numbers, which add up alike in any order.
+    """
     by, chunk = list(by), list(chunk)
     items = {n: F.coalesce(e, F.lit(0)) for n, e in sums.items()}
     parts = df.groupBy(*by, *chunk).agg(*[F.sum(e).alias(f"_s_{n}") for n, e in items.items()])
+    if ranged:
+        way = _directed(chunk, descending_chunks)
+        placed = prefix_sums(with_ranges(stage(parts), chunk), by, ["_range"], way, {n: F.col(f"_s_{n}") for n in items}, descending_chunks)
+        own = [(F.col(n) - F.col(f"_s_{n}")).alias(f"_o_{n}") for n in items]
+        offsets = placed.select(*by, *chunk, *own, *[f"{n}_total" for n in items])
+        return _with_offsets(df, by, chunk, order, items, offsets)
     before = (
         Window.partitionBy(*by)
         .orderBy(*_directed(chunk, descending_chunks))
@@ -66,6 +121,13 @@ def prefix_sums(
         *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in items],
         *[F.sum(f"_s_{n}").over(Window.partitionBy(*by)).alias(f"{n}_total") for n in items],
     )
+    return _with_offsets(df, by, chunk, order, items, offsets)
+
+
+def _with_offsets(
+    df: DataFrame, by: list[str], chunk: list[str], order: Sequence[Column], items: Mapping[str, Column], offsets: DataFrame
+) -> DataFrame:
+    """Running sums inside each chunk, plus what stands before the chunk."""
     local = Window.partitionBy(*by, *chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     scanned = df.select("*", *[F.sum(e).over(local).alias(f"_l_{n}") for n, e in items.items()])
     out = scanned.join(offsets, by + chunk)
@@ -95,12 +157,14 @@ def nearest_points(
     has: Column | None = None,
     strict: bool = False,
     need: str = "both",
+    ranged: bool = False,
 ) -> DataFrame:
     """Attach `prev` (last point up to this row) and `next` (first one from this row on).
 
     `point` names the fields of a point; the first one is its position and must grow with
     `order`.  Rows where `has` is false carry none.  `strict` leaves the row itself out of
     `prev`.  `points` is the number of points in the group, `first` and `last` its outermost.
+    `ranged` scans the chunk summaries by ranges, for groups with very many chunks.
     """
     by, names = list(by), list(point)
     at = names[0]
@@ -119,19 +183,7 @@ def nearest_points(
         return F.when(F.col(f"{prefix}_{at}").isNotNull(), F.struct(*[F.col(f"{prefix}_{n}").alias(n) for n in names]))
 
     summary = summary.select(*by, chunk, "_n", as_point("_lo").alias("_lo"), as_point("_hi").alias("_hi"))
-    seq = Window.partitionBy(*by).orderBy(F.col(chunk))
-    rev = Window.partitionBy(*by).orderBy(F.col(chunk).desc())
-    whole = Window.partitionBy(*by)
-    upto = (Window.unboundedPreceding, -1)
-    carried = summary.select(
-        *by,
-        chunk,
-        F.last("_hi", ignorenulls=True).over(seq.rowsBetween(*upto)).alias("_cp"),
-        F.last("_lo", ignorenulls=True).over(rev.rowsBetween(*upto)).alias("_cn"),
-        F.sum("_n").over(whole).alias("points"),
-        F.min("_lo").over(whole).alias("first"),
-        F.max("_hi").over(whole).alias("last"),
-    )
+    carried = _carried_by_range(with_ranges(stage(summary), [chunk]), by, chunk) if ranged else _carried(summary, by, chunk)
     home = Window.partitionBy(*by, chunk)
     fwd = home.orderBy(*[F.col(o) for o in order])
     bwd = home.orderBy(*[F.col(o).desc() for o in order])
@@ -150,6 +202,33 @@ def nearest_points(
     return out.drop("_l1", "_l2", "_cp", "_cn")
 
 
+def _carried(summary: DataFrame, by: list[str], chunk: str) -> DataFrame:
+    """Per chunk the last point before it, the first after it, and number and ends of the group's points."""
+    seq = Window.partitionBy(*by).orderBy(F.col(chunk))
+    rev = Window.partitionBy(*by).orderBy(F.col(chunk).desc())
+    whole = Window.partitionBy(*by)
+    upto = (Window.unboundedPreceding, -1)
+    return summary.select(
+        *by,
+        chunk,
+        F.last("_hi", ignorenulls=True).over(seq.rowsBetween(*upto)).alias("_cp"),
+        F.last("_lo", ignorenulls=True).over(rev.rowsBetween(*upto)).alias("_cn"),
+        F.sum("_n").over(whole).alias("points"),
+        F.min("_lo").over(whole).alias("first"),
+        F.max("_hi").over(whole).alias("last"),
+    )
+
+
+def _carried_by_range(summary: DataFrame, by: list[str], chunk: str) -> DataFrame:
+    """The same in two levels: chunks inside a range, then one row per range."""
+    tops = summary.groupBy(*by, "_range").agg(F.sum("_n").alias("_n"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    outer = _carried(tops, by, "_range").withColumnsRenamed({"_cp": "_op", "_cn": "_on"})
+    inner = _carried(summary, [*by, "_range"], chunk).drop("points", "first", "last")
+    return inner.join(outer, [*by, "_range"]).select(
+        *by, chunk, F.coalesce("_cp", "_op").alias("_cp"), F.coalesce("_cn", "_on").alias("_cn"), "points", "first", "last"
+    )
+
+
 def with_halo(df: DataFrame, index: str, size: int, before: int = 0, after: int = 0) -> DataFrame:
     """Cut a dense index into blocks and copy edge rows into the neighbour block.
 

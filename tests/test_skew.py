@@ -114,3 +114,55 @@ def test_event_matching_equals_greedy_rule(spark):
     lab, hit = [r[2] for r in rows], [r[3] for r in rows]
     pooled = E.event_f1(df, 0.5, by=(), chunk_width=16).first()
     assert (pooled["true_events"], pooled["pred_events"], pooled["matched"]) == walk(lab, hit)
+
+
+def test_dense_week_is_cut_into_equal_parts(spark, monkeypatch):
+    monkeypatch.setattr(O, "DENSE", 50)
+    rng = np.random.default_rng(6)
+    # 4,000 of 4,400 samples of one series lie in a twentieth of one bucket, with ties among them
+    ts = np.concatenate([rng.choice(np.arange(1000, 6000), 4000, replace=False), rng.integers(0, 1_000_000, 400)])
+    ts = np.unique(ts)
+    v = rng.normal(size=len(ts))
+    tel = spark.createDataFrame([("hot", "a", int(a), float(b)) for a, b in zip(ts, v)] + [("cold", "a", 5, 1.0), ("cold", "a", 900, 2.0)], "run string, channel string, ts_us long, value double")
+    chunked = O.with_time_chunk(tel, ["run", "channel"], "ts_us", 100_000)
+    sizes = [r["count"] for r in chunked.groupBy("run", "channel", "_chunk").count().collect()]
+    assert sum(sizes) == tel.count() and max(sizes) <= 150
+    # parts follow time: no part of a series begins before the part before it has ended
+    spans = sorted((r["run"], r["lo"], r["hi"], r["_chunk"]) for r in chunked.groupBy("run", "_chunk").agg(F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi")).collect())
+    assert all(a[0] != b[0] or (a[2] < b[1] and a[3] < b[3]) for a, b in zip(spans, spans[1:]))
+    points = np.arange(0, 1_000_000, 777)
+    grid = spark.createDataFrame([("hot", k, int(t), len(points)) for k, t in enumerate(points)], "run string, k long, ts_us long, rows long")
+    for r in G.resample_linear(tel, grid, ["a"], 100_000).collect():
+        assert abs(r["value"] - np.interp(r["ts_us"], ts, v)) < 1e-9
+    gaps = {r["ts_us"]: r["gap_us"] for r in G.sample_gaps(tel, 100_000).filter("run = 'hot'").collect()}
+    assert gaps == {int(t): None if k == 0 else int(t - ts[k - 1]) for k, t in enumerate(ts)}
+
+
+def test_pooled_scan_over_many_runs(spark):
+    runs = 10_000
+    rng = np.random.default_rng(8)
+    lab, hit = (rng.random(2 * runs) < 0.6).astype(int), (rng.random(2 * runs) < 0.6).astype(int)
+    rows = [(k // 2, k % 2, int(a), float(b)) for k, (a, b) in enumerate(zip(lab, hit))]
+    df = spark.createDataFrame(rows, "group long, start long, label long, score double")
+    got = E.event_f1(df, 0.5, by=()).first()
+    assert (got["true_events"], got["pred_events"], got["matched"]) == walk(lab.tolist(), hit.tolist())
+    # a task of the scan sees the chunks of one range, or one row per range
+    chunks = spark.createDataFrame([(k, 0) for k in range(runs)], "group long, b long").select(F.struct("group", "b").alias("_chunk"))
+    ranges = O.with_ranges(chunks, ["_chunk"]).groupBy("_range").agg(F.count("*").alias("n"), F.min("_chunk.group").alias("lo"), F.max("_chunk.group").alias("hi"))
+    got = sorted((r["_range"], r["n"], r["lo"], r["hi"]) for r in ranges.collect())
+    assert O.RANGES // 2 <= len(got) <= O.RANGES + 1 and max(n for _, n, _, _ in got) <= 4 * runs / O.RANGES
+    assert all(a[3] < b[2] for a, b in zip(got, got[1:]))
+
+
+def test_ranged_scans_equal_plain_ones(spark):
+    rng, runs = hot_rows(9)
+    rows = [(int(g), k, float(x)) for k, (g, x) in enumerate(zip(runs, rng.random(len(runs))))]
+    df = spark.createDataFrame(rows, "run long, t long, v double").withColumn("c", F.floor(F.col("t") / 5))
+    for down in (False, True):
+        order = [F.col("t").desc() if down else F.col("t").asc()]
+        plain, cut = [O.prefix_sums(df, ["run"], ["c"], order, {"s": (F.col("v") > 0.5).cast("long")}, down, ranged=ranged) for ranged in (False, True)]
+        assert sorted(plain.collect()) == sorted(cut.select(plain.columns).collect())
+    point = {"t": F.col("t"), "v": F.col("v")}
+    plain, cut = [O.nearest_points(df, ["run"], "c", ["t"], point, F.col("v") > 0.7, ranged=ranged) for ranged in (False, True)]
+    key = lambda r: (r["run"], r["t"])
+    assert sorted(plain.collect(), key=key) == sorted(cut.select(plain.columns).collect(), key=key)
