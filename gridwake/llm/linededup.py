@@ -1,19 +1,21 @@
 """Line deduplication by a segment-partition edit join.
 
-The unit of an edit is a word: one word inserted, deleted or replaced. A line goes if an equal
-line stands in a document of lower id or earlier in its own, or if some line of lower hash is at
-most `EDITS` word edits away. Lines of fewer than `MIN_WORDS` words are left alone, and lines of
-fewer than `NEAR_WORDS` only meet equal ones: two edits would make any two of them alike.
-
-A line of L words is cut into `EDITS + 1` segments. Two lines within the threshold share one of
-them, at a place that the lengths narrow down to five substrings for equal lengths, four and
-three for one and two words more. These twelve substrings, keyed by length, segment and content,
-are the buckets; `pivots` compares their members, and the distance is a banded bit-parallel one
-over many pairs at once. Lines that no pivot reaches are first screened by bit sketches of their
-words: two edits take at most two words out and bring at most two in. Equal lines are one member, so groups of copies never meet each other.
-
-Texts pass once for keys and once for the words of lines that share a bucket; the lines are picked
-by a bitmap of fixed size, which only saves work. Ids of lines are 64-bit hashes.
+The unit of an edit is a word: one word inserted, deleted or replaced. A line with a word goes if an
+equal line stands in a document of lower id or earlier in its own, or if some line of lower hash is
+near it. How many edits are near depends on the shorter of two lines: `EDITS` from `NEAR_WORDS` words
+on, one from `SHORT_WORDS` words on, none below, where one edit would be a third of the line or more.
+
+For a threshold of E edits, a line of L words is cut into E + 1 segments. Two lines within the
+threshold share one of them, at a place that the lengths narrow down: for two edits to five
+substrings for equal lengths, four and three for one and two words more, for one edit to two and two.
+These twelve or four substrings, keyed by length, segment and content, are the buckets of a join; lines
+of exactly `NEAR_WORDS` words stand in both joins, so that shorter ones meet them. `pivots` compares
+the members of a bucket, and the distance is a banded bit-parallel one over many pairs at once. Lines
+that no pivot reaches are first screened by bit sketches of their words: an edit takes at most one word
+out and brings at most one in. Equal lines are one member, so groups of copies never meet each other.
+
+Texts pass once for keys, and once for the words of long lines that share a bucket; the lines are picked
+by a bitmap of fixed size, which only saves work. Words of short lines go with their keys. Ids of lines are 64-bit hashes.
 
 Cases: null texts stay null; blank lines stay; null ids count as the lowest id; rows equal in id
 and text are treated alike; rows of one id never cost each other a line; other columns pass
@@ -22,7 +24,7 @@ through; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,35 +38,40 @@ from gridwake.llm.words import let
 from gridwake.session import stage
 
 EDITS = 2
-MIN_WORDS = 4
+SHORT_EDITS = 1
+SHORT_WORDS = 4
 NEAR_WORDS = 10
 MAP_BITS = 24
 #: 64-bit numbers in the sketch of a line's words.
 SKETCH = 4
 _LOWEST = -(1 << 63)
-#: (words the other line is shorter, segment, shift of the substring): all places where an intact segment can stand.
-PROBES = [
-    (d, i, s)
-    for d in range(EDITS + 1)
-    for i in range(EDITS + 1)
-    for s in range(max(-i, d - (EDITS - i)), min(i, d + EDITS - i) + 1)
-]
 
 
-def _segment(length: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
+def probes(edits: int) -> list[tuple[int, int, int]]:
+    """(words the other line is shorter, segment, shift of the substring): all places where an intact segment can stand."""
+    return [
+        (d, i, s)
+        for d in range(edits + 1)
+        for i in range(edits + 1)
+        for s in range(max(-i, d - (edits - i)), min(i, d + edits - i) + 1)
+    ]
+
+
+def _segment(length: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
     """Start and size of segment `i`; the last ones take the odd words."""
-    parts = EDITS + 1
+    parts = edits + 1
     base, odd = length // parts, length % parts
     longer = np.maximum(0, i - (parts - odd))
     return base * i + longer, base + (i >= parts - odd)
 
 
-def segment_keys(spans: Spans, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+def segment_keys(spans: Spans, first: np.ndarray, count: np.ndarray, edits: int = EDITS) -> np.ndarray:
     """One row of bucket keys per line."""
-    out = np.empty((len(first), len(PROBES)), np.uint64)
-    for k, (shorter, i, shift) in enumerate(PROBES):
+    places = probes(edits)
+    out = np.empty((len(first), len(places)), np.uint64)
+    for k, (shorter, i, shift) in enumerate(places):
         other = count - shorter
-        start, size = _segment(other, i)
+        start, size = _segment(other, i, edits)
         at = first + np.clip(start + shift, 0, count - size)
         out[:, k] = mix(spans(at, at + size) ^ mix(other.astype(np.uint64) * np.uint64(8) + np.uint64(i)))
     return out
@@ -84,34 +91,52 @@ def _lines(data: np.ndarray, at: np.ndarray):
     return spans, words, row[first], number[first], first, count, spans(first, first + count)
 
 
-_KEYS = "id long, text_key long, line int, hash long, again boolean, keys array<long>"
+def _lists(values: np.ndarray, on: np.ndarray) -> pa.Array:
+    """A list per row: the next row of `values` where `on`, else empty."""
+    ends = np.concatenate([[0], np.cumsum(np.where(on, values.shape[1], 0))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel().view(np.int64)))
+
+
+def _words(words: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """Per line its words as 32-bit hashes, and which of 64 * `SKETCH` bits they fall on."""
+    codes = (words >> np.uint64(32)).astype("<u4")
+    parts = [codes[f : f + n] for f, n in zip(first.tolist(), count.tolist())]
+    bits = np.zeros((len(first), SKETCH), np.uint64)
+    place = np.concatenate(parts or [codes[:0]]).astype(np.int64)
+    np.bitwise_or.at(bits, (np.repeat(np.arange(len(first)), count), (place >> 6) % SKETCH), np.uint64(1) << (place & 63).astype(np.uint64))
+    return [p.tobytes() for p in parts], bits
+
+
+_KEYS = "id long, text_key long, line int, hash long, again boolean, keys array<long>, short_keys array<long>, data binary, sketch array<long>"
 
 
 def line_keys(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """A row per line of at least `MIN_WORDS` words, with its bucket keys where it may have near lines."""
+    """A row per line with a word, with its bucket keys where it may have near lines; `data` and `sketch` only of lines with `short_keys`."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys_of_text, done = batch.column(0), batch.column(1), 0
             for data, at in row_blocks(batch.column(2)):
                 if len(data):
-                    spans, _, row, number, first, count, hashes = _lines(data, at)
-                    use = count >= MIN_WORDS
-                    row, number, first, count, hashes = (x[use] for x in (row, number, first, count, hashes))
+                    spans, words, row, number, first, count, hashes = _lines(data, at)
                     order = np.lexsort((number, hashes, row))
                     again = np.zeros(len(row), bool)
                     a, b = order[:-1], order[1:]
                     again[b] = (row[a] == row[b]) & (hashes[a] == hashes[b])
                     near = (count >= NEAR_WORDS) & ~again
-                    keys = segment_keys(spans, first[near], count[near])
-                    ends = np.concatenate([[0], np.cumsum(np.where(near, len(PROBES), 0))]).astype(np.int32)
+                    short = (count >= SHORT_WORDS) & (count <= NEAR_WORDS) & ~again
+                    coded, sketches = _words(words, first[short], count[short])
+                    held = np.full(len(row), None, object)
+                    held[short] = coded
                     pick = pa.array(row + done)
                     yield pa.RecordBatch.from_arrays(
                         [
                             ids.take(pick), keys_of_text.take(pick), pa.array(number.astype(np.int32)), pa.array(hashes.view(np.int64)), pa.array(again),
-                            pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64))),
+                            _lists(segment_keys(spans, first[near], count[near]), near),
+                            _lists(segment_keys(spans, first[short], count[short], SHORT_EDITS), short),
+                            pa.array(held, pa.binary()), _lists(sketches, short),
                         ],
-                        ["id", "text_key", "line", "hash", "again", "keys"],
+                        ["id", "text_key", "line", "hash", "again", "keys", "short_keys", "data", "sketch"],
                     )
                 done += len(at) - 1
 
@@ -145,12 +170,7 @@ def line_words(docs: DataFrame, bitmap: np.ndarray, text: str) -> DataFrame:
                     on = (bits[(hashes & mask).astype(np.int64)] >> ((hashes >> np.uint64(MAP_BITS - 6)) & np.uint64(63))) & np.uint64(1)
                     use = np.flatnonzero((on == 1) & (count >= NEAR_WORDS))
                     use = use[np.unique(hashes[use], return_index=True)[1]]
-                    codes = (words >> np.uint64(32)).astype("<u4")
-                    rows = [codes[f : f + n].tobytes() for f, n in zip(first[use].tolist(), count[use].tolist())]
-                    bits_of = np.zeros((len(use), SKETCH), np.uint64)
-                    line = np.repeat(np.arange(len(use)), count[use])
-                    place = np.concatenate([codes[f : f + n] for f, n in zip(first[use].tolist(), count[use].tolist())] or [codes[:0]]).astype(np.int64)
-                    np.bitwise_or.at(bits_of, (line, (place >> 6) % SKETCH), np.uint64(1) << (place & 63).astype(np.uint64))
+                    rows, bits_of = _words(words, first[use], count[use])
                     sketches = pa.FixedSizeListArray.from_arrays(pa.array(bits_of.ravel().view(np.int64)), SKETCH).cast(pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays([pa.array(hashes[use].view(np.int64)), pa.array(rows, pa.binary()), sketches], ["id", "data", "sketch"])
 
@@ -206,25 +226,32 @@ def _band(xs: list[np.ndarray], ys: list[np.ndarray], most: int) -> np.ndarray:
 
 
 def near_lines(docs: DataFrame, lines: DataFrame, text: str) -> DataFrame:
-    """`hash` of every line that has a line of lower hash within the threshold."""
-    members = lines.select(F.explode("keys").alias("bucket"), F.col("hash").alias("id"))
-
-    @F.pandas_udf("double")
-    def distance(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for xs, ys in batches:
-            yield pd.Series(banded_distances([np.frombuffer(x, "<u4") for x in xs], [np.frombuffer(y, "<u4") for y in ys]), dtype=float)
+    """`hash` of every line that has a line of lower hash within the threshold of the shorter one."""
 
-    def payload(ids: DataFrame) -> DataFrame:
+    def long_words(ids: DataFrame) -> DataFrame:
         return stage(line_words(docs, id_bitmap(ids), text))
 
+    def short_words(ids: DataFrame) -> DataFrame:
+        held = lines.filter("data is not null").select(F.col("hash").alias("id"), "data", "sketch")
+        return stage(held.join(ids, "id", "left_semi").dropDuplicates(["id"]))
+
     def missing(a: Column, b: Column) -> Column:
         each = [F.bit_count(F.get(a, F.lit(k)).bitwiseAND(F.bitwise_not(F.get(b, F.lit(k))))) for k in range(SKETCH)]
         return sum(each[1:], each[0])
 
-    def screen(a: Column, b: Column) -> Column:
-        return (missing(a, b) <= EDITS) & (missing(b, a) <= EDITS)
+    def found(keys: str, payload: Callable[[DataFrame], DataFrame], edits: int) -> DataFrame:
+        @F.pandas_udf("double")
+        def distance(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            for xs, ys in batches:
+                yield pd.Series(banded_distances([np.frombuffer(x, "<u4") for x in xs], [np.frombuffer(y, "<u4") for y in ys], 2 * edits), dtype=float)
+
+        def screen(a: Column, b: Column) -> Column:
+            return (missing(a, b) <= edits) & (missing(b, a) <= edits)
+
+        members = lines.select(F.explode(keys).alias("bucket"), F.col("hash").alias("id"))
+        return bucket_links(members, payload, distance, edits, screen=screen).select(F.col("b").alias("hash"))
 
-    return bucket_links(members, payload, distance, EDITS, screen=screen).select(F.col("b").alias("hash")).distinct()
+    return found("keys", long_words, EDITS).union(found("short_keys", short_words, SHORT_EDITS)).distinct()
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

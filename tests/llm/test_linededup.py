@@ -45,18 +45,19 @@ def brute(docs):
     for i, text in docs:
         for k, line in enumerate((text or "").split("\n")):
             words = tuple(re.findall(r"[^\x20\x09-\x0D]+", line))
-            if len(words) >= linededup.MIN_WORDS:
+            if words:
                 lines.append((i, k, words))
                 if words not in hashes:
                     data, at = next(row_blocks(pa.array([line])))
                     hashes[words] = int(linededup._lines(data, at)[-1].view(np.int64)[0])
     near = set()
-    long_ = sorted((w for w in hashes if len(w) >= linededup.NEAR_WORDS), key=len)
+    long_ = sorted((w for w in hashes if len(w) >= linededup.SHORT_WORDS), key=len)
     for k, a in enumerate(long_):
+        most = 2 if len(a) >= linededup.NEAR_WORDS else 1
         for b in long_[k + 1 :]:
-            if len(b) - len(a) > 2:
+            if len(b) - len(a) > most:
                 break
-            if len(set(a) & set(b)) >= len(set(a)) - 4 and edit(a, b) <= 2:
+            if len(set(a) & set(b)) >= len(set(a)) - 2 * most and edit(a, b) <= most:
                 near.add(a if hashes[a] > hashes[b] else b)
     first, gone = {}, set()
     for i, k, w in sorted(lines, key=lambda x: x[:2]):
@@ -87,9 +88,25 @@ def test_near_lines_in_large_groups(spark):
         for _ in range(draw.randint(0, 4)):
             at = draw.randrange(len(line))
             line[at : at + draw.randint(0, 1)] = [f"n{draw.randint(0, 999)}"] * draw.randint(0, 2)
-        docs.append((k, " ".join(line) + f"\nshort one\nkept {k} as it is only equal"))
+        docs.append((k, " ".join(line) + f"\nshort one\nkept {k} as only its number differs here\nin {k} and {k % 7} two words differ"))
     got = {r.doc_id: r.text for r in linededup.drop_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == result(docs, brute(docs))
+    assert sum("short one" in t for t in got.values()) == 1 and sum("kept" in t for t in got.values()) < 150
+
+
+def test_lines_around_the_border_of_thresholds(spark):
+    draw = random.Random(13)
+    docs = []
+    for k in range(400):
+        line = [f"g{k % 8}w{n}" for n in range(draw.choice([3, 4, 5, 8, 9, 10, 11, 12]))]
+        for _ in range(draw.choice([0, 1, 1, 2, 3])):
+            at = draw.randrange(len(line))
+            line[at : at + draw.randint(0, 1)] = [f"n{draw.randint(0, 30)}"] * draw.randint(0, 1)
+            line = line or ["x"]
+        docs.append((k, " ".join(line)))
+    got = {r.doc_id: r.text for r in linededup.drop_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = result(docs, brute(docs))
+    assert got == want and 50 < sum(t == "" for t in want.values()) < 390
 
 
 def test_edges(spark):
