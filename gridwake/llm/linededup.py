@@ -42,7 +42,7 @@ SHORT_EDITS = 1
 SHORT_WORDS = 4
 NEAR_WORDS = 10
 MAP_BITS = 24
-#: 64-bit numbers in the sketch of a line's words.
+#: 64-bit numbers in the sketch of a line's words; the number of words follows them.
 SKETCH = 4
 _LOWEST = -(1 << 63)
 
@@ -98,13 +98,13 @@ def _lists(values: np.ndarray, on: np.ndarray) -> pa.Array:
 
 
 def _words(words: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-    """Per line its words as 32-bit hashes, and which of 64 * `SKETCH` bits they fall on."""
+    """Per line its words as 32-bit hashes, and which of 64 * `SKETCH` bits they fall on, with their number."""
     codes = (words >> np.uint64(32)).astype("<u4")
     parts = [codes[f : f + n] for f, n in zip(first.tolist(), count.tolist())]
     bits = np.zeros((len(first), SKETCH), np.uint64)
     place = np.concatenate(parts or [codes[:0]]).astype(np.int64)
     np.bitwise_or.at(bits, (np.repeat(np.arange(len(first)), count), (place >> 6) % SKETCH), np.uint64(1) << (place & 63).astype(np.uint64))
-    return [p.tobytes() for p in parts], bits
+    return [p.tobytes() for p in parts], np.column_stack([bits, count.astype(np.uint64)])
 
 
 _KEYS = "id long, text_key long, line int, hash long, again boolean, keys array<long>, short_keys array<long>, data binary, sketch array<long>"
@@ -171,7 +171,7 @@ def line_words(docs: DataFrame, bitmap: np.ndarray, text: str) -> DataFrame:
                     use = np.flatnonzero((on == 1) & (count >= NEAR_WORDS))
                     use = use[np.unique(hashes[use], return_index=True)[1]]
                     rows, bits_of = _words(words, first[use], count[use])
-                    sketches = pa.FixedSizeListArray.from_arrays(pa.array(bits_of.ravel().view(np.int64)), SKETCH).cast(pa.list_(pa.int64()))
+                    sketches = pa.FixedSizeListArray.from_arrays(pa.array(bits_of.ravel().view(np.int64)), SKETCH + 1).cast(pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays([pa.array(hashes[use].view(np.int64)), pa.array(rows, pa.binary()), sketches], ["id", "data", "sketch"])
 
     return docs.select(F.col(f"`{text}`").alias("t")).mapInArrow(emit, "id long, data binary, sketch array<long>").dropDuplicates(["id"])
@@ -246,7 +246,8 @@ def near_lines(docs: DataFrame, lines: DataFrame, text: str) -> DataFrame:
                 yield pd.Series(banded_distances([np.frombuffer(x, "<u4") for x in xs], [np.frombuffer(y, "<u4") for y in ys], 2 * edits), dtype=float)
 
         def screen(a: Column, b: Column) -> Column:
-            return (missing(a, b) <= edits) & (missing(b, a) <= edits)
+            longer = F.get(a, F.lit(SKETCH)) - F.get(b, F.lit(SKETCH))
+            return (F.abs(longer) <= edits) & (missing(a, b) <= edits) & (missing(b, a) <= edits)
 
         members = lines.select(F.explode(keys).alias("bucket"), F.col("hash").alias("id"))
         return bucket_links(members, payload, distance, edits, screen=screen).select(F.col("b").alias("hash"))

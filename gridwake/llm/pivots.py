@@ -2,9 +2,10 @@
 
 Every member of a bucket is compared with the bucket's pivot: its least id, or where only classes
 are wanted the member that meets most others in all its buckets. In large buckets the
-members it does not reach elect a further pivot among themselves, a fixed number of times. The
-rest - members that no pivot reached - is compared with all members of the bucket that the
-triangle inequality does not rule out: if `|d(p, x) - d(p, y)| > limit` then `d(x, y) > limit`.
+members it does not reach elect a further pivot among themselves, a fixed number of times. A member
+linked to a lower id, in whatever bucket, is settled. The rest is compared with all members of
+lower id in its buckets that the triangle inequality does not rule out: if
+`|d(p, x) - d(p, y)| > limit` then `d(x, y) > limit`.
 So a member with a near member of lower id is linked to some member of lower id. Where only
 classes are wanted (`by_class`), two members within the limit always end in one class: after the
 rounds, members of different classes are compared whether a pivot reached them or not. Of two
@@ -65,7 +66,8 @@ def bucket_links(
     links = [found.filter(F.col("d") <= limit)]
     # near the pivot or not: one row per bucket and member, with the distance to the first pivot
     known = _with_distance(rest, found).select("bucket", "id", "rank", "d")
-    open_ = stage(known.filter(F.col("d") > limit).select("bucket", "id", "rank", F.col("d").alias("d1")))
+    open_ = known.filter(F.col("d") > limit).select("bucket", "id", "rank", F.col("d").alias("d1"))
+    open_ = stage(open_ if by_class else _unsettled(open_, links[0]))
     if open_.isEmpty():
         return links[0]
     further = []
@@ -82,7 +84,8 @@ def bucket_links(
         further.append(_with_distance(again, found).select("bucket", "id", "d").union(chosen.withColumn("d", F.lit(0.0))).withColumn("round", F.lit(k)))
         reached = _with_distance(again, near).select("bucket", "id")
         left = open_.join(reached, ["bucket", "id"], "left_anti").join(chosen.withColumn("done", F.lit(True)), ["bucket", "id"], "left")
-        open_ = stage(left.select("bucket", "id", F.when(F.col("done"), _LAST).otherwise(F.col("rank")).alias("rank"), "d1"))
+        left = left.select("bucket", "id", F.when(F.col("done"), _LAST).otherwise(F.col("rank")).alias("rank"), "d1")
+        open_ = stage(left if by_class else _unsettled(left, near))
     so_far = _union(links)
     if by_class:
         x, y = _apart(known, further, components(so_far))
@@ -95,6 +98,11 @@ def bucket_links(
     return _union([so_far, left]).distinct()
 
 
+def _unsettled(open_: DataFrame, links: DataFrame) -> DataFrame:
+    """Members without a link to a lower id."""
+    return open_.join(links.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
+
+
 def _apart(known: DataFrame, further: list[DataFrame], classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members outside the largest class of their bucket, and all members of buckets that have such, with class and distances to later pivots."""
     named = stage(known.join(classes, "id", "left").select("bucket", "id", "d", F.coalesce("class", "id").alias("class")))
@@ -136,7 +144,7 @@ def _unruled(x: DataFrame, y: DataFrame, limit: float, by_class: bool, screen: C
 
     Distances to the first pivot are cut into cells as wide as the limit, so that only equal and
     adjacent cells meet. By class, only members of different classes meet, and a pair that stands
-    on both sides twice is taken once.
+    on both sides twice is taken once; else a member only looks for lower ids.
     """
     width = max(limit, 1e-9)
     cell = F.floor(F.col("d") / width)
@@ -148,7 +156,7 @@ def _unruled(x: DataFrame, y: DataFrame, limit: float, by_class: bool, screen: C
         for k in range(ROUNDS):
             apart = apart & F.coalesce(within(f"d{k + 2}"), F.lit(True))
     else:
-        apart = F.col("x.id") != F.col("y.id")
+        apart = F.col("y.id") < F.col("x.id")
     if screen:
         apart = apart & screen(F.col("x.sketch"), F.col("y.sketch"))
     near = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.cell") == F.col("y.cell")) & within("d") & apart)
