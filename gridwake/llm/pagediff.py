@@ -13,7 +13,8 @@ footers, sidebars, notices, adverts, forms and reader comments always go, and li
 neither shared nor so marked stay, whether the page has an article or not.
 
 Partners are found by grouping URL prefixes, least and greatest page combined before the shuffle;
-a host with a third of the pages is one small row per prefix. Only line hashes travel for it.
+a host with a third of the pages is one small row per prefix. Prefixes, pages and lines travel for it
+as 64-bit hashes.
 
 Cases: null pages and pages without text give ''; null or odd URLs form a host of their own; a page
 without a differing partner keeps its unshared lines; unclosed and cut-off markup is read as far
@@ -31,6 +32,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridwake.session import stage
+
 #: HTML element names by role, and words in class, id or role attributes that mark boilerplate.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -152,7 +155,7 @@ def shared_places(mine: list[int], other: list[int]) -> list[int]:
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
-    """`key, prefixes, lines`: per distinct page the hashes of its lines, and its URL's prefixes."""
+    """`key, content, lines, prefixes`: per distinct page the hashes of its lines, their hash, and depth and hash of its URL's prefixes."""
 
     @F.pandas_udf("array<string>")
     def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -161,69 +164,89 @@ def page_lines(pages: DataFrame) -> DataFrame:
 
     address = F.regexp_replace(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://|[?#].*$", "")
     parts = F.split(F.regexp_replace(address, "/+$", ""), "/+")
-    prefixes = F.transform(parts, lambda p, i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, 1, i + 1), "/").alias("prefix")))
+    prefixes = F.transform(parts, lambda p, i: F.struct(i.alias("depth"), F.xxhash64(F.array_join(F.slice(parts, 1, i + 1), "/")).alias("prefix")))
     rows = pages.select("key", prefixes.alias("prefixes"), texts("html").alias("texts"))
-    return rows.select("key", "prefixes", F.transform("texts", lambda x: F.xxhash64(x)).alias("lines"))
+    hashed = rows.select("key", "prefixes", F.transform("texts", lambda x: F.xxhash64(x)).alias("lines")).dropDuplicates(["key"])
+    return hashed.select("key", F.xxhash64("lines").alias("content"), "lines", "prefixes")
 
 
 def shared_lines(pages: DataFrame) -> DataFrame:
-    """`key, shared, general`: places of the lines that the nearest differing page shares, and of those that all compared pages of the host have too."""
-    own = page_lines(pages).dropDuplicates(["key"]).withColumn("content", F.xxhash64("lines"))
-    at = own.select("key", "content", "lines", F.explode("prefixes").alias("p")).select("key", "content", "lines", "p.*")
-    page = F.struct("content", "lines")
-    drawn = [end(F.when(F.col("depth") == 0, F.struct(F.xxhash64("content", F.lit(seed)).alias("order"), "content", "lines"))) for seed in (1, 2) for end in (F.min, F.max)]
-    ends = at.groupBy("prefix").agg(F.min(page).alias("low"), F.max(page).alias("high"), *[d.alias(f"drawn{k}") for k, d in enumerate(drawn)]).filter("low.content <> high.content")
-    other = F.when(F.col("low.content") != F.col("content"), F.col("low.lines")).otherwise(F.col("high.lines"))
-    some = [F.struct(F.col(f"{n}.content").alias("content"), F.col(f"{n}.lines").alias("lines")) for n in ("low", "high", *[f"drawn{k}" for k in range(len(drawn))])]
-    others = F.transform(F.filter(F.array_distinct(F.array(*some)), lambda p: p["content"] != F.col("content")), lambda p: p["lines"])
-    met = at.select("key", "content", "depth", "prefix").join(ends, "prefix")
-    offers = met.groupBy("key").agg(F.max_by(other, "depth").alias("other"), F.first(F.when(F.col("depth") == 0, others), ignorenulls=True).alias("others"))
+    """`key, shared, general`: places of the lines that the nearest differing page shares, and of those that all compared pages of the host have too.
+
+    Partners are chosen by their contents' hashes; lines are fetched once for the page that is chosen,
+    and the lines common to the pages drawn over a host are worked out once per host.
+    """
+    own = stage(page_lines(pages))
+    at = own.select("key", "content", F.explode("prefixes").alias("p")).select("key", "content", "p.*")
+    drawn = [end(F.when(F.col("depth") == 0, F.struct(F.xxhash64("content", F.lit(seed)).alias("order"), "content"))) for seed in (1, 2) for end in (F.min, F.max)]
+    names = [f"drawn{k}" for k in range(len(drawn))]
+    ends = at.groupBy("prefix").agg(F.min("content").alias("low"), F.max("content").alias("high"), *[d.alias(n) for d, n in zip(drawn, names)]).filter("low <> high")
+    some = F.array_distinct(F.array("low", "high", *[F.col(f"{n}.content") for n in names]))
+    ends = stage(ends.select("prefix", "low", "high", F.when(F.col("drawn0").isNotNull(), some).alias("drawn")))
+    contents = own.select("content", "lines").dropDuplicates(["content"])
+    of_host = ends.select("prefix", F.explode("drawn").alias("content")).join(contents, "content").groupBy("prefix").agg(F.collect_list("lines").alias("pages"))  # six at most
+    common = of_host.select("prefix", F.aggregate("pages", F.get("pages", F.lit(0)), F.array_intersect).alias("common"))
+    met = at.join(ends.join(common, "prefix", "left"), "prefix")
+    other = F.when(F.col("low") != F.col("content"), F.col("low")).otherwise(F.col("high"))
+    offers = met.groupBy("key").agg(F.max_by(other, "depth").alias("other"), F.first("drawn", ignorenulls=True).alias("drawn"), F.first("common", ignorenulls=True).alias("common"))
+    known = own.select("key", "content", "lines").join(offers, "key")
+    others = F.size(F.filter("drawn", lambda c: (c != F.col("content")) & (c != F.col("other")))) + 1
+    pairs = known.select("key", "lines", "other", "common", others.alias("n")).join(contents.select(F.col("content").alias("other"), F.col("lines").alias("theirs")), "other")
 
     @F.pandas_udf("struct<shared: array<int>, general: array<int>>")
-    def shared(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for mine, theirs, hosts in batches:
-            yield pd.DataFrame([_compared(list(a), list(b), [list(c) for c in cs]) for a, b, cs in zip(mine, theirs, hosts)], columns=["shared", "general"])
+    def shared(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for columns in batches:
+            yield pd.DataFrame([_compared(list(a), list(b), set(c), n) for a, b, c, n in zip(*columns)], columns=["shared", "general"])
+
+    return pairs.select("key", shared("lines", "theirs", "common", "n").alias("s")).select("key", "s.*")
 
-    return own.select("key", "lines").join(offers, "key").select("key", shared("lines", "other", "others").alias("s")).select("key", "s.*")
 
+def _compared(mine: list[int], other: list[int], common: set[int], n: int) -> tuple[list[int], list[int]]:
+    """Places shared with the nearest page, and those of lines in `common`, if there are enough pages to compare with.
 
-def _compared(mine: list[int], other: list[int], others: list[list[int]]) -> tuple[list[int], list[int]]:
+    A page that is itself among the drawn ones has all of its own lines, so `common` serves it too.
+    """
     places = shared_places(mine, other)
-    pages = {tuple(p) for p in (other, *others)}
-    if len(pages) < WITNESSES:
-        return places, []
-    common = set.intersection(*[set(p) for p in pages])
-    return places, [k for k in places if mine[k] in common]
+    return places, [k for k in places if mine[k] in common] if n >= WITNESSES else []
 
 
 def main_text(pages: DataFrame, page: str = "html", url: str = "url", out: str = "text") -> DataFrame:
     """Add `out`, and the numbers of lines deleted as shared and by the markup alone."""
     key = F.xxhash64(*[F.col(f"`{c}`") for c in (url, page)])
-    keyed = pages.select("*", key.alias("__key"))
-    found = shared_lines(keyed.select(F.col("__key").alias("key"), F.col(f"`{url}`").alias("url"), F.col(f"`{page}`").alias("html")))
-    joined = keyed.join(found.select(F.col("key").alias("__key"), F.col("shared").alias("__shared"), F.col("general").alias("__general")), "__key", "left")
+    found = shared_lines(pages.select(key.alias("key"), F.col(f"`{url}`").alias("url"), F.col(f"`{page}`").alias("html")))
+
+    @F.pandas_udf("struct<kinds: array<int>, texts: array<string>>")
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            read = [lines_of(p) for p in batch]
+            yield pd.DataFrame({"kinds": [[k for k, _ in lines] for lines in read], "texts": [["" if k == GONE else t for k, t in lines] for lines in read]})
+
+    # only lines that may stay travel to the verdict, not the page
+    rest = [c for c in pages.columns if c not in (out, "n_shared", "n_marked")]
+    lines = pages.select(*[F.col(f"`{c}`") for c in rest], key.alias("__key"), cut(F.col(f"`{page}`")).alias("__cut"))
+    joined = lines.join(found.select(F.col("key").alias("__key"), F.col("shared").alias("__shared"), F.col("general").alias("__general")), "__key", "left")
 
     @F.pandas_udf("struct<text: string, n_shared: long, n_marked: long>")
-    def assemble(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def assemble(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         places = lambda p: set() if p is None else {int(x) for x in p}
-        for texts, shared, general in batches:
-            yield pd.DataFrame([_assembled(t, places(s), places(g)) for t, s, g in zip(texts, shared, general)], columns=["text", "n_shared", "n_marked"])
+        for columns in batches:
+            made = [_assembled(list(k), list(t), places(s), places(g)) for k, t, s, g in zip(*columns)]
+            yield pd.DataFrame(made, columns=["text", "n_shared", "n_marked"])
 
-    made = joined.select(*[F.col(f"`{c}`") for c in pages.columns if c not in (out, "n_shared", "n_marked")], assemble(F.col(f"`{page}`"), F.col("__shared"), F.col("__general")).alias("__made"))
+    made = joined.select(*[F.col(f"`{c}`") for c in rest], assemble("__cut.kinds", "__cut.texts", "__shared", "__general").alias("__made"))
     return made.select("*", F.col("__made.text").alias(out), "__made.n_shared", "__made.n_marked").drop("__made")
 
 
-def _assembled(page: str | None, shared: set[int], general: set[int]) -> tuple[str, int, int]:
-    lines = lines_of(page)
-    held = sum(len(line) for kind, line in lines if kind == KEPT)
-    common = sum(len(lines[k][1]) for k in general if lines[k][0] == KEPT)
+def _assembled(kinds: list[int], texts: list[str], shared: set[int], general: set[int]) -> tuple[str, int, int]:
+    held = sum(len(text) for kind, text in zip(kinds, texts) if kind == KEPT)
+    common = sum(len(texts[k]) for k in general if kinds[k] == KEPT)
     inside = general if common < REPRINT * held else set()
     kept, n_shared, n_marked = [], 0, 0
-    for k, (kind, line) in enumerate(lines):
+    for k, (kind, text) in enumerate(zip(kinds, texts)):
         if k in (inside if kind == KEPT else shared):
             n_shared += 1
         elif kind == GONE:
             n_marked += 1
         else:
-            kept.append(line)
+            kept.append(text)
     return "\n".join(kept), n_shared, n_marked
