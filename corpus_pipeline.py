@@ -40,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: packed ids, their number, and whether they decode to the text."""
-    coded = bpe.round_trip(docs, vocabulary_path("byte_bpe_50k.json"))
+    coded = bpe.round_trip(docs, vocabulary_path("byte_bpe_50k.json"), release=True)
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return coded.select("doc_id", "lang", "source", bpe.n_tokens().alias("n_tokens"), "ids", same.alias("decodes"))
 

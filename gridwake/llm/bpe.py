@@ -5,7 +5,8 @@ The automaton reads tokens. It starts as one state with a loop per byte; the gad
 past both. All arcs with one label end in one state, so a state is named by the token that leads
 to it, and the automaton accepts exactly one path per text: the BPE tokenization. The finished
 automaton of a 50,000-token vocabulary has up to 50,000**2 arcs; `MergeAutomaton` therefore
-compiles the transition table arc by arc, when an arc is first met, from the same gadgets.
+compiles the transition table arc by arc, when an arc is first met, from the same gadgets. Both that
+table and the cache of words have a fixed size.
 
 Texts are split as the vocabulary's pre-tokenizer does, each distinct word is run once per worker,
 and ids are packed as little-endian unsigned 32-bit integers. The vocabulary (bounded by its file)
@@ -17,6 +18,7 @@ are encoded alike; other columns pass through, and an output column replaces one
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 from collections.abc import Iterator
@@ -41,8 +43,10 @@ LATER = """
 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F
 """
 
-#: Words kept per worker; the cache is emptied when full, which changes no result.
+#: Words and arcs kept per worker, and the longest word kept; a full table is emptied, which changes no result.
 CACHE_WORDS = 400_000
+CACHE_ARCS = 500_000
+CACHE_CHARS = 64
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -96,6 +100,8 @@ class MergeAutomaton:
         key = state * self.size + label
         known = self.table.get(key)
         if known is None:
+            if len(self.table) >= CACHE_ARCS:
+                self.table.clear()
             known = self.table[key] = self.arc(state, label, len(self.gadget))
         return known
 
@@ -143,12 +149,14 @@ def _codec(vocabulary: str):
     auto, (words, later, strict), special, cache = _compiled(vocabulary)
 
     def pack(word: str) -> bytes:
-        got = cache[word] = np.array(auto.run(word.encode()), "<u4").tobytes()
+        got = np.array(auto.run(word.encode()), "<u4").tobytes()
+        if len(word) <= CACHE_CHARS:
+            if len(cache) >= CACHE_WORDS:
+                cache.clear()
+            cache[word] = got
         return got
 
     def plain(text: str) -> list[bytes]:
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
         split = words if text.isascii() or not later.search(text) else strict
         return [cache.get(w) or pack(w) for w in split.findall(text)]
 
@@ -198,8 +206,8 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
     return df.withColumn(text, run(F.col(f"`{ids}`")))
 
 
-def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """`encode`, then `decode` of its ids, in one visit of each batch."""
+def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", release: bool = False) -> DataFrame:
+    """`encode`, then `decode` of its ids, in one visit of each batch; with `release` a task frees the automaton when it ends."""
     vocabulary = _broadcast(df, path)
 
     @F.pandas_udf("struct<ids: binary, decoded: string>")
@@ -208,6 +216,10 @@ def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", d
         for batch in batches:
             packed = [enc(t or "") for t in batch]
             yield pd.DataFrame({"ids": packed, "decoded": [dec(p) for p in packed]}, dtype=object)
+        if release:
+            del enc, dec
+            _compiled.cache_clear()
+            gc.collect()
 
     both = run(F.col(f"`{text}`"))
     return df.withColumn("__codec", both).withColumns({ids: F.col("__codec.ids"), decoded: F.col("__codec.decoded")}).drop("__codec")
