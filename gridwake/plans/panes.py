@@ -43,12 +43,13 @@ def explode_range(df: DataFrame, count: str, name: str, key: str = "run", block:
     """Rows 0..count-1 of every input row, made block by block; none where the count is not positive.
 
     Only block rows are shuffled before they are filled, so one very long run is generated by
-    many tasks and never as one array.
+    many tasks and never as one array.  The planner takes the rows for as few as the blocks, so a
+    join is told to merge: else it would broadcast all of them through the driver.
     """
     last = F.floor((F.col(count) - 1) / F.lit(block)).cast("long")
     blocks = df.filter(F.col(count) > 0).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), last))).repartition(key, "_b")
     lo = F.col("_b") * block
-    return blocks.withColumn(name, F.explode(F.sequence(lo, F.least(lo + block, F.col(count)) - 1))).drop("_b")
+    return blocks.withColumn(name, F.explode(F.sequence(lo, F.least(lo + block, F.col(count)) - 1))).drop("_b").hint("merge")
 
 
 def window_count(rows, spec: WindowSpec) -> Column:
