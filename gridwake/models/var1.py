@@ -22,10 +22,11 @@ def wide_steps(aligned: DataFrame) -> DataFrame:
 def fit_points(windows: DataFrame, spec: WindowSpec, points: int | None = None) -> DataFrame:
     """Grid positions inside each window, as `(run, k)` rows: every step, or `points` evenly spaced ones.
 
-    The Gram matrix adds up, so every step costs no more memory than a few.
+    The Gram matrix adds up, so every step costs no more memory than a few.  The planner doesn't see how
+    many rows a window becomes, so the join with them is told to merge.
     """
     at = list(range(spec.window - 1)) if points is None else np.linspace(0, spec.window - 2, points, dtype=int).tolist()
-    return windows.withColumn("_p", F.explode(F.array(*[F.lit(p) for p in at]))).select("run", (F.col("start_k") + F.col("_p")).alias("k"))
+    return windows.withColumn("_p", F.explode(F.array(*[F.lit(p) for p in at]))).select("run", (F.col("start_k") + F.col("_p")).alias("k")).hint("merge")
 
 
 def gram(steps: DataFrame) -> DataFrame:

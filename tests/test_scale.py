@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridwake.models import var1 as Va
 from gridwake.operators import grid as G
 from gridwake.operators import windows as Wn
 from gridwake.plans.panes import WindowSpec, window_starts
@@ -30,3 +31,10 @@ def test_made_rows_are_not_broadcast(spark):
     windows = Wn.window_class(Wn.window_label(window_starts(runs, SPEC), points, SPEC), points, SPEC)
     assert "SortMergeJoin [run" in planned(windows)
     assert {(r.run, r.label) for r in windows.select("run", "label").collect()} == {(0, 0), (1, 0), (1, 1), (2, 0)}
+
+
+def test_fit_points_are_not_broadcast(spark):
+    windows = spark.range(2).select(F.col("id").alias("run"), F.lit(0).cast("long").alias("start_k"))
+    steps = spark.range(8).select((F.col("id") % 2).alias("run"), F.floor(F.col("id") / 2).alias("k"))
+    joined = Va.fit_points(windows, SPEC).join(steps, ["run", "k"])
+    assert "BroadcastHashJoin" not in planned(joined) and joined.count() == 6
