@@ -60,12 +60,17 @@ def make_grid(bounds: DataFrame, step: int, origin: str | None = None) -> DataFr
     return points.withColumn("ts_us", F.col("start_us") + F.col("k") * step)
 
 
-def span_bounds(tel: DataFrame, mode: str = "union") -> DataFrame:
-    """Bounds of a multi-channel run: union of the channel spans, or their overlap (empty is an error)."""
+def span_bounds(tel: DataFrame, mode: str = "union", keep_empty: bool = False) -> DataFrame:
+    """Bounds of a multi-channel run: union of the channel spans, or their overlap.
+
+    An empty overlap is an error; with `keep_empty` such a run stays, its stop at or before its start.
+    """
     per = tel.groupBy("run", "channel").agg(F.min("ts_us").alias("a"), F.max("ts_us").alias("b"))
     if mode == "union":
         return per.groupBy("run").agg(F.min("a").alias("start_us"), F.max("b").alias("stop_us"))
     both = per.groupBy("run").agg(F.max("a").alias("start_us"), F.min("b").alias("stop_us"))
+    if keep_empty:
+        return both
     return both.withColumn(
         "stop_us",
         F.when(F.col("stop_us") > F.col("start_us"), F.col("stop_us")).otherwise(

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
+import duckdb
+import pytest
+from compare import compare
 from pyspark.sql import functions as F
 
 from gridwake.models import var1 as Va
 from gridwake.operators import grid as G
 from gridwake.operators import windows as Wn
 from gridwake.plans.panes import WindowSpec, window_starts
+from gridwake.queries import ORACLES, QUERIES
 
 SPEC = WindowSpec(window=4, stride=2, horizon=1)
 
@@ -38,3 +44,29 @@ def test_fit_points_are_not_broadcast(spark):
     steps = spark.range(8).select((F.col("id") % 2).alias("run"), F.floor(F.col("id") / 2).alias("k"))
     joined = Va.fit_points(windows, SPEC).join(steps, ["run", "k"])
     assert "BroadcastHashJoin" not in planned(joined) and joined.count() == 6
+
+
+def sparse_events(path):
+    """Users with few events: channels that share no time, one sample a channel, no or one calibration window."""
+    days = {
+        1: [(0, "click"), (5, "click"), (10, "view"), (14.5, "view"), (14.6, "view")],
+        2: [(0, "click"), (3, "view"), (20, "click"), (21, "click"), (22, "view")],
+        3: [(0, "click"), (0.01, "view"), (13.5, "click"), (14, "view")],
+        4: [(k / 4, ("click", "view")[k % 2]) for k in range(80)],
+        5: [(0, "error")],
+    }
+    rows = [(u, d, e) for u, pairs in days.items() for d, e in pairs]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE e (event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR)")
+    con.executemany("INSERT INTO e VALUES (?, ?, ?, ?, ?, ?)", [
+        (k, dt.datetime(2024, 1, 1) + dt.timedelta(days=d, seconds=k), u, e, 10.0 + 7 * k % 50, f'{{"k": {k}}}') for k, (u, d, e) in enumerate(rows)
+    ])
+    con.execute(f"COPY e TO '{path}/events.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{path}/events.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", ["d3_span_grid"])
+def test_users_with_few_events_equal_sql(spark, tmp_path, name):
+    got = compare(spark, sparse_events(tmp_path), name, QUERIES, ORACLES, str(tmp_path))
+    assert got["ok"] and got["rows"], got["why"]
