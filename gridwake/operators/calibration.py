@@ -234,9 +234,13 @@ def reassess(scores: DataFrame, fixed: float, q: float = 0.99, consecutive: int
 
 def self_calibrate(
     scores: DataFrame, start: float = 15.0, stop: float = 25.0, detect: float = 30.0, threshold: float = 3.0, consecutive: int = 3,
-    min_windows: int = 8,
+    min_windows: int = 8, drop_uncalibrated: bool = False,
 ) -> DataFrame:
-    """Median and absolute deviation of an early stretch of the same run scale its later scores."""
+    """Median and absolute deviation of an early stretch of the same run scale its later scores.
+
+    A run with fewer than `min_windows` calibration windows fails the job; with `drop_uncalibrated` a run
+    without any has no rows instead.
+    """
     scores = stage(scores)
     cal = scores.filter((F.col("t") >= start) & (F.col("t") < stop))
     cuts = value_cuts(cal, "score")
@@ -246,7 +250,8 @@ def self_calibrate(
     mad = quantiles(dev, ["run"], "_dev", {"mad": (0.5, "linear")}, cuts)
     scale = F.greatest(1.4826 * F.col("mad"), 0.05 * F.abs("median"), F.lit(0.05))
     cals = med.join(mad.drop("n"), "run").select("run", "median", scale.alias("scale"))
-    late = _calibrated(scores.filter(F.col("t") >= detect), cals, ["run"], "scale")
+    late = scores.filter(F.col("t") >= detect)
+    late = late.join(cals, "run") if drop_uncalibrated else _calibrated(late, cals, ["run"], "scale")
     z = late.withColumn("z", F.greatest(F.lit(0.0), (F.col("score") - F.col("median")) / F.col("scale")))
     return sustained_gate(z, F.lit(threshold), consecutive, value="z")
 

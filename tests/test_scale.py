@@ -66,7 +66,7 @@ def sparse_events(path):
     return con
 
 
-@pytest.mark.parametrize("name", ["d3_span_grid"])
+@pytest.mark.parametrize("name", ["d3_span_grid", "h21_self_calibrate"])
 def test_users_with_few_events_equal_sql(spark, tmp_path, name):
     got = compare(spark, sparse_events(tmp_path), name, QUERIES, ORACLES, str(tmp_path))
     assert got["ok"] and got["rows"], got["why"]
