@@ -22,6 +22,8 @@ from gridwake.session import parallelism, stage
 #: Ranges into which a long list of chunk summaries is cut, and sampled chunks behind each boundary.
 RANGES = 256
 _PER_RANGE = 16
+#: Rows of a range of one long sequence.
+ROWS = 1 << 17
 #: Rows of a time chunk above which it is cut, and its parts at most.
 DENSE = 1 << 18
 PARTS = 256
@@ -87,6 +89,16 @@ def with_ranges(summary: DataFrame, chunk: Sequence[str], ranges: int = RANGES)
     return cut.withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= key))).drop("_cuts")
 
 
+def with_row_ranges(df: DataFrame, order: Sequence[str], rows: int | None = None, name: str = "_chunk") -> DataFrame:
+    """Staged rows with the number of their range in `order`; ranges hold about `rows` rows each.
+
+    The ranges are those of Spark's range partitioning, kept by the staged copy, so their number follows the
+    rows whatever the groups are.  Equal keys share a range.
+    """
+    count = -(-df.count() // (rows or ROWS))
+    return stage(df.repartitionByRange(max(1, count), *order).withColumn(name, F.spark_partition_id()))
+
+
 def prefix_sums(
     df: DataFrame,
     by: Sequence[str],

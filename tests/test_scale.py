@@ -5,13 +5,16 @@ from __future__ import annotations
 import datetime as dt
 
 import duckdb
+import numpy as np
 import pytest
 from compare import compare
 from pyspark.sql import functions as F
 
 from gridwake.models import var1 as Va
+from gridwake.operators import events as E
 from gridwake.operators import grid as G
 from gridwake.operators import windows as Wn
+from gridwake.plans import ordered as O
 from gridwake.plans.panes import WindowSpec, window_starts
 from gridwake.queries import ORACLES, QUERIES
 
@@ -70,3 +73,16 @@ def sparse_events(path):
 def test_users_with_few_events_equal_sql(spark, tmp_path, name):
     got = compare(spark, sparse_events(tmp_path), name, QUERIES, ORACLES, str(tmp_path))
     assert got["ok"] and got["rows"], got["why"]
+
+
+def test_pooled_chunks_follow_rows(spark, monkeypatch):
+    """Positions far apart made a chunk of nearly every row, and each was held against all boundaries."""
+    rng = np.random.default_rng(3)
+    lab, hit = (rng.random(400) < 0.6).astype(int), (rng.random(400) < 0.6).astype(int)
+    rows = [(k // 4, (k % 4) << 20, int(a), float(b)) for k, (a, b) in enumerate(zip(lab, hit))]
+    df = spark.createDataFrame(rows, "group long, start long, label long, score double")
+    whole = E.event_f1(df, 0.5, by=()).collect()
+    assert E._flagged(df, F.lit(0.5), [], 1 << 16).select("_chunk").distinct().count() == 1
+    monkeypatch.setattr(O, "ROWS", 7)
+    assert E._flagged(df, F.lit(0.5), [], 1 << 16).select("_chunk").distinct().count() > 30
+    assert E.event_f1(df, 0.5, by=()).collect() == whole
