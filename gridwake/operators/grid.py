@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from gridwake.session import stage
 
 UNKNOWN_CLASS = 5
 GRID_BLOCK = 4096
+#: Time of the row that closes a series, after any sample.
+CLOSE_US = 1 << 62
 
 
 def time_bounds(runs: DataFrame, tel: DataFrame, keep_start: bool = False, max_s: float = 7200.0) -> DataFrame:
@@ -79,20 +82,55 @@ def span_bounds(tel: DataFrame, mode: str = "union", keep_empty: bool = False) -
     )
 
 
-def _around(tel: DataFrame, grid: DataFrame, channels: Sequence[str], chunk_us: int, extra: Mapping[str, Column]) -> DataFrame:
+@dataclass(frozen=True)
+class Uniform:
+    """The grid of `make_grid(bounds, step)`, not yet made."""
+
+    bounds: DataFrame
+    step: int
+
+
+def _around(
+    tel: DataFrame, grid: DataFrame | Uniform, channels: Sequence[str], chunk_us: int, extra: Mapping[str, Column]
+) -> DataFrame:
     """Grid rows of every channel with the samples before and after them."""
-    targets = grid.withColumn("channel", F.explode(F.array(*[F.lit(c) for c in channels])))
     samples = tel.select("run", "channel", "ts_us", "value", *[e.alias(n) for n, e in extra.items()])
+    point = {n: F.col(n) for n in ("ts_us", "value", *extra)}
+    if isinstance(grid, Uniform):
+        return _between(samples, grid, channels, chunk_us, point)
+    targets = grid.withColumn("channel", F.explode(F.array(*[F.lit(c) for c in channels])))
     points = targets.select("run", "channel", "ts_us", "k", "rows").unionByName(samples, allowMissingColumns=True)
     points = points.withColumn("_grid", F.col("k").isNotNull())
     points = with_time_chunk(points, ["run", "channel"], "ts_us", chunk_us)
-    point = {n: F.col(n) for n in ("ts_us", "value", *extra)}
     near = nearest_points(points, ["run", "channel"], "_chunk", ["ts_us", "_grid"], point, ~F.col("_grid"))
     return near.filter("_grid").drop("value", "_grid", "_chunk", *extra)
 
 
+def _between(samples: DataFrame, grid: Uniform, channels: Sequence[str], chunk_us: int, point: Mapping[str, Column]) -> DataFrame:
+    """The same on a uniform grid: every sample makes the grid rows since the sample before it.
+
+    So only samples are sorted and scanned.  A closing row per series makes the rows behind its last sample,
+    or all of an empty one.  The rows of a long gap are made by many tasks, in blocks.
+    """
+    step = F.lit(grid.step)
+    sized = grid.bounds.select("run", F.col("start_us").alias("_o"), grid_rows(F.col("start_us"), F.col("stop_us"), grid.step).alias("rows"))
+    close = sized.select("run", F.explode(F.array(*[F.lit(c) for c in channels])).alias("channel"), F.lit(CLOSE_US).alias("ts_us"))
+    both = samples.filter(F.col("channel").isin(*channels)).unionByName(close, allowMissingColumns=True)
+    both = with_time_chunk(both, ["run", "channel"], "ts_us", chunk_us)
+    closing = F.col("ts_us") == CLOSE_US
+    seen = nearest_points(both, ["run", "channel"], "_chunk", ["ts_us"], point, ~closing, strict=True, need="prev")
+    gaps = seen.withColumn("next", F.when(~closing, F.struct(*[e.alias(n) for n, e in point.items()]))).join(sized, "run")
+    lo = F.greatest(F.lit(0), F.ceil((F.col("prev.ts_us") - F.col("_o")) / step)).cast("long")
+    hi = F.least(F.col("rows"), F.ceil((F.col("next.ts_us") - F.col("_o")) / step)).cast("long") - 1
+    gaps = gaps.select("run", "channel", "rows", "_o", "prev", "next", "points", "first", "last", lo.alias("_lo"), hi.alias("_hi"))
+    gaps = gaps.filter("_lo <= _hi").withColumn("_b", F.explode(F.sequence(floor_div("_lo", GRID_BLOCK), floor_div("_hi", GRID_BLOCK))))
+    own = F.sequence(F.greatest(F.col("_lo"), F.col("_b") * GRID_BLOCK), F.least(F.col("_hi"), F.col("_b") * GRID_BLOCK + GRID_BLOCK - 1))
+    made = gaps.repartition("run", "channel", "_b").withColumn("k", F.explode(own))
+    return made.withColumn("ts_us", F.col("_o") + F.col("k") * step).drop("_o", "_lo", "_hi", "_b")
+
+
 def resample_linear(
-    tel: DataFrame, grid: DataFrame, channels: Sequence[str], chunk_us: int, single: str = "null", zero_empty: bool = False
+    tel: DataFrame, grid: DataFrame | Uniform, channels: Sequence[str], chunk_us: int, single: str = "null", zero_empty: bool = False
 ) -> DataFrame:
     """Linear resampling with clamped edges.
 
@@ -118,7 +156,7 @@ def sample_gaps(tel: DataFrame, chunk_us: int, by: Sequence[str] = ("run", "chan
 
 
 def resample_supported(
-    tel: DataFrame, grid: DataFrame, channels: Sequence[str], chunk_us: int, floor_us: float = 1e5, factor: float = 5.0
+    tel: DataFrame, grid: DataFrame | Uniform, channels: Sequence[str], chunk_us: int, floor_us: float = 1e5, factor: float = 5.0
 ) -> DataFrame:
     """Linear values plus `valid`: inside the span and the bracketing gap at most
     `max(floor, factor * median gap)` of the series.  Series with fewer than two points give 0, invalid."""

@@ -86,3 +86,19 @@ def test_pooled_chunks_follow_rows(spark, monkeypatch):
     monkeypatch.setattr(O, "ROWS", 7)
     assert E._flagged(df, F.lit(0.5), [], 1 << 16).select("_chunk").distinct().count() > 30
     assert E.event_f1(df, 0.5, by=()).collect() == whole
+
+
+def test_gaps_make_the_same_grid(spark, monkeypatch):
+    """Only samples are scanned; empty series, single samples, long gaps and outer samples equal the made grid."""
+    monkeypatch.setattr(G, "GRID_BLOCK", 8)
+    rng = np.random.default_rng(5)
+    rows = [(0, "a", int(x), float(v)) for x, v in zip(np.sort(rng.choice(4000, 60, replace=False)) - 200, rng.normal(size=60))]
+    rows += [(0, "b", 1000, 1.5), (1, "a", 0, 2.0), (1, "a", 3000, -1.0), (1, "c", 10, 9.0), (3, "a", 5, 1.0)]
+    tel = spark.createDataFrame(rows, "run long, channel string, ts_us long, value double")
+    bounds = spark.createDataFrame([(0, 0, 3500), (1, 100, 2900), (2, 7, 7)], "run long, start_us long, stop_us long")
+    made = G.make_grid(bounds, 50)
+    for how in ({}, {"single": "const"}, {"zero_empty": True}):
+        want, got = [G.resample_linear(tel, g, ["a", "b"], 700, **how) for g in (made, G.Uniform(bounds, 50))]
+        assert sorted(got.collect()) == sorted(want.select(got.columns).collect())
+    want, got = [G.resample_supported(tel, g, ["a", "b"], 700, 60.0) for g in (made, G.Uniform(bounds, 50))]
+    assert sorted(got.collect()) == sorted(want.select(got.columns).collect())
