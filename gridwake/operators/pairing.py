@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwake.functions.numeric import is_finite, lerp, require
+from gridwake.functions.numeric import floor_div, is_finite, lerp, require
 from gridwake.functions.text import pair_key
 from gridwake.plans.ordered import nearest_points, with_time_chunk
 from gridwake.plans.quantiles import quantiles
@@ -44,14 +44,57 @@ def interp_join(
     ).drop("target_end", "reference_end")
 
 
+#: Reference rows that one task holds of a series at a time.
+REFERENCE_BLOCK = 1 << 12
+
+
+def interp_grid(
+    target: DataFrame, reference: DataFrame, keys: Sequence[str], step: int, spans: DataFrame, support_keys: Sequence[str]
+) -> DataFrame:
+    """`interp_join` of two uniform grids of one step; row `w` of the reference lies `w * step` after its first.
+
+    The rows around a target follow from its time, so each target meets them as neighbours in a block of the
+    reference.  `spans` adds to the support the times of the reference's first and last row, `first_us` and `last_us`.
+    """
+    keys = list(keys)
+    upto = F.least("last_us", "target_end", "reference_end")
+    inside = target.join(spans, list(support_keys)).filter((F.col("ts_us") >= F.col("first_us")) & (F.col("ts_us") <= upto))
+    at = floor_div(F.col("ts_us") - F.col("first_us"), step)
+    wanted = inside.select(*target.columns, at.alias("_m"), F.lit(True).alias("_tgt"), (F.col("ts_us") == F.col("last_us")).alias("_end"))
+    wanted = wanted.withColumn("_blk", floor_div("_m", REFERENCE_BLOCK))
+    point = F.struct("ts_us", "value").alias("_r")
+    rows = reference.select(*keys, F.col("w").alias("_m"), point, F.lit(False).alias("_tgt"))
+    own = floor_div("_m", REFERENCE_BLOCK)
+    # the first row of a block also ends the block before it
+    blocks = F.when(F.col("_m") % REFERENCE_BLOCK == 0, F.array(own, own - 1)).otherwise(F.array(own))
+    both = wanted.unionByName(rows.withColumn("_blk", F.explode(blocks)), allowMissingColumns=True)
+    order = Window.partitionBy(*keys, "_blk").orderBy("_m", "_tgt")
+    near = both.withColumns({"prev": F.lag("_r").over(order), "next": F.lead("_r").over(order)}).filter("_tgt")
+    value = lerp("ts_us", "prev.ts_us", "prev.value", "next.ts_us", "next.value")
+    value = F.when(F.col("next").isNull(), F.col("prev.value")).otherwise(value)
+    met = F.col("prev").isNotNull() & (F.col("next").isNotNull() | F.col("_end"))
+    return near.select(*target.columns, require(met, value, "series are not on grids of one step").alias("matched"))
+
+
+def grid_residual_rows(
+    target: DataFrame, reference: DataFrame, keys: Sequence[str], step: int, spans: DataFrame, support_keys: Sequence[str],
+    digits: int | None = None,
+) -> DataFrame:
+    """`residual_rows` with a reference on a uniform grid."""
+    return _residuals(interp_grid(target, reference, keys, step, spans, support_keys), digits)
+
+
+def _residuals(joined: DataFrame, digits: int | None) -> DataFrame:
+    res = F.abs(F.col("value") - F.col("matched"))
+    return joined.withColumn("residual", res if digits is None else F.round(res, digits)).drop("matched")
+
+
 def residual_rows(
     target: DataFrame, reference: DataFrame, keys: Sequence[str], chunk_us: int, support: DataFrame | None = None,
     support_keys: Sequence[str] = (), digits: int | None = None,
 ) -> DataFrame:
     """|target - interpolated reference| wherever the pair has both."""
-    joined = interp_join(target, reference, keys, chunk_us, support, support_keys)
-    res = F.abs(F.col("value") - F.col("matched"))
-    return joined.withColumn("residual", res if digits is None else F.round(res, digits)).drop("matched")
+    return _residuals(interp_join(target, reference, keys, chunk_us, support, support_keys), digits)
 
 
 def window_counts(residuals: DataFrame, pairs: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gridwake.models import var1 as Va
 from gridwake.operators import events as E
 from gridwake.operators import grid as G
+from gridwake.operators import pairing as P
 from gridwake.operators import windows as Wn
 from gridwake.plans import ordered as O
 from gridwake.plans.panes import WindowSpec, window_starts
@@ -102,3 +103,21 @@ def test_gaps_make_the_same_grid(spark, monkeypatch):
         assert sorted(got.collect()) == sorted(want.select(got.columns).collect())
     want, got = [G.resample_supported(tel, g, ["a", "b"], 700, 60.0) for g in (made, G.Uniform(bounds, 50))]
     assert sorted(got.collect()) == sorted(want.select(got.columns).collect())
+
+
+def test_grid_reference_equals_as_of_join(spark, monkeypatch):
+    """A reference on a grid is met by position; edges of blocks and of the reference equal the as-of join."""
+    monkeypatch.setattr(P, "REFERENCE_BLOCK", 4)
+    rng = np.random.default_rng(2)
+    spans = [(0, 35, 235, 10_000, 10_000), (1, 0, 100, 90, 10_000), (2, 500, 500, 10_000, 10_000), (3, None, None, 10_000, None)]
+    target = [(p, w, 10 * w, float(v)) for p in range(4) for w, v in enumerate(rng.normal(size=60))]
+    reference = [(p, w, a + 10 * w, float(rng.normal())) for p, a, b, _, _ in spans[:3] for w in range((b - a) // 10 + 1)]
+    t = spark.createDataFrame(target, "run long, w long, ts_us long, value double")
+    ref = spark.createDataFrame(reference, "run long, w long, ts_us long, value double")
+    sup = spark.createDataFrame(spans, "run long, first_us long, last_us long, target_end long, reference_end long")
+    want = P.interp_join(t, ref.drop("w"), ["run"], 70, sup.drop("first_us", "last_us"), ["run"])
+    got = P.interp_grid(t, ref, ["run"], 10, sup, ["run"])
+    assert sorted(got.collect()) == sorted(want.select(got.columns).collect())
+    assert {r.run for r in got.collect()} == {0, 1, 2}
+    with pytest.raises(Exception, match="grids of one step"):
+        P.interp_grid(t.withColumn("ts_us", F.floor(F.col("ts_us") / 2)), ref, ["run"], 10, sup, ["run"]).collect()
