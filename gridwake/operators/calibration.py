@@ -30,15 +30,18 @@ def fit_noise(normal: DataFrame, q: float = 0.99, floor: float = 0.05, by: Seque
     return noise.select(*by, F.greatest(F.col("noise"), F.lit(floor)).alias("noise"))
 
 
-def _calibrated(rows: DataFrame, table: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Rows with their calibration; a row without any fails the job instead of vanishing."""
-    joined = rows.join(table, list(keys), "left")
+def _calibrated(rows: DataFrame, table: DataFrame, keys: Sequence[str], value: str, catalogued: bool = False) -> DataFrame:
+    """Rows with their calibration; a row without any fails the job instead of vanishing.
+
+    A `catalogued` table has a row per feature, channel or topic: it goes to the rows, which else would be dealt by those few keys.
+    """
+    joined = rows.join(F.broadcast(table) if catalogued else table, list(keys), "left")
     return joined.withColumn(value, require(F.col(value).isNotNull(), value, f"{', '.join(keys)} without {value}"))
 
 
 def scaled_residual(residuals: DataFrame, noise: DataFrame) -> DataFrame:
     """Residuals in units of their feature's noise; a feature without noise fails the job."""
-    return _calibrated(residuals, noise, ["feature"], "noise").withColumn("scaled", F.col("residual") / F.col("noise"))
+    return _calibrated(residuals, noise, ["feature"], "noise", True).withColumn("scaled", F.col("residual") / F.col("noise"))
 
 
 def topic_residual(scaled: DataFrame, aggregation: str = "max", q: float = 0.9, by: Sequence[str] = ("run", "w", "topic"),
@@ -132,10 +135,12 @@ def gated_mean(rows: DataFrame, value: str, by: Sequence[str], gate: str = "gate
 def gated_evidence(values: DataFrame, reference: DataFrame, gate: DataFrame, keys: Sequence[str], item: str) -> DataFrame:
     """Mean over gated windows of `max(value - reference, 0)` per item.
 
-    An item without reference, or a window without gate, fails the job instead of vanishing.
+    An item without reference, or a window without gate, fails the job instead of vanishing.  A reference that is
+    the same in all windows has the columns `item` and `value` only.
     """
-    on = [*keys, "w", item]
-    j = _calibrated(_calibrated(values, reference.withColumnRenamed("value", "_ref"), on, "_ref"), gate, [*keys, "w"], "gate")
+    on = [c for c in (*keys, "w", item) if c in reference.columns]
+    j = _calibrated(values, reference.withColumnRenamed("value", "_ref"), on, "_ref", on == [item])
+    j = _calibrated(j, gate, [*keys, "w"], "gate")
     excess = F.greatest(F.col("value") - F.col("_ref"), F.lit(0.0))
     return gated_mean(j.withColumn("_e", excess), "_e", [*keys, item])
 
@@ -157,7 +162,7 @@ def fit_topic_thresholds(normal_topics: DataFrame, consecutive: int = 3, minimum
 
 def predict_paired_topics(topics: DataFrame, thresholds: DataFrame, consecutive: int = 3) -> tuple[DataFrame, DataFrame]:
     """Each topic has its own gate; a window is gated when any topic is."""
-    j = _calibrated(topics, thresholds, ["topic"], "threshold")
+    j = _calibrated(topics, thresholds, ["topic"], "threshold", True)
     own = sustained_gate(j, F.col("threshold"), consecutive, ["run", "topic"], value="value", name="own")
     ratio = F.col("value") / F.col("threshold")
     own = own.withColumns({"_r": ratio, "_e": F.when(F.col("own"), F.greatest(ratio - 1, F.lit(0.0))).otherwise(F.lit(0.0))})
@@ -190,7 +195,7 @@ def persistent_channels(z: DataFrame, consecutive: int = 3, by: Sequence[str] =
 
 def predict_channels(values: DataFrame, calibration: DataFrame, threshold, consecutive: int = 3) -> tuple[DataFrame, DataFrame]:
     """Window gates (any channel above the threshold) and topic evidence over the gated windows."""
-    z = _calibrated(values, calibration, ["channel"], "scale").withColumn(
+    z = _calibrated(values, calibration, ["channel"], "scale", True).withColumn(
         "z", F.greatest(F.lit(0.0), (F.col("value") - F.col("center")) / F.col("scale"))
     )
     p = persistent_channels(z, consecutive)

@@ -11,6 +11,7 @@ from compare import compare
 from pyspark.sql import functions as F
 
 from gridwake.models import var1 as Va
+from gridwake.operators import calibration as C
 from gridwake.operators import events as E
 from gridwake.operators import grid as G
 from gridwake.operators import pairing as P
@@ -121,3 +122,50 @@ def test_grid_reference_equals_as_of_join(spark, monkeypatch):
     assert {r.run for r in got.collect()} == {0, 1, 2}
     with pytest.raises(Exception, match="grids of one step"):
         P.interp_grid(t.withColumn("ts_us", F.floor(F.col("ts_us") / 2)), ref, ["run"], 10, sup, ["run"]).collect()
+
+
+def test_pairs_from_samples_equal_made_grids(spark, monkeypatch):
+    """Grids of pairs were written, shuffled and sorted whole; edges of blocks, gaps, short series and offsets equal them."""
+    monkeypatch.setattr(P, "PAIR_BLOCK", 4)
+    rng = np.random.default_rng(4)
+    starts = {0: (0, 35), 1: (80, 0), 2: (500, 0), 3: (0, 20), 4: (5, 5)}
+    rows = []
+    for pair, (a, b) in starts.items():
+        for side, start in enumerate((a, b)):
+            for feature, n in (("x", 40), ("y", 1 + pair % 2), ("z", 6)):
+                at = np.unique(np.append(rng.choice(300, n, replace=False) // (1 + pair % 3) * (1 + pair % 3), 0 if feature == "x" else 7)) + start
+                rows += [(pair, side, feature, int(ts), float(v)) for ts, v in zip(at, rng.normal(size=len(at)))]
+    rows += [(0, 0, "x", 2000, 1.0), (0, 1, "x", 1900, 4.0), (1, 1, "z", 700, 2.0), (4, 0, "x", 905, 3.0), (4, 1, "x", 905, 3.0)]
+    samples = spark.createDataFrame(rows, "run long, side int, feature string, ts_us long, value double").groupBy("run", "side", "feature", "ts_us").agg(F.min("value").alias("value"))
+    items, step = ["x", "y", "z", "none"], 10
+    b = samples.groupBy("run", "side").agg(F.min("ts_us").alias("start_us"), F.max("ts_us").alias("stop_us"))
+    pick = lambda side, c: F.max(F.when(F.col("side") == side, c))
+    size = G.grid_rows(F.col("start_us"), F.col("stop_us"), step)
+    per = b.groupBy("run").agg(
+        pick(0, F.col("start_us")).alias("target_start"), pick(0, size).alias("target_rows"), pick(1, F.col("start_us")).alias("reference_start"),
+        pick(1, size).alias("reference_rows"), pick(0, F.col("stop_us")).alias("target_end"), pick(1, F.col("stop_us") - 15).alias("reference_end"),
+    )
+    spans = P.pair_spans(per, step)
+    sides = []
+    for side in (0, 1):
+        tel = samples.filter(F.col("side") == side).withColumnRenamed("feature", "channel")
+        made = G.resample_linear(tel, G.Uniform(b.filter(F.col("side") == side), step), items, 100, zero_empty=True)
+        sides.append(made.select("run", F.col("k").alias("w"), "ts_us", F.col("channel").alias("feature"), "value"))
+    last = F.col("reference_start") + (F.col("reference_rows") - 1) * step
+    sup = per.select("run", F.col("reference_start").alias("first_us"), last.alias("last_us"), "target_end", "reference_end")
+    want = P.interp_grid(*sides, ["run", "feature"], step, sup, ["run"]).select("run", "w", "feature", "value", "matched").collect()
+    got = P.interp_samples(samples, spans.filter("windows > 0"), items, step).collect()
+    digits = lambda found: sorted((r.run, r.w, r.feature, round(r.value, 9), round(r.matched, 9)) for r in found)
+    assert digits(got) == digits(want) and len(got) > 400 and len({r.run for r in got}) == 4
+    counts = {r.run: r.windows for r in spans.collect()}
+    assert counts == {p: len({r.w for r in want if r.run == p}) for p in starts} and 0 in counts.values()
+
+
+def test_few_keys_deal_no_rows(spark):
+    """Rows were dealt by the ten features, or met a copy of themselves, to learn a value per feature."""
+    rows = spark.range(400).select(F.lit(0).alias("run"), (F.col("id") / 4).cast("long").alias("w"), (F.col("id") % 4).alias("feature"), F.lit(3.0).alias("residual"))
+    noise = rows.groupBy("feature").agg(F.avg("residual").alias("noise"))
+    assert "BroadcastHashJoin [feature" in C.scaled_residual(rows, noise)._jdf.queryExecution().executedPlan().toString()
+    gate = rows.select("run", "w", (F.col("w") % 2 == 0).alias("gate")).distinct()
+    out = C.gated_evidence(rows.withColumnRenamed("residual", "value"), noise.select("feature", (F.col("noise") / 2).alias("value")), gate, ["run"], "feature")
+    assert {(r.feature, r.evidence) for r in out.collect()} == {(k, 1.5) for k in range(4)}
