@@ -218,11 +218,15 @@ def fit_scaler(aligned: DataFrame, train_windows: DataFrame, spec: WindowSpec) -
 
     g = gcd(spec.window, spec.stride)
     weights = sample_weights(train_windows, spec)
-    weighted = aligned.withColumn("pane", floor_div("k", g)).join(weights, ["run", "pane"])
+    # a pane's samples share their weight, so they are added up before they meet it
+    panes = aligned.groupBy("run", "channel", floor_div("k", g).alias("pane")).agg(
+        F.count("*").alias("_n"), F.sum("value").alias("_s"), F.sum(F.col("value") * F.col("value")).alias("_ss")
+    )
+    weighted = panes.join(weights, ["run", "pane"])
     sums = weighted.groupBy("channel").agg(
-        F.sum("weight").alias("n"),
-        F.sum(F.col("weight") * F.col("value")).alias("s"),
-        F.sum(F.col("weight") * F.col("value") * F.col("value")).alias("ss"),
+        F.sum(F.col("weight") * F.col("_n")).alias("n"),
+        F.sum(F.col("weight") * F.col("_s")).alias("s"),
+        F.sum(F.col("weight") * F.col("_ss")).alias("ss"),
     )
     mean = F.col("s") / F.col("n")
     var = F.greatest(F.col("ss") / F.col("n") - mean * mean, F.lit(0.0))

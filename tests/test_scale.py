@@ -169,3 +169,11 @@ def test_few_keys_deal_no_rows(spark):
     gate = rows.select("run", "w", (F.col("w") % 2 == 0).alias("gate")).distinct()
     out = C.gated_evidence(rows.withColumnRenamed("residual", "value"), noise.select("feature", (F.col("noise") / 2).alias("value")), gate, ["run"], "feature")
     assert {(r.feature, r.evidence) for r in out.collect()} == {(k, 1.5) for k in range(4)}
+
+
+def test_scaler_adds_up_panes_before_the_join(spark):
+    """Every grid row met its weight; now a row per pane does."""
+    aligned = spark.range(240).select(F.lit(0).alias("run"), F.lit("a").alias("channel"), F.col("id").alias("k"), (F.col("id") % 7).cast("double").alias("value"))
+    windows = spark.range(50).select(F.lit(0).alias("run"), F.col("id").alias("w"))
+    plan = Wn.fit_scaler(aligned, windows, WindowSpec(window=12, stride=4, horizon=2))._jdf.queryExecution().optimizedPlan().toString()
+    assert "_ss" in plan.split("Join Inner", 1)[1]
