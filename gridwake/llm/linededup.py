@@ -12,7 +12,7 @@ These twelve or four substrings, keyed by length, segment and content, are the b
 of exactly `NEAR_WORDS` words stand in both joins, so that shorter ones meet them. `pivots` compares
 the members of a bucket, and the distance is a banded bit-parallel one over many pairs at once. Lines
 that no pivot reaches are first screened by bit sketches of their words: an edit takes at most one word
-out and brings at most one in. Equal lines are one member, so groups of copies never meet each other.
+out and brings at most one in. Equal lines of any texts are one member of a bucket, so groups of copies never meet each other.
 
 Texts pass once for keys, and once for the words of long lines that share a bucket; the lines are picked
 by a bitmap of fixed size, which only saves work. Words of short lines go with their keys. Ids of lines are 64-bit hashes.
@@ -42,8 +42,9 @@ SHORT_EDITS = 1
 SHORT_WORDS = 4
 NEAR_WORDS = 10
 MAP_BITS = 24
-#: 64-bit numbers in the sketch of a line's words; the number of words follows them.
-SKETCH = 4
+#: 64-bit numbers in the sketch of a long or a short line's words; the number of bits set and the number of words follow them.
+SKETCH = 8
+SHORT_SKETCH = 4
 _LOWEST = -(1 << 63)
 
 
@@ -97,14 +98,14 @@ def _lists(values: np.ndarray, on: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel().view(np.int64)))
 
 
-def _words(words: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-    """Per line its words as 32-bit hashes, and which of 64 * `SKETCH` bits they fall on, with their number."""
+def _words(words: np.ndarray, first: np.ndarray, count: np.ndarray, size: int) -> tuple[list[bytes], np.ndarray]:
+    """Per line its words as 32-bit hashes, and which of 64 * `size` bits they fall on, with the numbers of bits and words."""
     codes = (words >> np.uint64(32)).astype("<u4")
     parts = [codes[f : f + n] for f, n in zip(first.tolist(), count.tolist())]
-    bits = np.zeros((len(first), SKETCH), np.uint64)
+    bits = np.zeros((len(first), size), np.uint64)
     place = np.concatenate(parts or [codes[:0]]).astype(np.int64)
-    np.bitwise_or.at(bits, (np.repeat(np.arange(len(first)), count), (place >> 6) % SKETCH), np.uint64(1) << (place & 63).astype(np.uint64))
-    return [p.tobytes() for p in parts], np.column_stack([bits, count.astype(np.uint64)])
+    np.bitwise_or.at(bits, (np.repeat(np.arange(len(first)), count), (place >> 6) % size), np.uint64(1) << (place & 63).astype(np.uint64))
+    return [p.tobytes() for p in parts], np.column_stack([bits, np.bitwise_count(bits).sum(axis=1).astype(np.uint64), count.astype(np.uint64)])
 
 
 _KEYS = "id long, text_key long, line int, hash long, again boolean, keys array<long>, short_keys array<long>, data binary, sketch array<long>"
@@ -125,7 +126,7 @@ def line_keys(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                     again[b] = (row[a] == row[b]) & (hashes[a] == hashes[b])
                     near = (count >= NEAR_WORDS) & ~again
                     short = (count >= SHORT_WORDS) & (count <= NEAR_WORDS) & ~again
-                    coded, sketches = _words(words, first[short], count[short])
+                    coded, sketches = _words(words, first[short], count[short], SHORT_SKETCH)
                     held = np.full(len(row), None, object)
                     held[short] = coded
                     pick = pa.array(row + done)
@@ -158,7 +159,7 @@ def id_bitmap(ids: DataFrame) -> np.ndarray:
 
 
 def line_words(docs: DataFrame, bitmap: np.ndarray, text: str) -> DataFrame:
-    """`id, data, sketch`: the words, as 32-bit hashes, of lines whose bit is set, and which of 256 bits they fall on; one row per line hash."""
+    """`id, data, sketch`: the words, as 32-bit hashes, of lines whose bit is set, and which of 64 * `SKETCH` bits they fall on; one row per line hash."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,8 +171,8 @@ def line_words(docs: DataFrame, bitmap: np.ndarray, text: str) -> DataFrame:
                     on = (bits[(hashes & mask).astype(np.int64)] >> ((hashes >> np.uint64(MAP_BITS - 6)) & np.uint64(63))) & np.uint64(1)
                     use = np.flatnonzero((on == 1) & (count >= NEAR_WORDS))
                     use = use[np.unique(hashes[use], return_index=True)[1]]
-                    rows, bits_of = _words(words, first[use], count[use])
-                    sketches = pa.FixedSizeListArray.from_arrays(pa.array(bits_of.ravel().view(np.int64)), SKETCH + 1).cast(pa.list_(pa.int64()))
+                    rows, bits_of = _words(words, first[use], count[use], SKETCH)
+                    sketches = pa.FixedSizeListArray.from_arrays(pa.array(bits_of.ravel().view(np.int64)), SKETCH + 2).cast(pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays([pa.array(hashes[use].view(np.int64)), pa.array(rows, pa.binary()), sketches], ["id", "data", "sketch"])
 
     return docs.select(F.col(f"`{text}`").alias("t")).mapInArrow(emit, "id long, data binary, sketch array<long>").dropDuplicates(["id"])
@@ -235,24 +236,21 @@ def near_lines(docs: DataFrame, lines: DataFrame, text: str) -> DataFrame:
         held = lines.filter("data is not null").select(F.col("hash").alias("id"), "data", "sketch")
         return stage(held.join(ids, "id", "left_semi").dropDuplicates(["id"]))
 
-    def missing(a: Column, b: Column) -> Column:
-        each = [F.bit_count(F.get(a, F.lit(k)).bitwiseAND(F.bitwise_not(F.get(b, F.lit(k))))) for k in range(SKETCH)]
-        return sum(each[1:], each[0])
-
-    def found(keys: str, payload: Callable[[DataFrame], DataFrame], edits: int) -> DataFrame:
+    def found(keys: str, payload: Callable[[DataFrame], DataFrame], edits: int, size: int) -> DataFrame:
         @F.pandas_udf("double")
         def distance(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
             for xs, ys in batches:
                 yield pd.Series(banded_distances([np.frombuffer(x, "<u4") for x in xs], [np.frombuffer(y, "<u4") for y in ys], 2 * edits), dtype=float)
 
         def screen(a: Column, b: Column) -> Column:
-            longer = F.get(a, F.lit(SKETCH)) - F.get(b, F.lit(SKETCH))
-            return (F.abs(longer) <= edits) & (missing(a, b) <= edits) & (missing(b, a) <= edits)
+            of = lambda x, k: F.get(x, F.lit(k))
+            each = [F.bit_count(of(a, k).bitwiseAND(of(b, k))) for k in range(size)]
+            return (F.abs(of(a, size + 1) - of(b, size + 1)) <= edits) & (sum(each[1:], each[0]) >= F.greatest(of(a, size), of(b, size)) - edits)
 
         members = lines.select(F.explode(keys).alias("bucket"), F.col("hash").alias("id"))
         return bucket_links(members, payload, distance, edits, screen=screen).select(F.col("b").alias("hash"))
 
-    return found("keys", long_words, EDITS).union(found("short_keys", short_words, SHORT_EDITS)).distinct()
+    return found("keys", long_words, EDITS, SKETCH).union(found("short_keys", short_words, SHORT_EDITS, SHORT_SKETCH)).distinct()
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -10,7 +10,8 @@ So a member with a near member of lower id is linked to some member of lower id.
 classes are wanted (`by_class`), two members within the limit always end in one class: after the
 rounds, members of different classes are compared whether a pivot reached them or not. Of two
 such members at least one lies outside the bucket's largest class, so only these look for
-partners, and a large group costs about its size, not its square.
+partners, and a large group costs about its size, not its square. Two members meet at most once
+in the last comparison, however many buckets they share and however often a bucket names them.
 
 Pivots with very many members are spread by the engine's skew handling: the joins are plain
 equi-joins on ids.
@@ -51,7 +52,8 @@ def bucket_links(
     With `by_class` the links join whatever all links would join, and no more is promised.
     """
     ends = members.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).filter("low < high")
-    shared = members.join(ends, "bucket").select("bucket", "id", "n")
+    # a member may be named more than once; here its rows lie in one task already
+    shared = members.join(ends, "bucket").select("bucket", "id", "n").dropDuplicates(["bucket", "id"])
     if by_class:
         # whoever meets most members in all its buckets lies in the middle of its group and reaches most of it
         met = stage(shared)
@@ -90,10 +92,12 @@ def bucket_links(
     if by_class:
         x, y = _apart(known, further, components(so_far))
     else:
-        x, y = open_.select("bucket", "id", F.col("d1").alias("d")), known.select("bucket", "id", "d")
+        x = open_.select("bucket", "id", F.col("d1").alias("d"))
+        y = stage(known.select("bucket", "id", "d").join(x.select("bucket").distinct(), "bucket", "left_semi"))
+    about = y.groupBy("id").agg(F.collect_list("bucket").alias("homes"))  # at most the buckets of one member
     if screen:
-        sketches = payload.select("id", "sketch")
-        x, y = x.join(sketches, "id"), y.join(sketches, "id")
+        about = about.join(payload.select("id", "sketch"), "id")
+    x, y = x.join(about, "id"), y.join(about, "id")
     left = _measured(_unruled(x, y, limit, by_class, screen), payload, distance).filter(F.col("d") <= limit)
     return _union([so_far, left]).distinct()
 
@@ -144,7 +148,9 @@ def _unruled(x: DataFrame, y: DataFrame, limit: float, by_class: bool, screen: C
 
     Distances to the first pivot are cut into cells as wide as the limit, so that only equal and
     adjacent cells meet. By class, only members of different classes meet, and a pair that stands
-    on both sides twice is taken once; else a member only looks for lower ids.
+    on both sides twice is taken once; else a member only looks for lower ids. Two members with
+    several buckets (`homes`) in common meet in the least of them: a bucket that rules them out
+    rules them out for all.
     """
     width = max(limit, 1e-9)
     cell = F.floor(F.col("d") / width)
@@ -159,6 +165,7 @@ def _unruled(x: DataFrame, y: DataFrame, limit: float, by_class: bool, screen: C
         apart = F.col("y.id") < F.col("x.id")
     if screen:
         apart = apart & screen(F.col("x.sketch"), F.col("y.sketch"))
+    apart = apart & (F.col("x.bucket") == F.array_min(F.array_intersect("x.homes", "y.homes")))
     near = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.cell") == F.col("y.cell")) & within("d") & apart)
     return near.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
 

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from gridwake.llm import pivots
 from gridwake.llm.pivots import LARGE, bucket_links, components
 
 
@@ -44,3 +45,17 @@ def test_random_chains_against_all_pairs(spark):
     points = {i: draw.uniform(0, 90) for i in range(130)}
     buckets = [draw.sample(sorted(points), n) for n in (90, 60, 40, 12, 2)]
     assert found(spark, points, buckets, 1.0) == brute(points, buckets, 1.0)
+
+
+def test_a_pair_is_compared_once_in_the_end(spark, monkeypatch):
+    # every point stands four times in each of three buckets; no pivot of a round reaches another point
+    points = {i: 100.0 * i for i in range(20)} | {20 + i: 5000.0 + 3 * i for i in range(40)} | {60 + i: 5001.0 + 3 * i for i in range(40)}
+    members = spark.createDataFrame([(k, i) for k in range(3) for i in points for _ in range(4)], "bucket long, id long")
+    payload = spark.createDataFrame(list(points.items()), "id long, data double")
+    met, unruled = [], pivots._unruled
+    monkeypatch.setattr(pivots, "_unruled", lambda *a: met.append(unruled(*a)) or met[-1])
+    for by_class in (False, True):
+        links = bucket_links(members, payload, lambda x, y: F.abs(x - y), 1.0, by_class=by_class)
+        assert {(r.a, r.b) for r in links.collect()} == {(20 + i, 60 + i) for i in range(40)}
+        pairs = [tuple(r) for r in met.pop().collect()]
+        assert pairs and len(pairs) == len(set(pairs))
