@@ -41,6 +41,11 @@ DF_BITS = 18
 STEPS = 15
 #: Weight of a shingle of one text, relative to one that every text has, less one.
 SPAN = 0.25
+#: `1 / SPAN * STEPS`: the weight of a shingle is `(UNIT + step) / UNIT`.
+UNIT = 60
+#: Sketches tell shingles from this step on from more common ones; 64-bit numbers for each of the two.
+RARE = 8
+COMMON, SELDOM = 4, 16
 _DRAWS = 1 << 16
 _SLICE = 2048
 
@@ -166,30 +171,30 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray, weights: np.ndarray) -> float
     return both / total if total else 1.0
 
 
-@F.pandas_udf(ArrayType(LongType()))
-def bit_sketch(grams: pd.Series) -> pd.Series:
-    """Number of shingles, and which of 1,024 bits they fall on."""
-    out = []
-    for data in grams:
-        codes = np.frombuffer(data, "<u4")
-        bits = np.zeros(1024, np.uint8)
-        bits[codes & 1023] = 1
-        out.append([len(codes), *np.packbits(bits, bitorder="little").view("<i8").tolist()])
-    return pd.Series(out, dtype=object)
+def bit_sketch(grams: np.ndarray, steps: np.ndarray) -> list[int]:
+    """Of a multiset of 32-bit hashes: its weight in units of `SPAN / STEPS` (whole numbers), and which bits its common and its rare shingles fall on."""
+    step = steps[(grams >> (32 - DF_BITS)).astype(np.int64)]
+    out = [int(UNIT * len(grams) + step.sum(dtype=np.int64))]
+    for size, part in ((COMMON, grams[step < RARE]), (SELDOM, grams[step >= RARE])):
+        bits = np.zeros(64 * size, np.uint8)
+        bits[part & np.uint32(64 * size - 1)] = 1
+        out += np.packbits(bits, bitorder="little").view("<i8").tolist()
+    return out
 
 
 def may_reach(similarity: float):
     """A condition that pairs of at least this weighted similarity meet.
 
-    Weights lie between 1 and `1 + SPAN`. A pair at the similarity shares weight I and differs in at
-    most `(1 / similarity - 1) * I`; so it differs in at most that share, times `1 + SPAN`, of the
-    shingles of the smaller text, and each bit set on one side only stands for one that differs.
+    Of such a pair the weights of what stands on one side only add up to at most
+    `(1 - similarity) / (1 + similarity)` of both weights. Each bit set on one side only stands for
+    at least one such shingle, which weighs no less than the lightest of its half of the sketch.
     """
-    share = (1 / similarity - 1) * (1 + SPAN) + 1e-9
+    share = (1 - similarity) / (1 + similarity) + 1e-9
 
     def screen(a: Column, b: Column) -> Column:
-        each = [F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(1, 17)]
-        return sum(each[1:], each[0]) <= F.least(F.get(a, F.lit(0)), F.get(b, F.lit(0))) * share
+        each = [F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(1, 1 + COMMON + SELDOM)]
+        common, seldom = sum(each[1:COMMON], each[0]), sum(each[COMMON + 1 :], each[COMMON])
+        return common * UNIT + seldom * (UNIT + RARE) <= (F.get(a, F.lit(0)) + F.get(b, F.lit(0))) * share
 
     return screen
 
@@ -207,7 +212,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar
     def payload(ids: DataFrame) -> DataFrame:
         """Multisets of the texts that share a bucket, taken out of the large table once, and their sketches."""
         met = signed.select(F.col("uid").alias("id"), F.col("grams").alias("data")).join(ids, "id", "left_semi")
-        return stage(met.withColumn("sketch", bit_sketch("data")))
+        return stage(met.withColumn("sketch", sketch("data")))
+
+    @F.pandas_udf(ArrayType(LongType()))
+    def sketch(grams: pd.Series) -> pd.Series:
+        return pd.Series([bit_sketch(np.frombuffer(data, "<u4"), shared.value) for data in grams], dtype=object)
 
     @F.pandas_udf("double")
     def distance(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

@@ -49,6 +49,28 @@ def test_samples_agree_as_often_as_weighted_jaccard():
     assert abs(agree - truth) < 0.05
 
 
+def test_screen_keeps_all_pairs_within_reach_and_few_others(spark):
+    draw = np.random.default_rng(6)
+    steps = draw.integers(0, neardup.STEPS + 1, 1 << neardup.DF_BITS).astype(np.uint8)
+    weights = 1 + neardup.SPAN * steps / neardup.STEPS
+    assert neardup.UNIT == neardup.STEPS / neardup.SPAN
+    rows = []
+    for _ in range(3000):
+        base = draw.integers(0, 1 << 32, draw.integers(1, 260)).astype("<u4")
+        sides = []
+        for _ in range(2):
+            side = base.copy()
+            changed = draw.integers(0, 1 + len(base) // 4)
+            side[draw.integers(0, len(base), changed)] = draw.integers(0, 1 << 32, changed)
+            sides.append(np.sort(np.concatenate([side, side[: draw.integers(0, 1 + len(base) // 10)]])).astype("<u4"))
+        rows.append((neardup.weighted_jaccard(*sides, weights), *[neardup.bit_sketch(x, steps) for x in sides]))
+    df = spark.createDataFrame(rows, "j double, a array<long>, b array<long>")
+    got = df.select("j", neardup.may_reach(0.8)(F.col("a"), F.col("b")).alias("on")).collect()
+    assert all(r.on for r in got if r.j >= 0.8) and sum(r.j >= 0.8 for r in got) > 200
+    below = [r.on for r in got if r.j < 0.74]
+    assert len(below) > 200 and sum(below) < len(below) / 10
+
+
 def brute_classes(table):
     """Least id of the class of every id, from all pairs."""
     texts = {r.doc_id: r.text for r in table.select("doc_id", "text").collect()}
