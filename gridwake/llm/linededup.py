@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridwake.llm.bitmaps import id_bitmap, in_bitmap
 from gridwake.llm.pivots import bucket_links
 from gridwake.llm.shingling import Spans, mix, row_blocks, words_of
 from gridwake.llm.words import let
@@ -41,7 +42,6 @@ EDITS = 2
 SHORT_EDITS = 1
 SHORT_WORDS = 4
 NEAR_WORDS = 10
-MAP_BITS = 24
 #: 64-bit numbers in the sketch of a long or a short line's words; the number of bits set and the number of words follow them.
 SKETCH = 8
 SHORT_SKETCH = 4
@@ -124,8 +124,10 @@ def line_keys(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                     again = np.zeros(len(row), bool)
                     a, b = order[:-1], order[1:]
                     again[b] = (row[a] == row[b]) & (hashes[a] == hashes[b])
-                    near = (count >= NEAR_WORDS) & ~again
-                    short = (count >= SHORT_WORDS) & (count <= NEAR_WORDS) & ~again
+                    fresh = np.zeros(len(row), bool)  # equal lines have equal keys, which one of them in a block gives
+                    fresh[np.unique(hashes, return_index=True)[1]] = True
+                    near = (count >= NEAR_WORDS) & fresh
+                    short = (count >= SHORT_WORDS) & (count <= NEAR_WORDS) & fresh
                     coded, sketches = _words(words, first[short], count[short], SHORT_SKETCH)
                     held = np.full(len(row), None, object)
                     held[short] = coded
@@ -148,28 +150,16 @@ def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LOWEST)).alias("id"), F.xxhash64(f"`{text}`").alias("text_key"), F.col(f"`{text}`").alias("t"))
 
 
-def id_bitmap(ids: DataFrame) -> np.ndarray:
-    """Bits of the ids' low `MAP_BITS` bits; the driver gets at most `2 ** MAP_BITS / 64` numbers."""
-    cell = F.col("id").bitwiseAND(F.lit((1 << (MAP_BITS - 6)) - 1))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright("id", MAP_BITS - 6).bitwiseAND(F.lit(63)).cast("int"))
-    got = ids.select(cell.alias("cell"), bit.alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits")).toPandas()
-    bits = np.zeros(1 << (MAP_BITS - 6), np.uint64)
-    bits[got["cell"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
-    return bits
-
-
 def line_words(docs: DataFrame, bitmap: np.ndarray, text: str) -> DataFrame:
     """`id, data, sketch`: the words, as 32-bit hashes, of lines whose bit is set, and which of 64 * `SKETCH` bits they fall on; one row per line hash."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, mask = shared.value, np.uint64((1 << (MAP_BITS - 6)) - 1)
         for batch in batches:
             for data, at in row_blocks(batch.column(0)):
                 if len(data):
                     _, words, _, _, first, count, hashes = _lines(data, at)
-                    on = (bits[(hashes & mask).astype(np.int64)] >> ((hashes >> np.uint64(MAP_BITS - 6)) & np.uint64(63))) & np.uint64(1)
-                    use = np.flatnonzero((on == 1) & (count >= NEAR_WORDS))
+                    use = np.flatnonzero(in_bitmap(shared.value, hashes) & (count >= NEAR_WORDS))
                     use = use[np.unique(hashes[use], return_index=True)[1]]
                     rows, bits_of = _words(words, first[use], count[use], SKETCH)
                     sketches = pa.FixedSizeListArray.from_arrays(pa.array(bits_of.ravel().view(np.int64)), SKETCH + 2).cast(pa.list_(pa.int64()))

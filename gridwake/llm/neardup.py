@@ -29,8 +29,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 
+from gridwake.llm.bitmaps import id_bitmap, in_bitmap
 from gridwake.llm.pivots import bucket_links, components
 from gridwake.llm.shingling import mix, shingle_blocks
 from gridwake.session import stage
@@ -210,13 +210,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar
     members = chosen.select(F.explode("bands").alias("bucket"), F.col("uid").alias("id"))
 
     def payload(ids: DataFrame) -> DataFrame:
-        """Multisets of the texts that share a bucket, taken out of the large table once, and their sketches."""
-        met = signed.select(F.col("uid").alias("id"), F.col("grams").alias("data")).join(ids, "id", "left_semi")
-        return stage(met.withColumn("sketch", sketch("data")))
-
-    @F.pandas_udf(ArrayType(LongType()))
-    def sketch(grams: pd.Series) -> pd.Series:
-        return pd.Series([bit_sketch(np.frombuffer(data, "<u4"), shared.value) for data in grams], dtype=object)
+        """Multisets and sketches of the texts that share a bucket, and of the few whose bit is set besides; the large table stays where it is."""
+        bits = spark.sparkContext.broadcast(id_bitmap(ids.select(F.xxhash64("id").alias("id"))))
+
+        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                met = batch.filter(pa.array(in_bitmap(bits.value, batch.column(2).to_numpy())))
+                if len(met):
+                    sketches = [bit_sketch(np.frombuffer(data, "<u4"), shared.value) for data in met.column(1).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([met.column(0), met.column(1), pa.array(sketches, pa.list_(pa.int64()))], ["id", "data", "sketch"])
+
+        rows = signed.select(F.col("uid").alias("id"), F.col("grams").alias("data"), F.xxhash64("uid").alias("hash"))
+        return stage(rows.mapInArrow(pick, "id long, data binary, sketch array<long>"))
 
     @F.pandas_udf("double")
     def distance(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

@@ -19,8 +19,10 @@ equi-joins on ids.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,35 @@ def _measured(pairs: DataFrame, payload: DataFrame, distance: Callable[[Column,
     return pairs.select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", distance(F.col("x"), F.col("y")).alias("d"))
 
 
+def shared_members(members: DataFrame) -> DataFrame:
+    """The distinct rows of `members(bucket, id)` whose bucket names two ids or more.
+
+    Nearly all buckets name one id. Members are dealt and sorted by bucket once, and what passes is
+    found in that order, with one row held back.
+    """
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, known = (np.zeros(0, np.int64), np.zeros(0, np.int64)), None  # a bucket of one id so far; one of several
+        for batch in batches:
+            if not len(batch):
+                continue
+            bucket, ids = (np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held))
+            change = np.ones(len(bucket), bool)
+            change[1:] = bucket[1:] != bucket[:-1]
+            start = np.flatnonzero(change)
+            group = np.cumsum(change) - 1
+            several = np.logical_or.reduceat(ids != ids[start][group], start)
+            several[0] |= bucket[0] == known
+            last = slice(start[-1], start[-1] + (not several[-1]))
+            held, known = (bucket[last], ids[last]), bucket[-1] if several[-1] else None
+            on = several[group]
+            if on.any():
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[on]), pa.array(ids[on])], ["bucket", "id"])
+
+    dealt = members.select("bucket", "id").repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(met, "bucket long, id long").dropDuplicates(["bucket", "id"])
+
+
 def bucket_links(
     members: DataFrame, payload: DataFrame | Callable[[DataFrame], DataFrame], distance: Callable[[Column, Column], Column], limit: float,
     by_class: bool = False, screen: Callable[[Column, Column], Column] | None = None,
@@ -51,13 +82,12 @@ def bucket_links(
     link, on the `sketch` column that the payload then has; it thins out the last comparison.
     With `by_class` the links join whatever all links would join, and no more is promised.
     """
-    ends = members.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).filter("low < high")
-    # a member may be named more than once; here its rows lie in one task already
-    shared = members.join(ends, "bucket").select("bucket", "id", "n").dropDuplicates(["bucket", "id"])
+    shared = shared_members(members)
     if by_class:
         # whoever meets most members in all its buckets lies in the middle of its group and reaches most of it
         met = stage(shared)
-        shared = met.join(met.groupBy("id").agg(F.sum("n").alias("rank")), "id").select("bucket", "id", "rank")
+        sized = met.join(met.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
+        shared = met.join(sized.groupBy("id").agg(F.sum("n").alias("rank")), "id").select("bucket", "id", "rank")
     else:
         shared = shared.select("bucket", "id", (-F.col("id")).alias("rank"))
     shared = stage(shared)

@@ -121,3 +121,18 @@ def test_large_near_group_and_edges(spark):
     left = neardup.drop_copies(df)
     assert left.columns == df.columns and left.count() == len(by)
     assert neardup.classes(df.limit(0)).count() == 0
+
+
+def test_texts_that_share_a_bucket_are_picked_without_a_shuffle_of_all(spark, monkeypatch):
+    rows = [(k, f"alpha beta gamma delta number {k} and some words more {k * k} end") for k in range(40)] + [(100 + k, "the same text of a few words stands here") for k in range(3)]
+    plans, stage = [], neardup.stage
+
+    def staged(df):
+        if "sketch" in df.columns:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df)
+
+    monkeypatch.setattr(neardup, "stage", staged)
+    got = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.class_id for r in got.filter("id >= 100").collect()} == {100}
+    assert len(plans) == 1 and "Exchange" not in plans[0] and "Join" not in plans[0]

@@ -59,3 +59,27 @@ def test_a_pair_is_compared_once_in_the_end(spark, monkeypatch):
         assert {(r.a, r.b) for r in links.collect()} == {(20 + i, 60 + i) for i in range(40)}
         pairs = [tuple(r) for r in met.pop().collect()]
         assert pairs and len(pairs) == len(set(pairs))
+
+
+def test_members_of_shared_buckets_are_found_in_one_pass(spark):
+    draw = random.Random(5)
+    rows = [(b, draw.randrange(6)) for b in range(40) for _ in range(draw.choice((1, 1, 1, 2, 3, 30)))]
+    want = {(b, i) for b, i in rows if len({j for c, j in rows if c == b}) > 1}
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch in ("1", "2", "5", size):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            got = pivots.shared_members(spark.createDataFrame(rows, "bucket long, id long"))
+            assert sorted(map(tuple, got.collect())) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_members_are_read_and_dealt_once(spark, monkeypatch):
+    members = spark.range(200).selectExpr("id DIV 3 AS bucket", "id")
+    payload = spark.range(200).selectExpr("id", "CAST(id AS DOUBLE) AS data")
+    plans, stage = [], pivots.stage
+    monkeypatch.setattr(pivots, "stage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stage(df))
+    bucket_links(members, payload, lambda x, y: F.abs(x - y), 1.0).count()
+    # all columns of all members: one shuffle, from one scan
+    assert plans[0].count("Range (") == 1
