@@ -248,7 +248,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     lines = stage(line_keys(docs, id_col, text))
     once = lines.filter(~F.col("again"))
     twice = once.groupBy("hash").agg(F.min("id").alias("home"), F.max("id").alias("_last")).filter("home < _last").select("hash", "home")
-    near = near_lines(docs, lines, text).withColumn("near", F.lit(True))
+    near = stage(near_lines(docs, lines, text)).withColumn("near", F.lit(True))
     verdict = twice.join(near, "hash", "full")
     gone = once.select("id", "text_key", "line", "hash").join(verdict, "hash").filter(F.coalesce("near", F.lit(False)) | (F.col("id") != F.col("home")))
     every = gone.select("id", "text_key", "line").union(lines.filter("again").select("id", "text_key", "line"))

@@ -109,7 +109,10 @@ def bucket_links(
         again = stage(crowd.join(_pivots(crowd), "bucket").filter("id <> pivot"))
         if again.isEmpty():
             break
-        found = stage(_measured(_pairs(again), payload, distance))
+        # few members are left, so the others' data is not moved
+        ids = again.select("id").union(again.select(F.col("pivot").alias("id"))).distinct()
+        data = stage(payload.select("id", "data").join(ids, "id", "left_semi"))
+        found = stage(_measured(_pairs(again), data, distance))
         near = found.filter(F.col("d") <= limit)
         links.append(near)
         chosen = again.select("bucket", F.col("pivot").alias("id")).distinct()
@@ -127,8 +130,10 @@ def bucket_links(
     about = y.groupBy("id").agg(F.collect_list("bucket").alias("homes"))  # at most the buckets of one member
     if screen:
         about = about.join(payload.select("id", "sketch"), "id")
+    # in steps: a plan of all of them is large, and the driver plans it anew after every shuffle
+    about = stage(about)
     x, y = x.join(about, "id"), y.join(about, "id")
-    left = _measured(_unruled(x, y, limit, by_class, screen), payload, distance).filter(F.col("d") <= limit)
+    left = stage(_measured(stage(_unruled(x, y, limit, by_class, screen)), payload, distance).filter(F.col("d") <= limit))
     return _union([so_far, left]).distinct()
 
 
